@@ -14,6 +14,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import BOILERPLATE
 
@@ -23,7 +24,12 @@ UNREAD = {"script", "style", "noscript", "iframe", "svg", "aside", "form", "butt
 INDENTS = {"div", "p", "section", "article", "li", "blockquote", "table", "tr", "td"}
 FURNITURE = ("nav", "footer", "header", "menu", "sidebar")
 DEEPEST = 5
-PARTS = "main_content string, header_content string, footer_content string, navigation_content string, sidebar_content string"
+PARTS = ["main_content", "header_content", "footer_content", "navigation_content", "sidebar_content"]
+
+
+def _strings(*names: str) -> T.StructType:
+    """A type that can be given before there is a session."""
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 class Node:
@@ -150,9 +156,8 @@ def useful(found: list[str], longer_than: int = 1) -> list[str]:
 
 def structured(html: str | None, base: str = "") -> dict[str, str | None]:
     """Text of the page's five parts; a main part of under five lines is read again from the body."""
-    names = [c.split()[0] for c in PARTS.split(", ")]
     if not html or not html.strip():
-        return dict.fromkeys(names)
+        return dict.fromkeys(PARTS)
     root = tree(html)
     found = lines(_main(root), base, True)
     if len(found) < 5 and (body := next((n for n in root.walk() if n.tag == "body"), None)) is not None:
@@ -164,7 +169,7 @@ def structured(html: str | None, base: str = "") -> dict[str, str | None]:
         _part(root, ("aside",), ("sidebar",)),
     ]
     parts = [found, *(lines(n, base, False) if n is not None else [] for n in rest)]
-    return {k: "\n".join(kept) if (kept := useful(p)) else None for k, p in zip(names, parts, strict=True)}
+    return {k: "\n".join(kept) if (kept := useful(p)) else None for k, p in zip(PARTS, parts, strict=True)}
 
 
 def readable(html: str | None, base: str = "") -> str | None:
@@ -174,17 +179,17 @@ def readable(html: str | None, base: str = "") -> str | None:
     return s["main_content"] or "\n\n".join(x for x in rest if x) or None
 
 
-@F.pandas_udf(PARTS)
+@F.pandas_udf(_strings(*PARTS))
 def structured_text(html: pd.Series, base: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([structured(h, b or "") for h, b in zip(html, base, strict=True)], columns=[c.split()[0] for c in PARTS.split(", ")], dtype=object)
+    return pd.DataFrame([structured(h, b or "") for h, b in zip(html, base, strict=True)], columns=PARTS, dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def readable_text(html: pd.Series) -> pd.Series:
     return html.map(readable).astype(object)
 
 
-@F.pandas_udf("primary string, fallback string")
+@F.pandas_udf(_strings("primary", "fallback"))
 def _first_readable(primary: pd.Series, fallback: pd.Series) -> pd.DataFrame:
     rows = []
     for p, f in zip(primary, fallback, strict=True):
@@ -198,7 +203,7 @@ def first_readable(primary: Column, fallback: Column) -> Column:
     return _first_readable(primary, fallback)
 
 
-@F.pandas_udf("website_url string, sector string, industry string")
+@F.pandas_udf(_strings("website_url", "sector", "industry"))
 def profile_of(html: pd.Series) -> pd.DataFrame:
     """Website, sector and industry of a company's profile page."""
 
@@ -221,7 +226,7 @@ def profile_of(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(h) for h in html], columns=["website_url", "sector", "industry"], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def article_text(page: pd.Series) -> pd.Series:
     """The text of a news article: its body's wrappers, else the embedded content, else the whole page's text."""
     import json

@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Second-level labels under which names are registered, where the country's code follows.
 SECOND_LEVEL = ["co", "com", "org", "net", "ac", "gov", "edu"]
@@ -17,7 +18,7 @@ def is_absolute(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("PROTOCOL")).isNotNull() & F.try_parse_url(url, F.lit("HOST")).isNotNull()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def joined(base: pd.Series, url: pd.Series) -> pd.Series:
     """A link on a page as an absolute URL; NULL if it can't be one."""
 

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Lines that match one of these are boilerplate.
 BOILERPLATE = ["cookie", "all rights reserved", "privacy policy", "copyright", "sitemap", "disclaimer"]
@@ -14,7 +15,7 @@ BOILERPLATE = ["cookie", "all rights reserved", "privacy policy", "copyright", "
 STOP_WORDS = "a an and are as at be but by for from has have in is it its not of on or that the this to was were will with you your".split()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """Character references to characters; the one step of cleaning that has no built-in function."""
     return texts.map(html.unescape, na_action="ignore")
@@ -47,7 +48,7 @@ def html_to_lines(text: Column, decode=common_entities) -> Column:
     """Ends of block elements to line ends, other tags to spaces, blank lines dropped."""
     broken = F.regexp_replace(text, r"(?i)<br\s*/?>|</(p|div|tr|li|h[1-6]|table)\s*>", "\n")
     plain = decode(F.regexp_replace(broken, r"<[^>]+>", " "))
-    return F.array_join(F.filter(F.transform(F.split(plain, "\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def tidy(text: Column) -> Column:
@@ -59,7 +60,7 @@ def tidy(text: Column) -> Column:
 
 def useful_lines(text: Column, longer_than: int = 1) -> Column:
     """Trimmed lines longer than this, without boilerplate, the first of equal ones, in order."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (F.length(x) > longer_than) & ~F.lower(x).rlike("|".join(BOILERPLATE)))
     return F.array_join(F.array_distinct(kept), "\n")
 

@@ -17,7 +17,7 @@ REPORT = ["earnings", "quarter", "fiscal", "results", "revenue"]
 
 
 def _count(text: Column, words: list[str]) -> Column:
-    return F.regexp_count(F.lower(text), F.lit(r"\b(" + "|".join(words) + r")\b"))
+    return F.regexp_count(F.lower(text), F.lit(r"(?U)\b(" + "|".join(words) + r")\b"))
 
 
 def by_keywords(text: Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE, report: list[str] = REPORT) -> Column:

@@ -112,7 +112,7 @@ def q54_judged(s, d):
 
 def q55_page_structure(s, d):
     p = t(s, d, "pages").select("page_id", html.structured_text(F.col("html"), F.col("url")).alias("s"))
-    return p.select("page_id", *[F.length(f"s.{c.split()[0]}").alias(c.split()[0].replace("_content", "_length")) for c in html.PARTS.split(", ")])
+    return p.select("page_id", *[F.length(f"s.{c}").alias(c.replace("_content", "_length")) for c in html.PARTS])
 
 
 def q56_press_stream(s, d):
@@ -141,7 +141,8 @@ _OTHER = "CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^htt
 
 
 def _count(words: str) -> str:
-    return f"len(regexp_extract_all(lower(text), '\\b({words})\\b'))"
+    listed = ", ".join(f"'{w}'" for w in words.split("|"))
+    return f"len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x IN ({listed})))"
 
 
 ORACLES = {

@@ -61,9 +61,9 @@ def q48_order_states(s, d):
 
 
 def q49_positions(s, d):
-    x = t(s, d, "lineitem").select("l_suppkey", "l_partkey", F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("q"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("p"))
+    x = t(s, d, "lineitem").select("l_suppkey", "l_partkey", F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("q"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("p"))
     got = ticks.positions(x, ["l_partkey"], "q", "p", t(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice"), "l_partkey", "p_retailprice")
-    return got.select("l_partkey", "position", F.round("average_cost", 2).alias("average_cost"), F.round("unrealised", 1).alias("unrealised"))
+    return got.select("l_partkey", "position", F.round("average_cost", 4).alias("average_cost"), F.round("unrealised", 1).alias("unrealised"))
 
 
 def q50_account_summary(s, d):
@@ -111,8 +111,8 @@ ORACLES = {
           SELECT user_id, arg_max(CASE event_type WHEN 'purchase' THEN 'Filled' WHEN 'error' THEN 'Cancelled' WHEN 'signup' THEN 'Submitted' ELSE 'PreSubmitted' END, (ts, event_id)) AS status
           FROM events WHERE event_id % 4 = 0 GROUP BY user_id)""",
     "q49_positions": """
-        SELECT l_partkey, sum(q) AS position, round(sum(q * p) / nullif(sum(q), 0), 2) AS average_cost, round(sum(q) * any_value(p_retailprice) - sum(q * p), 1) AS unrealised
-        FROM (SELECT l_partkey, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, round(l_extendedprice / l_quantity, 2) AS p FROM lineitem)
+        SELECT l_partkey, sum(q) AS position, round(sum(q * p) / nullif(sum(q), 0), 4) AS average_cost, round(sum(q) * any_value(p_retailprice) - sum(q * p), 1) AS unrealised
+        FROM (SELECT l_partkey, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, floor(l_extendedprice / l_quantity) AS p FROM lineitem)
         LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_partkey""",
     "q50_account_summary": "SELECT user_id, string_agg(event_type || '=' || v, ',' ORDER BY event_type) AS summary FROM (SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS v FROM events GROUP BY ALL) GROUP BY user_id",
     "q51_depth_book": """
@@ -121,5 +121,5 @@ ORACLES = {
     "q52_batch_changes": """
         WITH last AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS v FROM events WHERE event_id % 3 <> 0 GROUP BY user_id)
         SELECT event_id, user_id, event_type FROM events LEFT JOIN last USING (user_id) WHERE event_id % 3 = 0 AND (v IS NULL OR v <> event_type)""",
-    "q53_recent_ids": "SELECT user_id FROM (SELECT user_id, max((ts, event_id)) AS at FROM events GROUP BY user_id) ORDER BY at DESC LIMIT 10",
+    "q53_recent_ids": "SELECT user_id FROM (SELECT user_id, max((ts, event_id)) AS newest FROM events GROUP BY user_id) ORDER BY newest DESC LIMIT 10",
 }

@@ -60,13 +60,13 @@ def q8_calendar_spine(s, d):
 
 def q9_surprise(s, d):
     li, p = t(s, d, "lineitem"), t(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
-    actual = F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("l_extendedprice") / F.col("l_quantity"))
-    x = validate.surprise(actual, F.when(F.col("p_retailprice") > 1000, F.col("p_retailprice")))
+    actual = F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.floor(F.col("l_extendedprice") / F.col("l_quantity")))
+    x = validate.surprise(actual, F.when(F.col("p_retailprice") > 910, F.col("p_retailprice")))
     return li.where("l_orderkey <= 2000").join(p, "l_partkey").select("l_orderkey", "l_linenumber", F.round(x, 2).alias("surprise"))
 
 
 def q10_ranked_scan(s, d):
-    criteria = [("p_retailprice", "gte", 950.0), ("p_retailprice", "lte", None), ("p_size", "gte", 5), ("p_size", "lte", 40), ("p_brand", "in", None)]
+    criteria = [("p_retailprice", "gte", 905.0), ("p_retailprice", "lte", None), ("p_size", "gte", 5), ("p_size", "lte", 40), ("p_brand", "in", None)]
     return predicates.scan(t(s, d, "part"), criteria, "p_retailprice", 250, "p_partkey").select("rank", "p_partkey", "p_retailprice")
 
 
@@ -170,8 +170,8 @@ ORACLES = {
     "q6_keys_in_range": f"SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '{DAY}' AND o_orderdate < TIMESTAMP '1995-03-20'",
     "q7_resume_from": "SELECT c_custkey, c_name FROM customer WHERE upper(c_name) >= 'CUSTOMER#000000100'",
     "q8_calendar_spine": "SELECT CAST(g AS DATE) AS day, (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) = CAST(g AS DATE)) AS n FROM generate_series(DATE '1995-03-01', DATE '1995-03-31', INTERVAL 1 DAY) AS r(g)",
-    "q9_surprise": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 OR NOT p_retailprice > 1000 THEN 'nan'::DOUBLE ELSE round(l_extendedprice / l_quantity - p_retailprice, 2) END AS surprise FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey <= 2000",
-    "q10_ranked_scan": "SELECT CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS INTEGER) AS rank, p_partkey, p_retailprice FROM part WHERE p_retailprice >= 950 AND p_size BETWEEN 5 AND 40 QUALIFY rank < 250",
+    "q9_surprise": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 OR NOT p_retailprice > 910 THEN 'nan'::DOUBLE ELSE round(floor(l_extendedprice / l_quantity) - p_retailprice, 2) END AS surprise FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey <= 2000",
+    "q10_ranked_scan": "SELECT CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS INTEGER) AS rank, p_partkey, p_retailprice FROM part WHERE p_retailprice >= 905 AND p_size BETWEEN 5 AND 40 QUALIFY rank < 250",
     "q11_executions": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45 AND l_linenumber IN (1, 2)",
     "q12_conditions": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE ((l_quantity >= 49 AND l_discount >= 0.05) OR l_extendedprice <= 1000) AND l_tax <= 0.04",
     "q14_company_profile": """

@@ -50,7 +50,7 @@ def atom_dublin_core(payloads: DataFrame, column: str = "payload") -> DataFrame:
     e = F.col("e")
 
     def several(x: Column) -> Column:
-        kept = F.filter(F.transform(x, F.trim), lambda v: v != "")
+        kept = F.filter(F.transform(x, lambda v: F.trim(v)), lambda v: v != "")
         return F.when(F.size(kept) > 0, kept)
 
     rows = payloads.select(F.explode(F.from_xml(_plain(F.col(column)), DUBLIN_CORE)["entry"]).alias("e"))
