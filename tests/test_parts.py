@@ -261,3 +261,38 @@ def test_router(spark, tmp_path):
         router.channel("a")
     with pytest.raises(KeyError):
         router.channel("nothing")
+
+
+def test_polled_source_reads_once_for_each_state(spark, tmp_path):
+    from quillstream.streaming import polling
+
+    def fetch(seen):
+        return {"etag": "v1", "last_modified": "now"}, [("a", 1), ("b", 2)]
+
+    polling.register(spark, "polled_test", "id string, n int", fetch)
+    q = spark.readStream.format("polled_test").load().writeStream.format("memory").queryName("polled").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+        q.processAllAvailable()
+        assert sorted(r["id"] for r in spark.table("polled").collect()) == ["a", "b"]
+    finally:
+        q.stop()
+
+
+def test_stream_bars_close_with_the_watermark(spark, tmp_path):
+    t0 = dt.datetime(2025, 1, 1, 10, 0)
+    rows = [("s", t0, 2.0, 1.0), ("s", t0 + dt.timedelta(seconds=20), 4.0, 3.0), ("s", t0 + dt.timedelta(minutes=1), 5.0, 1.0)]
+    late = [("s", t0 + dt.timedelta(minutes=30), 1.0, 1.0)]
+    df = stream(spark, tmp_path, "k string, t timestamp, p double, q double", rows, late)
+    got = {r["open"]: r for r in run(state.bars(df, "k", "t", "1 minute", "p", "q"), tmp_path).collect()}
+    assert got[2.0]["vwap"] == 3.5
+    assert got[2.0]["high"] == 4.0
+    assert got[5.0]["trades"] == 1
+
+
+def test_followed_by_in_a_stream(spark, tmp_path):
+    t0 = dt.datetime(2025, 1, 1)
+    a = stream(spark, tmp_path / "a", "k string, t timestamp, n int", [("x", t0, 1)])
+    b = stream(spark, tmp_path / "b", "k string, t timestamp, n int", [("x", t0 + dt.timedelta(hours=23), 2), ("x", t0 + dt.timedelta(hours=25), 3), ("y", t0, 4)])
+    got = run(state.followed_by(a, b, "k", "t", "24 HOURS", "25 hours").select("l_n", "r_n"), tmp_path)
+    assert [tuple(r) for r in got.collect()] == [(1, 2)]
