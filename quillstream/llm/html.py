@@ -262,6 +262,7 @@ def main_text(pages: DataFrame, keep: list[str], html: str = "html", url: str =
     recurring = saved(templates(parsed), "html-templates")
     paths = parsed.select("__row", "__host", F.explode(F.array_distinct(F.flatten("blocks.path"))).alias("hash"))
     gone = paths.join(recurring, ["__host", "hash"]).groupBy("__row").agg(F.collect_list("hash").alias("__gone"))  # at most a page's own subtrees
+    gone = saved(gone, "html-gone")  # its size is then known before texts would be shuffled to meet it
     joined = parsed.join(gone, "__row", "left")
     left = F.filter("blocks", lambda b: F.col("__gone").isNull() | ~F.arrays_overlap(b["path"], F.col("__gone")))
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
