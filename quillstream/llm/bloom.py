@@ -1,4 +1,4 @@
-"""A blocked Bloom filter in plain expressions: one 64-bit block for a key, four of its bits set."""
+"""A blocked Bloom filter in plain expressions: one 64-bit block for a key, two of its bits set."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A filter has at most so many blocks (8 bytes each); more keys than fit well only let more through to the exact join.
 MAX_BLOCKS = 65_536
+#: Where in a hash the places of its two bits are.
+SHIFTS = (24, 32)
 
 
 class BlockedBloom:
@@ -14,7 +16,7 @@ class BlockedBloom:
 
     def __init__(self, hashes: DataFrame, column: str, n_keys: int) -> None:
         blocks = 64
-        while blocks < MAX_BLOCKS and blocks * 4 < n_keys:  # 16 bits for a key
+        while blocks < MAX_BLOCKS and blocks < n_keys:  # 64 bits for a key: two set bits let one in some thousand others pass
             blocks *= 2
         self.blocks = blocks
         h = F.col(column)
@@ -29,7 +31,7 @@ class BlockedBloom:
 
     @staticmethod
     def _mask(column: str) -> Column:
-        return F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {s}) & 63 as int))" for s in (24, 32, 40, 48)))
+        return F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {s}) & 63 as int))" for s in SHIFTS))
 
     def _bit(self, h: Column, shift: int) -> Column:
         place = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int")
@@ -38,5 +40,5 @@ class BlockedBloom:
     def may_hold(self, h: Column) -> Column:
         """Whether the hash may be among the keys: always true for a key."""
         block = F.get(self.bits, self._block(h))
-        mask = self._bit(h, 24).bitwiseOR(self._bit(h, 32)).bitwiseOR(self._bit(h, 40)).bitwiseOR(self._bit(h, 48))
+        mask = self._bit(h, SHIFTS[0]).bitwiseOR(self._bit(h, SHIFTS[1]))
         return block.bitwiseAND(mask) == mask

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .bloom import BlockedBloom
 from .common import ascii_lower, saved, table
 
-WINDOW, GRAM = 10, 5
+WINDOW, GRAM = 10, 3
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Up to so many benchmark windows are broadcast (some MB); more are joined by a shuffle that Spark may split.
 MAX_BROADCAST = 50_000
@@ -34,20 +34,26 @@ def _with_words(df: DataFrame, text: str, to: str) -> DataFrame:
     return df.withColumn(to, F.slice(w, head + 1, F.size(w) - head - tail))
 
 
-def _sliding(values: Column, n: Column, width: int, combine) -> Column:
-    """combine(the value and the width - 1 after it) at every place that has so many."""
-    places = F.slice(values, 1, F.greatest(n - (width - 1), F.lit(0)))
-    return F.transform(places, lambda h, i: combine(h, *[F.get(values, i + k) for k in range(1, width)]))
+def _slide(df: DataFrame, column: str, far: int, combine) -> DataFrame:
+    """Every value of the array combined with the one ``far`` places on; the last ones have none and go."""
+    v = F.col(column)
+    return df.withColumn(column, F.transform(F.slice(v, 1, F.greatest(F.size(v) - far, F.lit(0))), lambda h, i: combine(h, F.get(v, i + far))))
 
 
 def _with_fingerprints(df: DataFrame, words: str, length: int) -> DataFrame:
-    """Column ``__f``: the fingerprint of every window of ``length`` words, in order."""
-    n = F.size(words)
-    df = df.withColumn("__h", F.transform(F.col(words), lambda w: F.xxhash64(w)))
+    """Column ``__f``: the fingerprint of every window of ``length`` words, in order.
+
+    Wide sequences are made of narrower ones, so a place costs a step for each doubling and not for each word.
+    """
+    df = df.withColumn("__f", F.transform(F.col(words), lambda w: F.xxhash64(w)))
     gram = min(GRAM, length) if length >= WINDOW else length
-    df = df.withColumn("__g", _sliding(F.col("__h"), n, gram, F.xxhash64) if gram > 1 else F.col("__h"))
-    least = length - gram + 1
-    return df.withColumn("__f", _sliding(F.col("__g"), F.size("__g"), least, F.least) if least > 1 else F.col("__g")).drop("__h", "__g")
+    for combine, width in ((F.xxhash64, gram), (F.least, length - gram + 1)):
+        done = 1
+        while done < width:  # overlapping halves do for the smallest hash; a sequence's hash takes its words in order
+            far = min(done, width - done)
+            df = _slide(df, "__f", far, combine)
+            done += far
+    return df
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
@@ -57,7 +63,8 @@ def windows(items: DataFrame, id_col: str = "item_id", text: str = "text") -> Da
     parts = []
     for length in [WINDOW, *range(1, WINDOW)]:
         own = base.where(F.size("__w") >= length if length == WINDOW else F.size("__w") == length)
-        own = _with_fingerprints(own, "__w", length).select("item", "__w", F.posexplode("__f").alias("at", "f"))
+        # Outer, since Spark would push a test of the array's size below every step that makes it, copying them all.
+        own = _with_fingerprints(own, "__w", length).select("item", "__w", F.posexplode_outer("__f").alias("at", "f")).where("f is not null")
         parts.append(own.select(F.lit(length).alias("length"), "f", F.array_join(F.slice("__w", F.col("at") + 1, length), " ").alias("span"), "item"))
     found = parts[0]
     for p in parts[1:]:
