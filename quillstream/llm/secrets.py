@@ -143,8 +143,7 @@ def secrets(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     found = saved(scan(docs, keep, text), "secrets")
     counted = found.select(F.explode("runs").alias("r")).groupBy("r.length", "r.bin").count().collect()  # a bounded number of bins
     cut = discoveries({(r["length"], r["bin"]): r["count"] for r in counted})
-    counts = F.lit(False)
-    picked = F.filter("runs", lambda r: _any([(r["length"] == k) & (r["bin"] >= b) for k, b in sorted(cut.items())], counts))
+    picked = F.filter("runs", lambda r: _any([(r["length"] == k) & (r["bin"] >= b) for k, b in sorted(cut.items())]))
     random = F.transform(picked, lambda r: F.struct(r["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), r["end"].alias("end")))
     names = F.array(*[F.lit(k) for k in KINDS])
 
@@ -159,10 +158,11 @@ def _of_kind(kind: int):
     return F.filter("base", lambda s: s["kind"] == kind)
 
 
-def _any(tests: list, none):
+def _any(tests: list):
+    out = F.lit(False)
     for t in tests:
-        none = none | t
-    return none
+        out = out | t
+    return out
 
 
 def scan_documents(spark, sf_dir: str) -> DataFrame:
