@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTES_LOWER, rowwise, saved
@@ -98,7 +98,7 @@ def links(distinct: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
 
 
 def groups(fingerprints: DataFrame, radius: int = 3, parts: int = 2, id_col: str = "doc_id") -> DataFrame:
-    """Columns fp and component_id: the smallest id reachable from a fingerprint over links, itself included.
+    """Columns fp, component (its smallest linked fingerprint) and component_id: the smallest id reachable over links.
 
     ``fingerprints`` has ``id_col`` and ``fp`` and should be stored, since it is read more than once. An id of null
     takes part, but is the smallest of a group only if the group has no other.
@@ -108,7 +108,7 @@ def groups(fingerprints: DataFrame, radius: int = 3, parts: int = 2, id_col: str
     members = connected_components(found).withColumnRenamed("node", "fp")
     labelled = least.join(members, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    return labelled.join(smallest, "component").select("fp", "component_id")
+    return labelled.join(smallest, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id") -> DataFrame:
@@ -123,20 +123,33 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "do
 
     Where a repeated row or id would leave a group with several rows, the first by text stays. Columns are unchanged.
     """
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    prints = saved(with_fingerprints(docs.withColumn("__mark", mark), [id_col, "__mark"], width), "simhash")
-    labelled = prints.join(groups(prints, radius, id_col=id_col), "fp").select(F.col(id_col).alias("__id"), "__mark", "component_id")
+    prints = saved(with_fingerprints(docs.withColumn("__mark", mark_of("text")), [id_col, "__mark"], width), "simhash")
+    labelled = prints.join(groups(prints, radius, id_col=id_col), "fp")
+    return one_of_each(docs, labelled.select(F.col(id_col).alias("__id"), "__mark", "component", "component_id"), id_col)
+
+
+def mark_of(text: str) -> Column:
+    """Tells texts under one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def one_of_each(docs: DataFrame, labelled: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: of the rows with its smallest id, the first by text.
+
+    ``labelled`` has __id, __mark, component and component_id (the component's smallest id) for each row of ``docs``.
+    """
     stays = F.col("__id").eqNullSafe(F.col("component_id"))
     lost = labelled.where(~stays).select("__id", "__mark").distinct()
-    several = labelled.where(stays).groupBy("__id").count().where("count > 1").select("__id")
+    # Rows are counted by component: unrelated rows may have the same id, or none.
+    repeated = labelled.where(stays).groupBy("component").count().where("count > 1").select("component")
+    several = labelled.where(stays).join(repeated, "component", "left_semi").select("__id", "__mark", "component").distinct()
 
     def on(side: DataFrame):
-        same = docs[id_col].eqNullSafe(side["__id"])
-        return same & (mark == side["__mark"]) if "__mark" in side.columns else same
+        return docs[id_col].eqNullSafe(side["__id"]) & (mark_of("text") == side["__mark"])
 
     kept = docs.join(lost, on(lost), "left_anti")
     single = kept.join(several, on(several), "left_anti")
-    repeated = kept.join(several, on(several), "left_semi")
-    order = Window.partitionBy(id_col).orderBy("text", *[F.to_json(F.struct(f"`{c}`")) for c in docs.columns if c not in (id_col, "text")])
-    first = repeated.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return single.unionByName(first)
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    order = F.struct(docs["text"], F.to_json(F.struct(*[docs[c] for c in docs.columns if c not in (id_col, "text")])))
+    first = kept.join(several, on(several)).select("component", whole.alias("__row"), order.alias("__order")).groupBy("component").agg(F.min_by("__row", "__order").alias("__row"))
+    return single.unionByName(first.select("__row.*"))

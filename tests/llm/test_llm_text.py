@@ -90,6 +90,13 @@ def test_keep_one_keeps_rows_and_columns(spark):
     assert sorted(map(str, (r["doc_id"] for r in simhash.keep_one(mixed).collect()))) == ["5", "None"]
 
 
+def test_keep_one_keeps_a_row_of_every_group(spark):
+    rows = [(None, "q r s t"), (None, "t u v w"), (None, "t u v w"), (7, "a b c d"), (7, "k l m n"), (7, "k l m n"), (9, "k l m n")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one(docs).collect())
+    assert got == [("7", "a b c d"), ("7", "k l m n"), ("None", "q r s t"), ("None", "t u v w")]
+
+
 def test_components_of_chains(spark):
     from quillstream.llm.components import connected_components
 
