@@ -208,3 +208,49 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert rows[4].keys() == {i for i, r in rows[3].items() if not plain_hits(r["text"], items)[4]}
     assert rows[5].keys() == rows[4].keys()
     assert corpus_pipeline.run(spark, sf_dir).count() == len(rows[5])
+
+
+def plain_shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    width = min(5, len(words))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+
+def test_near_duplicate_stage_matches_brute_force(spark, sf_dir):
+    import corpus_pipeline
+    from pyspark.sql import Row
+
+    rng = random.Random(17)
+    words = ["w%d" % i for i in range(300)]
+    common = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(2)]
+    texts = ["", None, " \n", "solo", "SOLO", "one two three", "one two four"]
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(5, 150))]
+        for _ in range(rng.randint(1, 6)):
+            own = list(base)
+            for _ in range(rng.randint(0, 4)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own) + (" " + rng.choice(common) if rng.random() < 0.5 else ""))
+    # A large group of near copies, and a chain of which only neighbours are similar.
+    base = [rng.choice(words) for _ in range(120)]
+    texts += [" ".join(base[:i] + ["x%d" % i] + base[i + 1 :]) for i in range(0, 120, 2)]
+    long = [f"c{i}" for i in range(200)]
+    texts += [" ".join(long[i : i + 100]) for i in range(0, 100, 5)]
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([Row(doc_id=i, text=t, n_chars=len(t or ""), set="clash") for i, t in enumerate(texts)])
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted({find(i) for i in range(len(texts))})
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
