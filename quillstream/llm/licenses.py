@@ -5,8 +5,9 @@ words that no template has count as if one line had them. A statement matches th
 largest, if that is ``LEAST`` or more; a file's licence is its best statement's. A file without one inherits from the
 licence file in the nearest directory on its path: ancestors are joined by their paths, the longest that meets wins.
 
-Every line of every file takes part; only lines without any word that is telling (on at most ``TELLING`` of all lines)
-are left out, since common words alone can't reach the threshold.
+Every line of every file takes part. A line's words that no template has only make its cosines smaller, so lines whose
+other words can't reach ``LEAST`` with any template are left out before they are scored: by a bound on the cosine, which
+holds whatever words the corpus has most.
 
 Edge cases: a null or empty text has no statement; a null path inherits nothing; equal cosines go to the licence first
 in the alphabet; repeated rows give one output row each; without files there is no row.
@@ -14,12 +15,14 @@ in the alphabet; repeated rows give one output row each; without files there is
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
 
-LEAST, TELLING = 0.55, 0.02
+LEAST = 0.55
 
 #: How licences are named in headers, and sentences that mark their texts.
 TEMPLATES = [
@@ -59,6 +62,26 @@ def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFra
     return rows.select("template", "license", F.explode(_words("text")).alias("word")).groupBy("template", "license", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _reaches(words: str, weighted: DataFrame, counts: dict[str, int], unseen: float) -> Column:
+    """False only for lines whose cosine to every template is below ``LEAST``.
+
+    The dot product is at most the sum, over the line's words, of idf times the word's largest weight in any template; the
+    line's norm is at least that of the words no template has, each with weight ``unseen``.
+    """
+    most = {r["word"]: r["most"] for r in weighted.groupBy("word").agg(F.max(F.col("idf") * F.col("w")).alias("most")).collect()}
+    if not most:
+        return F.lit(False)
+    ordered = sorted(most, key=lambda w: (-counts.get(w, 0), w))  # looked up from the front
+    value = F.create_map(*[F.lit(x) for w in ordered for x in (w, most[w])])
+
+    def reaches(own: Column, known: Column) -> Column:
+        dot = F.aggregate(known, F.lit(0.0), lambda s, w: s + F.element_at(value, w))
+        return (F.size(known) > 0) & (dot >= F.sqrt(F.size(own) - F.size(known)) * F.lit((LEAST - 1e-6) * unseen))
+
+    # Arrays of one element bind a name to what would otherwise be worked out again at every mention.
+    return F.exists(F.array(words), lambda own: F.exists(F.array(F.filter(own, lambda w: w.isin(ordered))), lambda known: reaches(own, known)))
+
+
 def statements(files: DataFrame, keep: list[str], templates: list[tuple[str, str]] = TEMPLATES, text: str = "text") -> DataFrame:
     """``keep`` (which must tell rows apart), line, license, score: the best template of every line that matches one."""
     spark = files.sparkSession
@@ -77,8 +100,7 @@ def statements(files: DataFrame, keep: list[str], templates: list[tuple[str, str
     weighted = words.join(F.broadcast(idf), "word").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weighted = saved(weighted.join(norms, "template").where("norm > 0").select("template", "license", "word", (F.col("w") / F.col("norm")).alias("w")), "licenses-weights")
-    telling = [w for w in vocabulary if counts.get(w, 0) <= max(1.0, TELLING * total)]
-    hopeful = lines.where(F.arrays_overlap("__words", F.lit(telling))) if telling else lines.where(F.lit(False))
+    hopeful = lines.where(_reaches("__words", weighted.join(F.broadcast(idf), "word"), counts, log((total + 1) / 2) if total else 0.0))
     # The line's own norm: words of templates by their counts, all others as seen once.
     each = hopeful.withColumn("__row", F.monotonically_increasing_id()).withColumn("__word", F.explode("__words"))
     tf = each.groupBy("__row", "line", *keep, "__word").agg(F.count(F.lit(1)).alias("tf"))

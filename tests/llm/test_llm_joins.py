@@ -116,6 +116,16 @@ def test_licences_of_headers_and_directories(spark):
     assert licenses.licensed(df.limit(0), ["doc_id"]).count() == 0
 
 
+def test_the_commonest_licence_is_found(spark):
+    prose = "He went to the river and it was under water in the morning."
+    rows = [(i, f"s/{i}/LICENSE", "Released under the MIT License.") if i % 3 == 0 else (i, f"s/{i - i % 3}/x{i}.txt", f"{prose} {i}\n{prose[:20]}") for i in range(90)]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.licensed(spark.createDataFrame(rows, "doc_id long, path string, text string"), ["doc_id"]).collect()}
+    assert got == {i: ("MIT", "header" if i % 3 == 0 else "directory") for i in range(90)}
+    few = [(i, None, "Licensed under CC BY-NC 4.0." if i < 2 else f"line {i} of a table") for i in range(10)]
+    got = {r["doc_id"]: r["license"] for r in licenses.licensed(spark.createDataFrame(few, "doc_id long, path string, text string"), ["doc_id"]).collect()}
+    assert got == {i: "CC-BY-NC-4.0" if i < 2 else None for i in range(10)}
+
+
 # Decontamination
 
 
