@@ -92,6 +92,13 @@ def test_lines_match_brute_force(spark):
     assert lines.drop_similar_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_are_deduplicated(spark):
+    texts = ["Les.\n\nAnd ornd.\nlong long long long long long", "LES.\n\nornd. and\nlong long\nAnd ornd. too", None, "Les.\n \nunbroken" + "x" * 50, "unbroken" + "x" * 50 + "\na b c d\na b c d e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.drop_similar_lines(docs).collect()}
+    assert got == {0: texts[0], 1: "\nAnd ornd. too", 2: None, 3: " \nunbroken" + "x" * 50, 4: "a b c d\na b c d e"}
+
+
 # Licences
 
 
