@@ -15,6 +15,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Spark's setting that removes a query's shuffle files when the query ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,17 +39,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
+    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor costs nothing.
+
+    What the write has shuffled is not needed any more, so it is removed from the executors' disks.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def rowwise(df: DataFrame, text: str, keep: list[str], make: Callable[[], Callable[[pa.Array], dict]], out: str) -> DataFrame:
+    before = spark.conf.get(SHUFFLES_GO, None)
+    if before is not None:  # a session without the setting keeps shuffles until their plans are collected
+        spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(SHUFFLES_GO, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the folders of frames that ``saved`` has returned and that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def boxed(df: DataFrame, text: str, keep: list[str], make: Callable[[], Callable[[pa.Array], dict]], out: str) -> DataFrame:
     """Run ``make()`` once in each task; it gets Arrow arrays of whole texts and returns the new columns.
 
-    ``out`` declares these in DDL. The columns ``keep`` pass unchanged as Arrow arrays, so their values are never built as Python objects.
+    ``out`` declares these in DDL. The columns ``keep`` stand in one struct of that name, so that they clash with no other,
+    and pass unchanged as Arrow arrays, so that their values are never built as Python objects.
     """
     added = T.StructType.fromDDL(out)
     names = added.names
@@ -55,9 +77,15 @@ def rowwise(df: DataFrame, text: str, keep: list[str], make: Callable[[], Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            new = work(batch.column(batch.schema.get_field_index(text)))
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays(kept + [a if isinstance(a := new[n], pa.Array) else pa.array(a) for n in names], names=keep + names)
+            new = work(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [a if isinstance(a := new[n], pa.Array) else pa.array(a) for n in names], names=["keep", *names])
+
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    rows = df.select(kept.alias("keep"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["keep"], *added]))
 
-    cols = [F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]
-    return df.select(*cols).mapInArrow(run, T.StructType([df.schema[c] for c in keep] + list(added)))
+
+def rowwise(df: DataFrame, text: str, keep: list[str], make: Callable[[], Callable[[pa.Array], dict]], out: str) -> DataFrame:
+    """``boxed``, with the columns ``keep`` beside the new ones."""
+    found = boxed(df, text, keep, make, out)
+    return found.select(*(["keep.*"] if keep else []), *T.StructType.fromDDL(out).names)
