@@ -3,17 +3,24 @@
 Vectors are quantised to integers; a component is a term, the candidates that have it (with a weight other than zero)
 its postings. For a query row, the postings of its terms, times its weights, are added into a dense array of scores of
 a block of candidates; a term that most candidates have is added to the whole array at once. A partition of each array
-selects the block's best, and the best of all blocks are merged in Spark.
-
-Queries and candidates are packed into blocks of bounded size, and each block of queries meets each block of
-candidates once, in tasks dealt out by both. Edge cases: vectors that are null, empty of components, or hold null or
-non-finite components take no part; of vectors of unequal length the shorter is filled up with zeros; components beyond
-2^27 after quantising are clamped to it; ids of null take no part as queries and come last among ties; exact repeats of
-a query row are one query; rows with the query's own id are not its candidates, other repeats are one each.
+selects the block's best, which are merged with the query's best of the blocks before.
+
+Rows are packed once into stored blocks. Blocks of queries and of candidates meet in tiles of bounded size: a tile's
+candidates stay in one task, which takes the tile's queries one block after the other and returns k rows for each
+query; the best of all tiles are merged in Spark. So a vector is copied once for each tile of the other side, not for
+each block.
+
+Edge cases: vectors that are null, empty of components, or hold null or non-finite components take no part; of vectors
+of unequal length the shorter is filled up with zeros; every row is a candidate of every query but the one that it
+is itself, so repeated rows and rows that repeat a query's id are candidates, and each query row has its own ranks;
+ids of null take no part as queries and come last among ties; a table without rows or queries gives none. Scores are
+exact whatever the components: where 64 bits might not do they are summed as integers of any size, and a score that
+doesn't fit a long is returned as the nearest long, ranked by its true value.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,62 +30,121 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-#: Rows of a block of queries, and of candidates; how many ways a block of queries is copied, for the tasks' sake.
-QUERY_ROWS, CANDIDATE_ROWS, COPIES = 1_024, 4_096, 16
-SCALE, LARGEST = 64, 1 << 27
+#: Rows of a block; blocks of queries and of candidates in a tile.
+ROWS, TILE_QUERIES, TILE_CANDIDATES = 2_048, 16, 128
+SCALE = 64
 #: Postings of a term that more than this share of the candidates have are kept in full length.
 FULL = 0.25
+LONG = np.iinfo(np.int64)
+#: Bytes of a component that needs more than eight; the largest double times 64 has 1030 bits.
+WIDE = 136
+#: Bytes of a score that doesn't fit a long, so that they sort as its value does.
+WIDE_SCORE = 2 * WIDE + 8
+
+BLOCK = "ids binary, null binary, query binary, data binary, width int, dim int"
+
 
+def quantised(x: np.ndarray) -> np.ndarray:
+    """floor(64 x) of finite doubles, exactly: as longs, or as integers of any size."""
+    if len(x) == 0 or np.abs(x).max() < 2.0**56:
+        return np.floor(SCALE * x).astype(np.int64)
+    return np.array([math.floor(SCALE * v) if abs(v) < 2.0**56 else SCALE * int(v) for v in x.tolist()], object)
 
-def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the usable vectors and their quantised components, filled up with zeros."""
-    usable, rows = [], []
+
+def _matrices(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of usable vectors and their quantised components, filled up with zeros; those of long integers apart."""
+    found: dict[bool, list] = {False: [], True: []}
     for i, v in enumerate(vectors):
         if v.is_valid and len(v) and not v.values.null_count:
             x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
             if np.isfinite(x).all():
-                usable.append(i)
-                rows.append(x)
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
-    for k, x in enumerate(rows):
-        out[k, : len(x)] = np.clip(np.floor(SCALE * x), -LARGEST, LARGEST)
-    return np.array(usable, np.int64), out
+                x = quantised(x)
+                found[x.dtype == object].append((i, x))
+    for wide, rows in found.items():
+        if rows:
+            out = np.zeros((len(rows), max(len(x) for _, x in rows)), object if wide else np.int64)
+            for k, (_, x) in enumerate(rows):
+                out[k, : len(x)] = x
+            yield np.array([i for i, _ in rows], np.int64), out
+
+
+def _to_bytes(matrix: np.ndarray) -> tuple[bytes, int]:
+    if matrix.dtype == object:
+        return b"".join(int(x).to_bytes(WIDE, "little", signed=True) for x in matrix.ravel()), WIDE
+    low, high = int(matrix.min(initial=0)), int(matrix.max(initial=0))
+    kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    return matrix.astype(kind).tobytes(), kind().itemsize
 
 
-def pack(rows: DataFrame, id_col: str, vector: str, size: int) -> DataFrame:
-    """Blocks of at most ``size`` rows: part (the partition), ids and components as bytes, their width and dimension."""
+def _from_bytes(data: bytes, width: int, rows: int, dim: int) -> np.ndarray:
+    if width == WIDE:
+        out = np.empty(rows * dim, object)
+        out[:] = [int.from_bytes(data[i : i + WIDE], "little", signed=True) for i in range(0, len(data), WIDE)]
+        return out.reshape(rows, dim)
+    return np.frombuffer(data, {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}[width]).reshape(rows, dim)
+
+
+def pack(rows: DataFrame) -> DataFrame:
+    """Blocks of at most ``ROWS`` rows of (id, v, query): ids, which are null, which are queries, components as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                own = batch.slice(at, size)
-                usable, matrix = _matrix(own.column(1))
-                if not len(usable):
-                    continue
-                largest = int(np.abs(matrix).max(initial=0))
-                kind = np.int8 if largest < 1 << 7 else np.int16 if largest < 1 << 15 else np.int32
-                ids = own.column(0).take(pa.array(usable))
-                null = np.array([not x.is_valid for x in ids])
-                values = np.where(null, np.iinfo(np.int64).max, ids.fill_null(0).to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([own.column(2)[0].as_py()], pa.int32()), pa.array([values.astype("<i8").tobytes()], pa.binary()), pa.array([null.tobytes()], pa.binary()), pa.array([matrix.astype(kind).tobytes()], pa.binary()), pa.array([kind().itemsize], pa.int32()), pa.array([matrix.shape[1]], pa.int32())],
-                    names=["part", "ids", "null", "data", "width", "dim"],
-                )
-
-    picked = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v"), F.spark_partition_id().alias("part"))
-    return picked.mapInArrow(run, "part int, ids binary, null binary, data binary, width int, dim int")
-
-
-def scores(queries: np.ndarray, candidates: np.ndarray) -> Iterator[np.ndarray]:
-    """For each query row its scores of all candidates, accumulated term at a time."""
-    dim = min(queries.shape[1], candidates.shape[1])
-    bound = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(1, dim)
-    kind = np.int32 if bound < 1 << 31 else np.int64
-    postings = []
-    for t in range(dim):
-        column = candidates[:, t].astype(kind)
+            for at in range(0, batch.num_rows, ROWS):
+                own = batch.slice(at, ROWS)
+                for usable, matrix in _matrices(own.column(1)):
+                    yield block(own, usable, matrix)
+
+    def block(own: pa.RecordBatch, usable: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
+        ids, query = (own.column(c).take(pa.array(usable)) for c in (0, 2))
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        values = np.where(null, LONG.max, ids.fill_null(0).to_numpy(zero_copy_only=False)).astype("<i8")
+        asked = query.fill_null(False).to_numpy(zero_copy_only=False) & ~null
+        data, width = _to_bytes(matrix)
+        cells = (values.tobytes(), null.tobytes(), asked.tobytes(), data, width, matrix.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array([c]) if isinstance(c, bytes) else pa.array([c], pa.int32()) for c in cells], names=["ids", "null", "query", "data", "width", "dim"])
+
+    return rows.mapInArrow(run, BLOCK)
+
+
+class Block:
+    """A stored block's ids, which of them are null, and components; its rows are known by block and place."""
+
+    def __init__(self, row: dict) -> None:
+        self.key = row["block"]
+        self.ids = np.frombuffer(row["ids"], "<i8")
+        self.null = np.frombuffer(row["null"], bool)
+        self.query = np.flatnonzero(np.frombuffer(row["query"], bool))
+        self.matrix = _from_bytes(row["data"], row["width"], len(self.ids), row["dim"])
+        self._postings: dict[type, list] = {}
+
+    def postings(self, kind: type) -> list[tuple[np.ndarray | None, np.ndarray]]:
+        if kind not in self._postings:
+            self._postings = {kind: _postings(self.matrix.astype(kind))}
+        return self._postings[kind]
+
+
+def _postings(candidates: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
+    """For each term the places of the candidates that have it, None for all of them, and their weights."""
+    out = []
+    for t in range(candidates.shape[1]):
+        column = np.ascontiguousarray(candidates[:, t])
         places = np.flatnonzero(column)
-        postings.append((None, column) if len(places) > FULL * len(column) else (places, column[places]))
+        out.append((None, column) if len(places) > FULL * len(column) else (places, column[places]))
+    return out
+
+
+def _kind(queries: np.ndarray, candidates: np.ndarray) -> type:
+    """The smallest kind of number that holds every score."""
+    largest = [max((abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))) for m in (queries, candidates)]
+    bound = largest[0] * largest[1] * max(1, queries.shape[1])
+    return np.int32 if bound < 1 << 31 else np.int64 if bound < 1 << 63 else object
+
+
+def scores(queries: np.ndarray, candidates: np.ndarray, postings: list | None = None) -> Iterator[np.ndarray]:
+    """For each query row its scores of all candidates, accumulated term at a time."""
+    kind = _kind(queries, candidates)
+    postings = _postings(candidates.astype(kind)) if postings is None else postings
+    dim = min(queries.shape[1], len(postings))
     for q in queries[:, :dim].astype(kind):
         total = np.zeros(len(candidates), kind)
         for t in np.flatnonzero(q):
@@ -90,57 +156,76 @@ def scores(queries: np.ndarray, candidates: np.ndarray) -> Iterator[np.ndarray]:
         yield total
 
 
-def best(total: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def best(total: np.ndarray, ids: np.ndarray, null: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids; by partition, then sorting only what can be among them."""
+    places = np.arange(len(total))
     if len(total) > k:
-        edge = np.partition(total, len(total) - k)[len(total) - k]
+        edge = np.partition(total, len(total) - k)[len(total) - k] if total.dtype != object else sorted(total)[len(total) - k]
         places = np.flatnonzero(total >= edge)
-    else:
-        places = np.arange(len(total))
-    return places[np.lexsort((ids[places], -total[places]))[:k]]
+    if total.dtype == object:
+        return np.array(sorted(places.tolist(), key=lambda i: (-total[i], null[i], ids[i]))[:k], np.int64)
+    return places[np.lexsort((ids[places], null[places], -total[places].astype(np.int64)))[:k]]
+
+
+def _merged(queries: Block, candidates: list[Block], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query row of a block: its place, and the ids, nulls and scores of its best in a tile's candidates."""
+    rows = queries.matrix[queries.query]
+    held: list[list[tuple]] = [[] for _ in queries.query]
+    for c in candidates:
+        kind = _kind(rows, c.matrix)
+        for n, total in enumerate(scores(rows, c.matrix, c.postings(kind))):
+            own = best(total, c.ids, c.null, k + 1)
+            if c.key == queries.key:  # one more than k, since the query may be among them
+                own = own[own != queries.query[n]]
+            held[n].append((c.ids[own[:k]], c.null[own[:k]], total[own[:k]]))
+    for n, parts in enumerate(held):
+        ids, null, total = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own = best(total, ids, null, k)
+        yield int(queries.query[n]), ids[own], null[own], total[own]
+
+
+def _cells(total: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
+    """Scores as longs, and those that a long doesn't tell from others as bytes that sort as they do."""
+    if total.dtype != object:
+        return total.astype(np.int64), [None] * len(total)
+    near = np.array([min(max(int(s), LONG.min), LONG.max) for s in total], np.int64)
+    middle = 1 << (8 * WIDE_SCORE - 1)
+    return near, [(int(s) + middle).to_bytes(WIDE_SCORE, "big") if n in (LONG.min, LONG.max) else None for s, n in zip(total, near.tolist(), strict=True)]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each query row its k best among all rows with another id."""
-    rows = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector}`").alias("embedding"), is_query.alias("__query"))
-    queries = saved(rows.where("__query and vec_id is not null").select("vec_id", "embedding").distinct(), "topk-queries")
-    parts = max(1, -(-queries.count() // QUERY_ROWS))
-    packed = saved(pack(queries.repartition(parts), "vec_id", "embedding", QUERY_ROWS), "topk-query-blocks")
-    copies = packed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).withColumn("block", F.monotonically_increasing_id())
-    blocks = pack(rows, "vec_id", "embedding", CANDIDATE_ROWS).withColumn("copy", F.pmod(F.xxhash64("ids"), F.lit(COPIES)).cast("int"))
-    blocks = blocks.select("copy", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *[F.col(c).alias(f"c_{c}") for c in ("ids", "null", "data", "width", "dim")])
-    pairs = copies.join(blocks, ["part", "copy"]).select("ids", "data", "width", "dim", "c_ids", "c_null", "c_data", "c_width", "c_dim")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpack(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray]:
-            ids = np.frombuffer(row[f"{prefix}ids"], "<i8")
-            return ids, np.frombuffer(row[f"{prefix}data"], {1: np.int8, 2: np.int16, 4: np.int32}[row[f"{prefix}width"]]).reshape(len(ids), row[f"{prefix}dim"])
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
-                (q_ids, q), (c_ids, c) = unpack(row, ""), unpack(row, "c_")
-                null = np.frombuffer(row["c_null"], bool)
-                out: list[tuple] = []
-                for n, total in enumerate(scores(q, c)):
-                    own = np.flatnonzero((c_ids != q_ids[n]) | null)
-                    places = own[best(total[own], c_ids[own], k)]
-                    out.append((np.full(len(places), q_ids[n]), np.full(len(places), hash_row(q[n])), c_ids[places], null[places], total[places].astype(np.int64)))
-                a, b, ids, none, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids, mask=none), pa.array(s)], names=["query_id", "row", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, row long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    """query_id, rank, vec_id, score: for each query row its k best among all other rows."""
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v"), is_query.alias("query"))
+    blocks = saved(pack(rows).withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
+    n, asked = blocks.count(), blocks.where(F.contains("query", F.lit(b"\x01")))
+    # Tiles are no larger than memory allows, and small enough that all cores have some.
+    wide = max(1, min(TILE_CANDIDATES, n // max(1, spark.sparkContext.defaultParallelism)))
+    down, across = -(-n // TILE_QUERIES) or 1, -(-n // wide) or 1
+
+    def dealt(df: DataFrame, own: str, into: int, other: str, times: int) -> DataFrame:
+        dealt = df.withColumn(own, F.pmod(F.xxhash64("block"), F.lit(into)).cast("int"))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+
+    queries, candidates = dealt(asked, "down", down, "across", across), dealt(blocks, "across", across, "down", down)
+
+    def tile(asked: pa.Table, held: pa.Table) -> pa.Table:
+        own = [Block(r) for r in held.to_pylist()]
+        out: dict[str, list] = {c: [] for c in ("query_id", "block", "place", "vec_id", "score", "wide")}
+        for row in asked.to_pylist() if own else ():
+            q = Block(row)
+            for place, ids, null, total in _merged(q, own, k):
+                near, wide = _cells(total)
+                for c, x in zip(out, (np.full(len(ids), q.ids[place]), np.full(len(ids), q.key), np.full(len(ids), place), pa.array(ids, mask=null), near, pa.array(wide, pa.binary())), strict=True):
+                    out[c].append(x if isinstance(x, pa.Array) else pa.array(x, pa.int64()))
+        kinds = dict.fromkeys(out, pa.int64()) | {"wide": pa.binary()}
+        return pa.table({c: pa.chunked_array(x, kinds[c]) for c, x in out.items()})
+
+    found = queries.groupBy("down", "across").cogroup(candidates.groupBy("down", "across")).applyInArrow(tile, "query_id long, block long, place long, vec_id long, score long, wide binary")
+    order = Window.partitionBy("query_id", "block", "place").orderBy(F.desc("score"), F.desc("wide"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def hash_row(row: np.ndarray) -> int:
-    """Tells apart different vectors under one query id."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(row.astype("<i8").tobytes()) - (1 << 63)
-
-
 def top_documents(spark, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -24,15 +25,38 @@ def test_oracle(spark, sf_dir, name):
 # Top-k
 
 
+def plain_top_k(rows, k):
+    """query row to its k best (vec_id, score), with integers of any size; rows are known by their place."""
+    whole = [(i, None if v is None or not v or any(c is None or not math.isfinite(c) for c in v) else [64 * int(c) if abs(c) >= 2.0**56 else math.floor(64 * c) for c in v]) for i, v in rows]
+    out = []
+    for n, (q_id, q) in enumerate(whole):
+        if q is not None and q_id is not None and q_id % 20 == 0:
+            found = [(-sum(a * b for a, b in zip(q, c, strict=False)), i is None, i or 0) for m, (i, c) in enumerate(whole) if m != n and c is not None]
+            out += [(q_id, r, None if none else i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, none, i) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out, key=repr)
+
+
 def test_top_k_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [1.0, None]), (5, [inf, 0.0]), (6, [0.5, 0.5]), (7, [1e30, -1e30]), (8, []), (20, [0.0, -0.001]), (None, [0.5, 0.5]), (9, [2.0]), (0, [1.0, 0.5])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 4).orderBy("query_id", "rank").collect()]
-    # 64 * 1 and 64 * 0.5 are the first query's terms; 7 is clamped, 9 is filled up with a zero.
-    assert got[:4] == [(0, 1, 9, 64 * 128), (0, 2, 1, 64 * 32 + 32 * 32), (0, 3, 6, 64 * 32 + 32 * 32), (0, 4, None, 64 * 32 + 32 * 32)] or got[0][2] == 7
-    assert [g[3] for g in got if g[0] == 20] == sorted((g[3] for g in got if g[0] == 20), reverse=True)
+    rows = [(0, [1.0, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [1.0, None]), (5, [inf, 0.0]), (6, [0.5, 0.5]), (8, []), (20, [0.0, -0.001]), (None, [0.5, 0.5]), (9, [2.0]), (0, [1.0, 0.5]), (20, [1.0, 2.0])]
+    rows += [(40, [1.0]), (41, [4e6]), (42, [5e6]), (43, [4e6, 1e30]), (60, [-3e300, 2.5]), (61, [1e300]), (62, [-2e300, -7.0]), (63, [-1e300, 1.0]), (40, [1.0]), (0, [1e17, -1e17])]
+    for k in (2, 4, 50):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("block", F.lit(1))
+        got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k).collect()]
+        assert sorted(got, key=repr) == plain_top_k(rows, k)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert topk.top_k(df, F.lit(False)).count() == 0
+    assert topk.top_k(df.where("vec_id = 60"), F.lit(True)).count() == 0
+
+
+def test_top_k_over_several_tiles(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i % 150, [rng.choice([0.0, 0.0, rng.uniform(-2, 2)]) for _ in range(12)]) for i in range(300)]
+    monkeypatch.setattr(topk, "ROWS", 16)
+    monkeypatch.setattr(topk, "TILE_QUERIES", 1)
+    monkeypatch.setattr(topk, "TILE_CANDIDATES", 2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 7).collect()), key=repr) == plain_top_k(rows, 7)
 
 
 def test_top_k_has_a_score_for_sparse_postings():
@@ -55,7 +79,7 @@ def plain_lines(docs):
         kept = []
         for line in [] if text is None else text.split("\n"):
             words = set(filter(None, re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in line))))
-            if len(words) >= lines.LEAST_WORDS:
+            if words:
                 if any(5 * len(words & w) >= 4 * len(words | w) for w in before):
                     before.append(words)
                     continue
