@@ -1,14 +1,20 @@
 """Secret scans: three patterns, and a battery of randomness tests for what no pattern names.
 
 The battery takes every run of 20 or more letters, digits and ``+/_-``, infers its encoding (hexadecimal, base 32,
-base 64) and asks two things. Is it like a uniform draw from that alphabet? Chi-squared over the alphabet, a runs test
-around the alphabet's middle and lag-1 serial correlation must each not reject that. Is it unlike a word or a name?
-Under that null hypothesis neighbours rarely change between lower case, upper case and digits; the number of changes
-gives a p-value that shrinks with length. Which p-values count is settled by Benjamini and Hochberg over the whole
-corpus, for each class of lengths by itself, from a histogram of fixed size, so that many short words don't hide long
-keys and don't pass as some.
-
-Edge cases: null is the empty text and has no span; repeated rows are scanned alike; a text is scanned whole.
+base 64) and tests it three ways against a uniform draw from that alphabet: chi-squared over the alphabet, a runs test
+around the alphabet's middle, lag-1 serial correlation. The three scores are combined into one, the sum of their
+squares, which is small for a random key and large for a word, a name or a number.
+
+How small is small depends on the length: in 20 characters a name can look random, in 60 it can't. So the combined score
+is turned into a p-value, the probability that a name of this length and alphabet scores as low; that is found by
+drawing names from a fixed model (letters as in prose, few changes between lower case, upper case, digits and signs),
+always with the same seed, so no approximation for long runs is asked of short ones. Which p-values count is settled by
+Benjamini and Hochberg over the whole corpus, for each class of lengths by itself, from a histogram of fixed size, so
+that many short words don't hide long keys and don't pass as some.
+
+Edge cases: null is the empty text and has no span; repeated rows are scanned alike, and each counts; a text is scanned
+whole, and a run of any length is one run; a run whose characters fit no encoding isn't tested; equal p-values are
+found together or not at all; a table without rows gives none; columns of any name can be kept.
 Positions are code points, ends exclusive. Spans of the patterns are those of the whole match.
 """
 
@@ -22,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rowwise, saved, table
+from .common import boxed, saved, table
 
 #: The patterns, in the order in which spans of one start are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
@@ -37,10 +42,17 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-#: How often neighbours in a word or name change their class, at most; levels of the battery and of false discovery.
-CHANGE, UNIFORM_LEVEL, FALSE_DISCOVERY = 0.15, 0.003, 0.01
+#: The shortest run that is tested, and the share of false ones among those found.
+SHORTEST, FALSE_DISCOVERY = 20, 0.05
+RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}")
 #: Bins of the histogram: a bin is a tenth of a power of ten.
 BINS = 400
+#: Names drawn for each p-value; the lengths for which they are drawn (a run is held against the next shorter one).
+DRAWN, LENGTHS = 20_000, (20, 22, 24, 26, 28, 32, 36, 40, 48, 56, 64, 80, 96, 128)
+#: How often letters occur in prose, in hundredths of a percent, from a to z; how often neighbours in a
+#: name stay in their class of characters, and how often each class follows a change.
+LETTERS = [817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7]
+STAY, FOLLOW = 0.85, {"lower": 0.5, "upper": 0.2, "digit": 0.2, "sign": 0.1}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -57,61 +69,83 @@ def encoding_of(run: str) -> str | None:
     return next((k for k, letters in ALPHABETS.items() if chars <= set(letters)), None)
 
 
-def _two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def battery(x: np.ndarray, size: int) -> np.ndarray:
+    """The combined score of each row of places in an alphabet of ``size``: squares of three standard scores."""
+    rows, n = x.shape
+    counts = np.bincount((x + size * np.arange(rows)[:, None]).ravel(), minlength=rows * size).reshape(rows, size)
+    chi, df = (counts.astype(float) ** 2).sum(axis=1) * size / n - n, size - 1
+    z_chi = (np.cbrt(chi / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))  # Wilson and Hilferty
+    above = x >= size / 2
+    n1 = above.sum(axis=1).astype(float)
+    mean = 1 + 2 * n1 * (n - n1) / n
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + (above[:, 1:] != above[:, :-1]).sum(axis=1)
+    # All on one side is one run: as unlikely as n - 1 tosses that agree.
+    z_runs = np.where(spread > 0, (runs - mean) / np.sqrt(np.where(spread > 0, spread, 1)), math.sqrt(n))
+    d = x - x.mean(axis=1, keepdims=True)
+    squares = (d * d).sum(axis=1)
+    lag = (d[:, 1:] * d[:, :-1]).sum(axis=1) / np.where(squares > 0, squares, 1)
+    z_serial = np.where(squares > 0, (lag + 1 / n) * math.sqrt(n), math.sqrt(n))
+    return np.maximum(z_chi, 0) ** 2 + z_runs**2 + z_serial**2
+
+
+def names(alphabet: str, n: int) -> np.ndarray:
+    """Places in the alphabet of ``DRAWN`` names of ``n`` characters."""
+    rng = np.random.default_rng([n, len(alphabet)])
+    kinds = {"lower": str.islower, "upper": str.isupper, "digit": str.isdigit, "sign": lambda c: not c.isalnum()}
+    members = {k: [i for i, c in enumerate(alphabet) if test(c)] for k, test in kinds.items()}
+    present = [k for k, own in members.items() if own]
+    follow = np.cumsum([FOLLOW[k] for k in present]) / sum(FOLLOW[k] for k in present)
+    weights = [[LETTERS[ord(alphabet[i].lower()) - ord("a")] if alphabet[i].isalpha() else 1 for i in members[k]] for k in present]
+    kind = np.empty((DRAWN, n), np.int64)
+    for at in range(n):
+        new = np.searchsorted(follow, rng.random(DRAWN), side="right")
+        kind[:, at] = new if at == 0 else np.where(rng.random(DRAWN) < STAY, kind[:, at - 1], new)
+    out = np.empty((DRAWN, n), np.int64)
+    for k, (name, w) in enumerate(zip(present, weights, strict=True)):
+        where = kind == k
+        drawn = np.searchsorted(np.cumsum(w) / sum(w), rng.random(int(where.sum())), side="right")
+        out[where] = np.array(members[name])[drawn]
+    return out
 
 
-def uniformity(run: str, alphabet: str) -> float:
-    """The smallest of three p-values for "a uniform draw from this alphabet", times three."""
-    place = {c: i for i, c in enumerate(alphabet)}
-    x = np.array([place[c] for c in run], float)
-    n, size = len(x), len(alphabet)
-    counts = np.bincount(x.astype(int), minlength=size)
-    chi, df = float(((counts - n / size) ** 2).sum() * size / n), size - 1
-    z = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))  # Wilson and Hilferty
-    p_chi = 0.5 * math.erfc(z / math.sqrt(2))
-    above = x >= size / 2
-    n1 = int(above.sum())
-    n2 = n - n1
-    if n1 == 0 or n2 == 0:
-        p_runs = 0.5 ** (n - 1)
-    else:
-        runs, mean = 1 + int((above[1:] != above[:-1]).sum()), 1 + 2 * n1 * n2 / n
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        p_runs = _two_sided((runs - mean) / math.sqrt(var)) if var > 0 else 1.0
-    d = x - x.mean()
-    spread = float((d * d).sum())
-    p_serial = _two_sided((float((d[1:] * d[:-1]).sum()) / spread + 1 / n) * math.sqrt(n)) if spread else 0.0
-    return 3 * min(p_chi, p_runs, p_serial)
-
-
-def changes_p(run: str) -> float:
-    """Log10 of the probability that a word or name of this length changes its class of character so often or oftener."""
-    kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in run]
-    n, k = len(run) - 1, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    if k <= CHANGE * n:
-        return 0.0
-    # A Chernoff bound: never too small, exact enough, and it works for runs of any length.
-    q = k / n
-    divergence = q * math.log(q / CHANGE) + ((1 - q) * math.log((1 - q) / (1 - CHANGE)) if q < 1 else 0.0)
-    return -n * divergence / math.log(10)
+class Battery:
+    """P-values of runs; what the model's names score is drawn once for each alphabet and length."""
+
+    def __init__(self) -> None:
+        self._scores: dict[tuple[str, int], np.ndarray] = {}
+        self._places = {k: {c: i for i, c in enumerate(letters)} for k, letters in ALPHABETS.items()}
+
+    def p_value(self, run: str, encoding: str) -> float:
+        """How likely a name of the run's length scores as low as the run, or lower."""
+        place, size = self._places[encoding], len(ALPHABETS[encoding])
+        own = float(battery(np.array([[place[c] for c in run]]), size)[0])
+        n = max(x for x in LENGTHS if x <= len(run))
+        if (encoding, n) not in self._scores:
+            self._scores[encoding, n] = np.sort(battery(names(ALPHABETS[encoding], n), size))
+        return float(np.searchsorted(self._scores[encoding, n], own, side="right") + 1) / (DRAWN + 1)
+
+    def candidates(self, text: str) -> list[tuple[int, int, int, int]]:
+        """Start, end, class of length and bin of the p-value of every run that has an encoding."""
+        out = []
+        for m in RUN.finditer(text):
+            run = m[0].rstrip("=")
+            if (name := encoding_of(run)) is not None:
+                p = self.p_value(run, name)
+                out.append((m.start(), m.end(), int(math.log2(len(run)) * 2), min(BINS - 1, int(-10 * math.log10(p)))))
+        return out
+
+
+#: A worker's own, so that what it has drawn serves all its tasks.
+BATTERY = Battery()
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
-    """Start, end, class of length and bin of the p-value of every run that the battery takes for uniform."""
-    out = []
-    for m in RUN.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) < 20 or not any(c.isdigit() for c in run) or (name := encoding_of(run)) is None:
-            continue
-        passed = uniformity(run, ALPHABETS[name]) >= UNIFORM_LEVEL
-        p = changes_p(run) if passed else 0.0
-        out.append((m.start(), m.end(), int(math.log2(len(run)) * 2), min(BINS - 1, int(-p * 10))))
-    return out
+    return BATTERY.candidates(text)
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep``, base (array of start, kind, end) and runs (array of start, end, class, bin) for each row."""
+    """``keep`` (a struct of these columns), base (array of start, kind, end) and runs (array of start, end, class, bin)."""
 
     def work(texts: pa.Array) -> dict:
         found = [t or "" for t in texts.to_pylist()]
@@ -122,7 +156,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             "runs": pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("length", pa.int32()), ("bin", pa.int32())]))),
         }
 
-    return rowwise(docs, text, keep, lambda: work, "base array<struct<start:bigint,kind:int,end:bigint>>, runs array<struct<start:bigint,end:bigint,length:int,bin:int>>")
+    return boxed(docs, text, keep, lambda: work, "base array<struct<start:bigint,kind:int,end:bigint>>, runs array<struct<start:bigint,end:bigint,length:int,bin:int>>")
 
 
 def discoveries(histogram: dict[tuple[int, int], int], level: float = FALSE_DISCOVERY) -> dict[int, int]:
@@ -151,7 +185,7 @@ def secrets(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     number = [F.size(_of_kind(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select(*[f"`{c}`" for c in keep], *number, F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"), line(F.array_sort(F.concat("base", random))).alias("spans"))
+    return found.select("keep.*", *number, F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"), line(F.array_sort(F.concat("base", random))).alias("spans"))
 
 
 def _of_kind(kind: int):
