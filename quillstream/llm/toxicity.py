@@ -6,8 +6,13 @@ the model finds out by itself which sentences offend, and can point at them.
 
 Features are whole words and how they begin and end, so that inflected insults are known too. Those that fall most
 unevenly on labels are chosen, at most ``MAX_FEATURES``, and the model is fitted on at most ``MAX_LABELLED`` labelled documents, those with the smallest hashes of id. All documents
-are scored, over their whole texts. Edge cases: null and empty texts have no sentence and score the bias of an empty
-bag; labels of null are left out; repeated rows are scored alike; without labels of both kinds all score the prior.
+are scored, over their whole texts, and get the spans of the sentences that offend by themselves.
+
+Edge cases: null and empty texts have no sentence and score the bias of an empty bag; labels and ids of null are left
+out; of an id labelled twice the toxic label counts; repeated rows are scored alike, and learned from once; features
+of equal gain are taken in the order of their length and letters; a text of any length is scored whole, sentence by
+sentence; without labels of both kinds all score the prior; tables without rows give none; columns of any name can be
+kept.
 """
 
 from __future__ import annotations
@@ -20,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rowwise, saved, table
+from .common import boxed, rowwise, saved, table
 
 #: Bounds of the fit: labelled documents, features of the model; words that a scorer remembers.
 MAX_LABELLED, MAX_FEATURES, SEEN = 6_000, 4_096, 300_000
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n…。！？]+")
+#: A sentence's score is no larger, so that the noisy-or of it stays a number.
+MOST = 1 - 1e-12
 #: A prior share of offending sentences and the pull of a weight towards zero.
 PRIOR, L2 = 1e-4, 0.02
 #: How much, in nats, a feature must stand out beyond what chance brings among so many.
@@ -64,6 +71,8 @@ class Model:
         """Start, end and score of every sentence with a known feature."""
         out, at = [], 0
         text = text or ""
+        if not self.known(WORD.findall(text.lower())):
+            return out
         for m in [*SENTENCE.finditer(text), None]:
             end = m.start() if m else len(text)
             if found := self.known(WORD.findall(text[at:end].lower())):
@@ -74,17 +83,10 @@ class Model:
     def log_odds(self, found: set[str]) -> float:
         return self.bias + sum(self.weights[f] for f in sorted(found))
 
-    def score(self, text: str | None) -> float:
-        """The noisy-or over all sentences; those without known features together count as one."""
-        text = (text or "").lower()
-        words = WORD.findall(text)
-        if not words:
-            return self.empty
-        harmless = -float(np.log1p(-self.empty))
-        if self.known(words):
-            for sentence in SENTENCE.split(text):
-                if found := self.known(WORD.findall(sentence)):
-                    harmless += _softplus(self.log_odds(found))
+    def score(self, text: str | None, sentences: list[tuple[int, int, float]] | None = None) -> float:
+        """The noisy-or over all sentences; those without known features, and no sentence, together count as one."""
+        found = self.sentences(text) if sentences is None else sentences
+        harmless = -float(np.log1p(-self.empty)) - sum(float(np.log1p(-min(s, MOST))) for _, _, s in found)
         return -float(np.expm1(-harmless))
 
 
@@ -92,10 +94,6 @@ def _sigmoid(z: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _softplus(z: float) -> float:
-    return float(np.logaddexp(0, z))
-
-
 def learnable(doc_id: Column) -> Column:
     """Whether labels of this row may be learned from: a fifth of all ids is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
@@ -209,35 +207,47 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     return fit(rows["label"].to_numpy(float), [[list(s) for s in bag] for bag in rows["bag"]], names)
 
 
-def scores(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep``, score and predicted for each row."""
+SPANS = "spans array<struct<start:bigint,end:bigint,score:double>>"
+
+
+def _spans(found: list[list[tuple[int, int, float]]], least: float) -> pa.Array:
+    rows = [[{"start": a, "end": b, "score": s} for a, b, s in own if s >= least] for own in found]
+    return pa.array(rows, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))
+
+
+def _scored(docs: DataFrame, model: Model, keep: list[str], text: str, least: float = 0.5) -> DataFrame:
+    """``keep`` (a struct), score, predicted and spans (start, end and score of each sentence that offends by itself)."""
 
     def work(texts: pa.Array) -> dict:
-        found = np.array([model.score(t) for t in texts.to_pylist()], float)
-        return {"score": pa.array(found), "predicted": pa.array((found >= 0.5).astype(np.int32))}
+        own = texts.to_pylist()
+        found = [model.sentences(t) for t in own]
+        score = np.array([model.score(t, s) for t, s in zip(own, found, strict=True)], float)
+        return {"score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32)), "spans": _spans(found, least)}
+
+    return boxed(docs, text, keep, lambda: work, f"score double, predicted int, {SPANS}")
 
-    return rowwise(docs, text, keep, lambda: work, "score double, predicted int")
+
+def scores(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep``, score and predicted for each row."""
+    return _scored(docs, model, keep, text).select("keep.*", "score", "predicted")
 
 
 def offending(docs: DataFrame, model: Model, keep: list[str], text: str = "text", least: float = 0.5) -> DataFrame:
     """``keep`` and ``spans``: start, end and score of each sentence that scores ``least`` or more by itself."""
 
-    def work(texts: pa.Array) -> dict:
-        rows = [[{"start": a, "end": b, "score": s} for a, b, s in model.sentences(t) if s >= least] for t in texts.to_pylist()]
-        return {"spans": pa.array(rows, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))}
-
-    return rowwise(docs, text, keep, lambda: work, "spans array<struct<start:bigint,end:bigint,score:double>>")
+    return _scored(docs, model, keep, text, least).select("keep.*", "spans")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model, learned from ``labels``, doesn't call toxic; columns are unchanged."""
     model = train(docs, labels)
     columns = docs.columns
-    return scores(docs, model, columns).where("predicted = 0").select(*[f"`{c}`" for c in columns])
+    return _scored(docs, model, columns, "text").where("predicted = 0").select("keep.*")
 
 
 def score_documents(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = ~learnable(F.col("doc_id"))
-    scored = scores(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+    scored = _scored(docs, train(docs, table(spark, sf_dir, "labels")), ["doc_id"], "text").select("keep.doc_id", "score", "predicted", "spans")
+    located = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", located.alias("offending"))
