@@ -8,7 +8,9 @@ them; matches are verified over all 64 bits. Only distinct fingerprints take par
 a link is emitted once: by its smaller fingerprint, in the first segment that is close enough.
 
 Edge cases: null and empty texts, and texts of white space only, have fingerprint 0 and are linked like any other;
-fewer words than a shingle has are one shingle; repeated rows and repeated ids give one output row each.
+fewer words than a shingle has are one shingle; repeated rows and repeated ids give one output row each; texts of any
+length are read whole, a bounded number of shingles at a time; fingerprints at exactly the radius are linked; a table
+without rows gives none; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import BlockedBloom
 from .common import BYTES_LOWER, rowwise, saved
 from .components import connected_components
 
@@ -119,37 +122,43 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the row with the group's smallest id stays.
+    """The rows of ``docs`` without near duplicates: of each group one row with the group's smallest id stays.
 
-    Where a repeated row or id would leave a group with several rows, the first by text stays. Columns are unchanged.
+    Columns are unchanged, whatever their names.
     """
-    prints = saved(with_fingerprints(docs.withColumn("__mark", mark_of("text")), [id_col, "__mark"], width), "simhash")
-    labelled = prints.join(groups(prints, radius, id_col=id_col), "fp")
-    return one_of_each(docs, labelled.select(F.col(id_col).alias("__id"), "__mark", "component", "component_id"), id_col)
+    slim = marked(docs, id_col)
+    prints = saved(with_fingerprints(slim, ["id", "mark"], width), "simhash")
+    found = groups(prints, radius, id_col="id").select("fp", "component")
+    return one_of_each(docs, prints.join(found, "fp").select("id", "mark", "component"), id_col)
+
+
+def marked(docs: DataFrame, id_col: str) -> DataFrame:
+    """id, mark and text of each row; the mark tells texts under one id apart."""
+    return docs.select(F.col(f"`{id_col}`").alias("id"), mark_of("text").alias("mark"), "text")
 
 
 def mark_of(text: str) -> Column:
-    """Tells texts under one id apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def one_of_each(docs: DataFrame, labelled: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` less all but one of each component: of the rows with its smallest id, the first by text.
+    """The rows of ``docs`` less all but one of each component: of the rows with its smallest id, one with the least mark.
 
-    ``labelled`` has __id, __mark, component and component_id (the component's smallest id) for each row of ``docs``.
+    ``labelled`` has id, mark and component for each row of ``docs``. Where that row is repeated, one of the equal ones
+    stays. Only rows that may go or are repeated are shuffled.
     """
-    stays = F.col("__id").eqNullSafe(F.col("component_id"))
-    lost = labelled.where(~stays).select("__id", "__mark").distinct()
-    # Rows are counted by component: unrelated rows may have the same id, or none.
-    repeated = labelled.where(stays).groupBy("component").count().where("count > 1").select("component")
-    several = labelled.where(stays).join(repeated, "component", "left_semi").select("__id", "__mark", "component").distinct()
-
-    def on(side: DataFrame):
-        return docs[id_col].eqNullSafe(side["__id"]) & (mark_of("text") == side["__mark"])
-
-    kept = docs.join(lost, on(lost), "left_anti")
-    single = kept.join(several, on(several), "left_anti")
-    whole = F.struct(*[docs[c] for c in docs.columns])
-    order = F.struct(docs["text"], F.to_json(F.struct(*[docs[c] for c in docs.columns if c not in (id_col, "text")])))
-    first = kept.join(several, on(several)).select("component", whole.alias("__row"), order.alias("__order")).groupBy("component").agg(F.min_by("__row", "__order").alias("__row"))
-    return single.unionByName(first.select("__row.*"))
+    keys = labelled.groupBy("component", "id", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    keys = saved(keys, "near-keys")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")  # an id of null only where there is no other
+    stays = keys.groupBy("component").agg(F.min(order).alias("stays"))
+    again = order.eqNullSafe(F.col("stays"))
+    fate = saved(keys.join(stays, "component").select("id", "mark", again.alias("again"), "copies").where("not again or copies > 1"), "near-fate")
+    bloom = BlockedBloom(fate, "mark", fate.count())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"), mark_of("text").alias("own_mark"))
+    may = bloom.may_hold(F.col("own_mark"))
+    met = rows.where(may).join(fate, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark")), "left")
+    out = rows.where(~may).select("row").unionByName(met.where("again is null").select("row"))
+    if fate.where("again").count():
+        first = met.where("again").groupBy("own_id", "own_mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.unionByName(first.select("row"))
+    return out.select("row.*")
