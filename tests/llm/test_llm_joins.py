@@ -224,6 +224,43 @@ def test_urls_match_brute_force(spark):
     assert {r["verdict"] for r in urls.judge(df, urls.rules_frame(spark).limit(0), ["page_id"]).collect()} == {"allow"}
 
 
+def plain_canonical(url):
+    if url is None or "://" not in url:
+        return None
+    scheme, rest = url.split("://", 1)
+    host, path, _, _ = plain_verdict(url, [])
+    host = re.sub(r"\.+(?=:|$)", "", re.sub("^.*@", "", host))
+    host = host.removesuffix({"http": ":80", "https": ":443"}.get(scheme.lower(), "none"))
+    decode = lambda t: re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)) if re.match("[A-Za-z0-9._~-]", chr(int(m[1], 16))) else m[0].upper(), t)
+    done = []
+    for x in decode(path).split("/"):
+        if x == "..":
+            done = done[: max(len(done) - 1, 1)]
+        elif x != ".":
+            done.append(x)
+    query = re.match(r"[^?#]*\?([^#]*)", rest)
+    asked = sorted(x for x in decode(query[1] if query else "").split("&") if x and not re.match(urls.TRACKING, x))
+    return host + "/".join(done).rstrip("/") + ("?" + "&".join(asked) if asked else "")
+
+
+def test_canonical_urls_match_a_plain_version(spark):
+    found = [None, "", "no scheme", "http://", "HTTP://User:pw@A.Example.COM.:80/a/./b/../c/?b=2&a=1&utm_source=x#top", "https://a.example.com:443", "https://a.example.com:80/", "http://a/%7euser/%2f%C3%a9%4", "http://a/../../b/..", "http://a/b/./", "http://a//b//", "http://a/?ref=1&ref", "http://a?x=%41&&y", "ftp://a:80/x%zz%", "http://a/b?u=http://c/d?e", "http://a/" + "x/../" * 300 + "y", "http://é.org/é"]
+    df = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    got = {r["page_id"]: r["c"] for r in df.select("page_id", urls.canonical(F.col("url")).alias("c")).collect()}
+    assert [got[i] for i in range(len(found))] == [plain_canonical(u) for u in found]
+
+
+def test_listed_urls_are_blocked_unless_a_rule_says_more(spark):
+    found = ["http://a.org/x", "https://a.org/x/#y", "http://a.org/x?ref=z", "http://b.com/x", "https://b.com/x", "http://b.net/es/1", "http://b.net/es/1", None, None, "http://c.org", "no", "no"]
+    df = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(found)], "page_id long, url string, key string, row string")
+    got = [r["verdict"] for r in urls.judge(df, urls.rules_frame(spark), ["page_id", "key", "row"], listed=urls.repeated(df)).orderBy("page_id").collect()]
+    assert got == ["allow", "block", "block", "allow", "allow", "block", "block", "allow", "allow", "allow", "allow", "allow"]
+    many = spark.createDataFrame([(f"h{i}.org/p", None) for i in range(0, 30_000, 3)], "url string, keeper long")
+    some = spark.createDataFrame([(i, f"http://h{i}.org/p/") for i in range(600)], "page_id long, url string")
+    got = urls.judge(some, urls.rules_frame(spark).limit(0), ["page_id"], listed=many).collect()
+    assert all((r["verdict"] == "block") == (r["page_id"] % 3 == 0) for r in got)
+
+
 # The whole
 
 
