@@ -1,21 +1,28 @@
 """Main text of HTML pages: site templates are found by what recurs on a host, and taken out.
 
-Each page is parsed once, on the executors, to its blocks of text. Every container's subtree is hashed; Spark counts
-on how many pages of its host a hash occurs, and text under a subtree that recurs on many pages is deleted. What the
-page itself says is used too: menus, headers, footers, sidebars, forms, scripts and styles by element, role or class.
-The article (or main) element is the page's own content: it is no template itself, and a paragraph, heading or list
-inside it isn't either, since plain sentences recur as well; a container without such a claim, like a box of links
-inside the article, is deleted if it recurs.
-
-Edge cases: null and empty pages give the empty text; markup that is cut off or badly nested is read as far as it
-goes, and open elements end with the page; repeated rows count as pages each and give one output row each; a page with
-a null or odd URL belongs to the host of the empty name; pages without an article are read from the body.
+Each page is parsed once, on the executors, to its blocks of text. Every box (div, section, list, table and the like) is
+hashed with all below it; Spark counts on how many different pages of its host a hash occurs, and text in a box that
+recurs on ``LEAST_PAGES`` of them or more is deleted, however large the host is. Pages with the same content count as
+one, so that copies of a page don't make a template of it. What the page itself says is used too: menus, headers,
+footers, sidebars, forms, scripts and styles by element, role or class. The article (or main) element is the page's own
+content: it is no template itself, and a list or table inside it isn't either, but a box without such a claim, like one
+of links inside the article, is. Paragraphs are no boxes, since plain sentences recur as well.
+
+Reading takes time in proportion to the page's length, whatever is left open in it: tags are scanned forwards only, end
+tags look up whether their element is open, and a block knows its box, a box the one around it.
+
+Edge cases: null and empty pages give the empty text; markup that is badly nested is read as far as it goes, open
+elements end with the page, and a tag that never ends takes the rest of the page with it; pages of any length and
+depth are read whole; repeated rows give one output row each; a box on exactly ``LEAST_PAGES`` pages is a template; a
+page with a null or odd URL belongs to the host of the empty name; pages without an article are read from the body; a
+table without rows gives none; columns of any name can be kept.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -23,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rowwise, saved, table
+from .common import boxed, saved, table
 from .urls import host_of
 
-#: A subtree is a template's if it occurs on so many pages of the host, and on such a share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.1
+#: A box is a template's if it occurs on so many different pages of the host.
+LEAST_PAGES = 5
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+#: What may begin markup; what ends a tag, or hides its end.
+OPENS, ENDS = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])"), re.compile("[\"'>]")
+NAME = re.compile(r"[^\s/>]+")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext template".split())
@@ -53,14 +62,18 @@ ENDS_P = BLOCK - {"body", "caption", "html", "tbody", "td", "tfoot", "th", "thea
 OUT_TAGS = frozenset("aside button canvas dialog footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
 OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 OUT_WORDS = frozenset(
-    "ad ads adslot advert adverts advertisement advertisements banner breadcrumb breadcrumbs byline comment comments consent cookie cookies"
-    " disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager"
-    " pagination popup promo promotion promoted recommended related respond reply replies share sharing sidebar signup social sponsor"
-    " sponsored subscribe subscription teaser toolbar widget".split()
+    "menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer sidebar"
+    " notice notices notification cookie cookies consent gdpr banner popup modal"
+    " ad ads adslot advert adverts advertisement advertisements promo promotion promoted sponsor sponsored"
+    " newsletter signup login subscribe comment comments disqus".split()
 )
-#: Subtrees of these are counted; inside the article, these alone can be a template's.
-CONTAINERS = frozenset("article aside div dl fieldset figure footer form header main menu nav ol p section table ul blockquote".split())
-BOXES = frozenset("aside div fieldset footer form header menu nav section".split())
+#: Boxes are counted by their subtrees; inside the article, only those of the second kind.
+BOXES = frozenset("article aside div dl fieldset figure footer form header main menu nav ol section table ul".split())
+BARE = frozenset("aside div fieldset footer form header menu nav section".split())
+#: The groups of CLOSES and the paragraph, each with what closes in it and what it can't close beyond.
+GROUPS = [({"p"}, {"table", "td", "th", "caption", "button", "object"}), *dict.fromkeys((frozenset(a), frozenset(b)) for a, b in CLOSES.values())]
+GROUP_OF = {tag: GROUPS.index((frozenset(a), frozenset(b))) for tag, (a, b) in CLOSES.items()}
+SCOPED = frozenset().union(*(a | b for a, b in GROUPS))
 
 
 @dataclass(slots=True)
@@ -68,52 +81,102 @@ class Element:
     tag: str
     attributes: str = ""
     children: list = field(default_factory=list)
+    #: For each of GROUPS the depth of the element that it would close from here, if any.
+    scope: tuple = (None,) * len(GROUPS)
+
+
+class Scanner:
+    """Goes through a page's markup once, from its beginning to its end."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self._none: dict[str, bool] = {}
+
+    def find(self, what: str, at: int) -> int:
+        """Where a character is next; that there is none is remembered, as nothing is asked for further back."""
+        if self._none.get(what):
+            return -1
+        if (found := self.html.find(what, at)) < 0:
+            self._none[what] = True
+        return found
+
+    def end_of_tag(self, at: int) -> int:
+        """Where the tag that is open at ``at`` ends: at a ``>`` outside quotes; a quote that isn't closed hides nothing."""
+        while m := ENDS.search(self.html, at):
+            if m[0] == ">":
+                return m.start()
+            closing = self.find(m[0], m.end())
+            at = closing + 1 if closing >= 0 else m.end()
+        return -1
+
+    def end_of_raw(self, tag: str, at: int) -> tuple[int, int]:
+        """Where the text of an element without markup inside ends, and where its end tag does."""
+        n = len(self.html)
+        if self._none.get("</" + tag) or not (m := re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(self.html, at)):
+            self._none["</" + tag] = True
+            return n, n
+        end = self.find(">", m.end())
+        return m.start(), end + 1 if end >= 0 else n
 
 
 def parse(html: str) -> Element:
     """A tree of elements and strings (character references not yet decoded)."""
     root = Element("#page")
-    stack = [root]
+    stack, open_ = [root], Counter()
+    scanner = Scanner(html)
+
+    def close(depth: int) -> None:
+        open_.subtract(x.tag for x in stack[depth:])
+        del stack[depth:]
+
+    def close_in(group: int) -> None:
+        if (depth := stack[-1].scope[group]) is not None:
+            close(depth)
+
     at = 0
-    while m := TOKEN.search(html, at):
+    while m := OPENS.search(html, at):
         if m.start() > at:
             stack[-1].children.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if m[0] == "<!--":
+            end = html.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(html)
+            continue
+        if m[0] in ("<!", "<?"):
+            end = scanner.find(">", m.end())
+            at = end + 1 if end >= 0 else len(html)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        name = NAME.match(html, m.end() - 1)
+        end = scanner.end_of_tag(name.end())
+        tag, at = name[0].lower(), end + 1 if end >= 0 else len(html)
+        if end < 0:
+            break
+        if m[0][1] == "/":
+            if open_[tag] > 0:
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                close(depth)
             continue
         if tag in ENDS_P:
-            _close(stack, {"p"}, {"table", "td", "th", "caption", "button", "object"})
-        if tag in CLOSES:
-            _close(stack, *CLOSES[tag])
-        node = Element(tag, m[3])
+            close_in(0)
+        if tag in GROUP_OF:
+            close_in(GROUP_OF[tag])
+        node = Element(tag, html[name.end() : end])
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(html, at)
-            node.children.append(html[at : end.start() if end else len(html)])
-            at = end.end() if end else len(html)
+            end, after = scanner.end_of_raw(tag, at)
+            node.children.append(html[at:end])
+            at = after
         elif tag not in VOID:
+            outer = stack[-1].scope
+            node.scope = tuple(len(stack) if tag in a else None if tag in b else x for (a, b), x in zip(GROUPS, outer, strict=True)) if tag in SCOPED else outer
             stack.append(node)
+            open_[tag] += 1
     if at < len(html):
         stack[-1].children.append(html[at:])
     return root
 
 
-def _close(stack: list[Element], closed: set[str], within: set[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in closed:
-            del stack[k:]
-            return
-        if stack[k].tag in within:
-            return
-
-
 def _is_out(node: Element) -> bool:
     """Whether an element says itself that it isn't content."""
     if node.tag in OUT_TAGS:
@@ -154,79 +217,70 @@ def _articles(root: Element) -> list[Element]:
     )
 
 
-def blocks(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """Blocks of the page's content with the hashes of the containers around each; the hashes of all its containers."""
+def blocks(html: str | None) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
+    """The page's blocks of content, each with its box; all boxes of the page: hash and the box around. -1 is none."""
     root = parse(html or "")
     own = {id(a): a.tag in ("article", "main") for a in _articles(root)}
-    out: list[tuple[str, list[int]]] = []
-    hashes: list[int] = []
+    out: list[tuple[str, int]] = []
+    boxes: list[tuple[int, int]] = []
     digests: dict[int, int] = {}
     pending: list[str] = []
-    path: list[int] = []
 
-    def hashed() -> None:
-        # From the leaves up, without recursion: markup may be nested very deeply.
-        order, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            order.append(node)
-            todo += [c for c in node.children if isinstance(c, Element)]
-        for node in reversed(order):
-            h = xxhash.xxh64(node.tag.encode())
-            for c in node.children:
-                h.update(digests[id(c)].to_bytes(8, "little") if isinstance(c, Element) else b" ".join(c.encode(errors="replace").split()))
-            digests[id(node)] = h.intdigest()
-            if node.tag in CONTAINERS and id(node) not in own:
-                hashes.append(_signed(digests[id(node)]))
-
-    def flush() -> None:
+    # From the leaves up, without recursion: markup may be nested very deeply.
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Element)]
+    for node in reversed(order):
+        h = xxhash.xxh64(node.tag.encode())
+        for c in node.children:
+            h.update(digests[id(c)].to_bytes(8, "little") if isinstance(c, Element) else b" ".join(c.encode(errors="replace").split()))
+        digests[id(node)] = h.intdigest()
+
+    def flush(box: int) -> None:
         if pending:
             text = " ".join(entities.unescape("".join(pending)).split())
             pending.clear()
             if text:
-                out.append((text, list(path)))
+                out.append((text, box))
 
-    hashed()
-    # Entries: an element to enter, a string, or what to do after an element: (is a block, adds to the path).
-    todo: list = [(root, False, False)]
-    while todo:
-        item = todo.pop()
+    # Entries: a string, an element to enter, or the box that a block leaves; with whether text counts, and the box around.
+    steps: list = [(root, False, False, -1)]
+    while steps:
+        item = steps.pop()
         if isinstance(item, str):
             pending.append(item)
             continue
-        if len(item) == 2:
-            if item[0]:
-                flush()
-            if item[1]:
-                path.pop()
+        if isinstance(item, int):
+            flush(item)
             continue
-        node, inside, in_article = item
-        if node.tag in ("br", "wbr", "hr") and inside:
+        node, inside, in_article, box = item
+        if inside and node.tag in ("br", "wbr", "hr"):
             pending.append(" " if node.tag == "br" else "")
             if node.tag == "hr":
-                flush()
-            continue
-        if _is_out(node) and id(node) not in own:
-            if inside and node.tag in BLOCK:
-                flush()
+                flush(box)
             continue
+        block = node.tag in BLOCK
+        if block:
+            flush(box)
         if id(node) in own:
             inside, in_article = True, own[id(node)]
-        block = node.tag in BLOCK
+        elif _is_out(node):
+            inside = False
+        # The article is no template, nor what is around it: these are entered by no block of their own.
+        if id(node) not in own and node.tag in (BARE if in_article else BOXES):
+            boxes.append((_signed(digests[id(node)]), box))
+            box = len(boxes) - 1
         if block:
-            flush()
-        # An ancestor of the article is no template; inside an article only boxes are.
-        counts = inside and id(node) not in own and node.tag in (BOXES if in_article else CONTAINERS)
-        if counts:
-            path.append(_signed(digests[id(node)]))
-        todo.append((block, counts))
+            steps.append(box)
         for c in reversed(node.children):
             if isinstance(c, Element):
-                todo.append((c, inside, in_article))
+                steps.append((c, inside, in_article, box))
             elif inside:
-                todo.append(c)
-    flush()
-    return out, hashes
+                steps.append(c)
+    flush(-1)
+    return out, boxes
 
 
 def _signed(h: int) -> int:
@@ -234,39 +288,55 @@ def _signed(h: int) -> int:
 
 
 def page_blocks(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """``keep``, blocks (array of text and path) and subtrees (array of hashes) for each row."""
+    """``keep`` (a struct), content (a hash of the blocks' texts), blocks (text and box) and boxes (hash and outer box)."""
 
     def work(pages: pa.Array) -> dict:
         found = [blocks(h) for h in pages.to_pylist()]
-        kind = pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))]))
-        return {"blocks": pa.array([[{"text": t, "path": p} for t, p in b] for b, _ in found], kind), "subtrees": pa.array([sorted(set(s)) for _, s in found], pa.list_(pa.int64()))}
+        contents = [_signed(xxhash.xxh64_intdigest("\n".join(t for t, _ in b).encode(errors="replace"))) for b, _ in found]
+        return {
+            "content": pa.array(contents, pa.int64()),
+            "blocks": pa.array([[{"text": t, "box": k} for t, k in b] for b, _ in found], pa.list_(pa.struct([("text", pa.string()), ("box", pa.int32())]))),
+            "boxes": pa.array([[{"hash": h, "outer": k} for h, k in x] for _, x in found], pa.list_(pa.struct([("hash", pa.int64()), ("outer", pa.int32())]))),
+        }
 
-    return rowwise(pages, html, keep, lambda: work, "blocks array<struct<text:string,path:array<bigint>>>, subtrees array<bigint>")
+    return boxed(pages, html, keep, lambda: work, "content bigint, blocks array<struct<text:string,box:int>>, boxes array<struct<hash:bigint,outer:int>>")
 
 
 def templates(parsed: DataFrame) -> DataFrame:
-    """Host and hash of every subtree that recurs on many of the host's pages.
+    """Host and hash of every box that recurs on different pages of the host.
 
-    Counts are summed within partitions before the shuffle, so a host with a third of all pages costs no more.
+    Pairs and counts are reduced within partitions before each shuffle, so a host with a third of all pages costs no more.
     """
-    per_host = parsed.groupBy("__host").agg(F.count(F.lit(1)).alias("pages"))
-    counted = parsed.select("__host", F.explode("subtrees").alias("hash")).groupBy("__host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
-    return counted.join(per_host, "__host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("__host", "hash")
+    there = parsed.select("keep.host", "content", F.explode(F.array_distinct("boxes.hash")).alias("hash")).distinct()
+    return there.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "hash")
+
+
+def _remaining(blocks: list[dict], boxes: list[dict], gone: list[int] | None) -> str:
+    if not gone:
+        return "\n".join(b["text"] for b in blocks)
+    out, dead = set(gone), []
+    for x in boxes:  # a box comes after the one around it
+        dead.append(x["hash"] in out or (x["outer"] >= 0 and dead[x["outer"]]))
+    return "\n".join(b["text"] for b in blocks if b["box"] < 0 or not dead[b["box"]])
 
 
 def main_text(pages: DataFrame, keep: list[str], html: str = "html", url: str = "url") -> DataFrame:
     """``keep``, text and n_chars for each row of ``pages``."""
-    # The host stands beside the columns that are kept, the row's number tells repeated rows apart.
-    rows = pages.select(*[f"`{c}`" for c in keep], F.col(f"`{html}`").alias("__html"), host_of(F.col(f"`{url}`")).alias("__host"), F.monotonically_increasing_id().alias("__row"))
-    parsed = saved(page_blocks(rows, [*keep, "__host", "__row"], "__html"), "html-blocks")
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")
+    rows = pages.select(kept, F.col(f"`{html}`").alias("html"), host_of(F.col(f"`{url}`")).alias("host"), F.monotonically_increasing_id().alias("row"))
+    parsed = saved(page_blocks(rows, ["kept", "host", "row"]), "html-blocks")
     recurring = saved(templates(parsed), "html-templates")
-    paths = parsed.select("__row", "__host", F.explode(F.array_distinct(F.flatten("blocks.path"))).alias("hash"))
-    gone = paths.join(recurring, ["__host", "hash"]).groupBy("__row").agg(F.collect_list("hash").alias("__gone"))  # at most a page's own subtrees
+    # Only boxes that hold content, directly or in boxes inside, can take any with them; the others are looked up for nothing.
+    boxes = parsed.where(F.size("blocks") > 0).select("keep.row", "keep.host", F.explode(F.array_distinct("boxes.hash")).alias("hash"))
+    gone = boxes.join(recurring, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))  # at most a page's own boxes
     gone = saved(gone, "html-gone")  # its size is then known before texts would be shuffled to meet it
-    joined = parsed.join(gone, "__row", "left")
-    left = F.filter("blocks", lambda b: F.col("__gone").isNull() | ~F.arrays_overlap(b["path"], F.col("__gone")))
-    text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
-    return joined.select(*[f"`{c}`" for c in keep], text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    joined = parsed.join(gone, F.col("keep.row") == F.col("row"), "left").select(F.struct("blocks", "boxes", "gone").alias("page"), "keep.kept")
+
+    def work(pages: pa.Array) -> dict:
+        text = [_remaining(p["blocks"], p["boxes"], p["gone"]) for p in pages.to_pylist()]
+        return {"text": pa.array(text, pa.string()), "n_chars": pa.array(list(map(len, text)), pa.int64())}
+
+    return boxed(joined, "page", ["kept"], lambda: work, "text string, n_chars bigint").select("keep.kept.*", "text", "n_chars")
 
 
 def page_texts(spark, sf_dir: str) -> DataFrame:

@@ -245,6 +245,89 @@ def test_html_templates_go_by_host(spark):
     assert got[103] == "Often said.\nOwn 3"
 
 
+def test_html_templates_of_a_few_pages_of_a_large_host(spark):
+    box = "<div><ul><li>Site links<li>More</ul></div>"
+    rows = [(i, "http://hot.com/x", f"<body>{box if i % 20 == 0 else ''}<div class='byline'>By {i}</div><div><p>Often said.</p><p>Own {i}</p></div></body>") for i in range(200)]
+    # Copies of one page are no template; four different pages are too few, five are enough.
+    rows += [(300 + i, "http://copies.com/x", "<body><div><section><p>All</p></section><section><p>of it</p></section></div></body>") for i in range(9)]
+    rows += [(400 + i, "http://four.com/x", f"<body><section><p>Box</p></section><p>{i}</p></body>") for i in range(4)]
+    rows += [(500 + i, "http://five.com/x", f"<body><section><p>Box</p></section><p>{i}</p></body>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(df, ["page_id"]).collect()}
+    assert all(got[i] == f"By {i}\nOften said.\nOwn {i}" for i in range(200))
+    assert all(got[300 + i] == "All\nof it" for i in range(9))
+    assert all(got[400 + i] == f"Box\n{i}" for i in range(4))
+    assert all(got[500 + i] == str(i) for i in range(5))
+
+
+def test_html_keeps_what_the_article_says(spark):
+    page = "<article><p class='byline'>By A</p><p class='teaser'>In short</p><div class='related-work'>Others</div><div class='share'>S</div><div id='comments'>No</div><div role='alert'>No</div></article>"
+    df = spark.createDataFrame([(1, "u", page, 7, 8, 9)], "page_id long, url string, html string, host int, row int, page int")
+    got = html.main_text(df, ["page_id", "host", "row", "page"]).collect()[0]
+    assert got["text"] == "By A\nIn short\nOthers\nS"
+    assert (got["host"], got["row"], got["page"]) == (7, 8, 9)
+
+
+@pytest.mark.parametrize("part", ["<a ", "</x>", "<div>a", "<div>", "<li>", "<!--", "<!", '<a "', "<a ='>", "<script", "<p><object><div>", "<td>x", "<b></i>", "&amp", "<p>x</p>", "<div class=a b c d>", "</script", "<script></scrip>", "x <"])
+def test_html_is_read_in_proportion_to_its_length(part):
+    import time
+
+    times = []
+    for n in (100_000, 400_000):
+        page = "<p>begin</p>" + part * (n // len(part))
+        began = time.perf_counter()
+        found, _ = html.blocks(page)
+        times.append(time.perf_counter() - began)
+        assert found[0][0].startswith("begin")
+    assert times[1] < max(12 * times[0], 1.0)
+
+
+def plain_text_blocks(page):
+    """An independent reading by the standard library's parser: every block's text, for pages without anything to leave out."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.now = [], []
+
+        def flush(self, *_):
+            if text := " ".join("".join(self.now).split()):
+                self.out.append(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            self.now.append(" ") if tag == "br" else self.flush() if tag in html.BLOCK else None
+
+        def handle_endtag(self, tag):
+            self.flush() if tag in html.BLOCK else None
+
+        def handle_data(self, data):
+            self.now.append(data)
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    r.flush()
+    return r.out
+
+
+def test_html_blocks_match_another_parser():
+    rng = random.Random(31)
+
+    def inner(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["a b", "x &amp; y", " \n", "c&nbsp;d", "<br>", "é &lt;p&gt;"])
+        tag = rng.choice(["div", "p", "b", "section", "ul", "span", "i", "table", "blockquote"])
+        if tag == "p":
+            return f"<p>{rng.choice(['t', 'u <b>v</b> w'])}</p>"
+        return f"<{tag} class='k'>{''.join(inner(depth - 1) for _ in range(rng.randint(0, 4)))}</{tag}>"
+
+    for _ in range(300):
+        page = "<body>" + "".join(inner(4) for _ in range(4)) + "</body>"
+        assert [t for t, _ in html.blocks(page)[0]] == plain_text_blocks(page), page
+
+
 def test_html_of_the_tables_is_the_article(spark, sf_dir):
     import html as entities
 
