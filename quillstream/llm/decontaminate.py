@@ -7,8 +7,9 @@ its window and compares them. Overlapping hit windows extend to the whole shared
 are one window of their own length, whose fingerprint is the hash of all its words.
 
 Edge cases: null has no words and hits nothing, nor does an item without words; repeated rows of documents give one
-output row each; the same window in several items is looked up once and counts for all of them; an empty benchmark
-hits nothing.
+output row each, benchmark rows of one id are one item; the same window in several items is looked up once and counts
+for all of them; texts of any length are read whole; tables without rows hit nothing and give none; columns of any name
+can be kept.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .common import ascii_lower, saved, table
 
 WINDOW, GRAM = 10, 3
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many benchmark windows are broadcast (some MB); more are joined by a shuffle that Spark may split.
-MAX_BROADCAST = 50_000
+#: Up to so many benchmark windows of so many bytes are broadcast; more are joined by a shuffle that Spark may split.
+MAX_BROADCAST, MAX_BYTES = 50_000, 16_000_000
 
 
 def _with_words(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -57,7 +58,7 @@ def _with_fingerprints(df: DataFrame, words: str, length: int) -> DataFrame:
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct windows of the benchmark: length, f (fingerprint), span (its words), items."""
+    """Distinct windows of the benchmark: length, f (fingerprint), span (its words), items (sorted), g (which says what items)."""
     base = _with_words(items.select(F.col(id_col).alias("item"), F.col(text).alias("__text")), "__text", "__w").where("size(__w) > 0")
     base = saved(base.select("item", "__w"), "decontaminate-items")
     parts = []
@@ -69,13 +70,18 @@ def windows(items: DataFrame, id_col: str = "item_id", text: str = "text") -> Da
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return found.groupBy("length", "f", "span").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
+    found = found.groupBy("length", "f", "span").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    return found.withColumn("g", F.xxhash64("items", F.size("items")))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """``keep``, n_words, spans (array of start and end words, merged), items (sorted ids as strings) for each row."""
-    listed = saved(windows(benchmark, item_id), "decontaminate-windows")
-    lengths = {r["length"]: r["n"] for r in listed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+def hits(docs: DataFrame, listed: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep``, n_words, spans (array of start and end words, merged), groups (sorted, of what windows stand for) for each row.
+
+    ``listed`` are the stored ``windows``.
+    """
+    listed = listed.drop("items")
+    sizes = listed.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("span")).alias("bytes")).collect()  # a row for each length
+    lengths = {r["length"]: r["n"] for r in sizes}
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__keep")  # whatever the names, they clash with none here
     rows = _with_words(docs.select(kept, F.col(f"`{text}`").alias("__text"), F.monotonically_increasing_id().alias("__row")), "__text", "__w").drop("__text")
     found: list[str] = []
@@ -89,14 +95,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
         found.append(f"__hits{length}")
     n_words = F.size("__w").cast("long").alias("n_words")
     if not found:
-        return rows.select("__keep.*", n_words, F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+        return rows.select("__keep.*", n_words, F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.array().cast("array<bigint>").alias("groups"))
     possible = rows.select("__keep", "__row", n_words, F.explode_outer(F.concat(*found)).alias("__hit"))
     possible = possible.select("*", F.col("__hit.length").alias("length"), F.col("__hit.f").alias("f"), F.col("__hit.span").alias("span"), F.col("__hit.at").alias("at")).drop("__hit")
-    right = F.broadcast(listed) if sum(lengths.values()) <= MAX_BROADCAST else listed
+    small = sum(lengths.values()) <= MAX_BROADCAST and sum(r["bytes"] for r in sizes) <= MAX_BYTES
+    right = F.broadcast(listed) if small else listed
     joined = possible.join(right, ["length", "f", "span"], "left")
-    place = F.when(F.col("items").isNotNull(), F.struct(F.col("at").alias("s"), (F.col("at") + F.col("length")).alias("e")))
+    place = F.when(F.col("g").isNotNull(), F.struct(F.col("at").alias("s"), (F.col("at") + F.col("length")).alias("e")))
     rest = [F.first(c).alias(c) for c in ("__keep", "n_words")]  # the same in all rows of a document
-    merged = joined.groupBy("__row").agg(*rest, F.array_sort(F.collect_set(place)).alias("__s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = joined.groupBy("__row").agg(*rest, F.array_sort(F.collect_set(place)).alias("__s"), F.array_sort(F.collect_set("g")).alias("groups"))
     start = F.array().cast("array<struct<s:int,e:int>>")
 
     def extend(done: Column, x: Column) -> Column:
@@ -104,14 +111,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
         wider = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
         return F.when((F.size(done) > 0) & (x["s"] <= last["e"]), wider).otherwise(F.concat(done, F.array(x)))
 
-    return merged.select("__keep.*", "n_words", F.aggregate("__s", start, extend).alias("spans"), "items")
+    return merged.select("__keep.*", "n_words", F.aggregate("__s", start, extend).alias("spans"), "groups")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``."""
-    found = hits(docs, benchmark, keep)
+    """``keep``, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``.
+
+    Which items a document's groups of windows stand for is worked out once for all documents with the same groups.
+    """
+    listed = saved(windows(benchmark), "decontaminate-windows")
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")
+    found = saved(hits(docs.select(kept, "text"), listed, ["kept"]), "decontaminate-hits")
+    different = found.where(F.size("groups") > 0).select(F.col("groups").alias("of")).distinct()
+    items = listed.groupBy("g").agg(F.first("items").alias("items"))
+    of = different.select("of", F.explode("of").alias("g")).join(items, "g").select("of", F.explode("items").alias("item")).distinct()
+    of = saved(of.groupBy("of").agg(F.array_sort(F.collect_list("item")).alias("items")), "decontaminate-items-of")
+    # Clean documents all have the same groups, none, and don't meet under them.
+    clean = found.where(F.size("groups") == 0).withColumn("items", F.array().cast("array<string>"))
+    joined = found.join(of, found["groups"] == of["of"]).drop("of").unionByName(clean)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + (x["e"] - x["s"]))
-    return found.select(*[f"`{c}`" for c in keep], "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return joined.select("kept.*", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -120,9 +139,11 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     Only ids and a hash of the text go through the search; texts are read again, without the few that were hit.
     """
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    slim = docs.select(F.col(f"`{id_col}`").alias("__id"), mark.alias("__mark"), "text")
-    hit = saved(hits(slim, benchmark, ["__id", "__mark"]).where("size(spans) > 0").select("__id", "__mark").distinct(), "decontaminate-hit")
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["__id"]) & (mark == hit["__mark"]), "left_anti")
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), mark.alias("mark"), "text")
+    listed = saved(windows(benchmark), "decontaminate-windows")
+    hit = saved(hits(slim, listed, ["id", "mark"]).where("size(spans) > 0").select("id", "mark").distinct(), "decontaminate-hit")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"), mark.alias("own_mark"))
+    return rows.join(hit, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark")), "left_anti").select("row.*")
 
 
 def contaminated_documents(spark, sf_dir: str) -> DataFrame:
