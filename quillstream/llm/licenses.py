@@ -1,16 +1,20 @@
 """Licence scans: TF-IDF cosine of a file's statements to licence templates, then inheritance from licence files above.
 
-A statement is a line. Its words are weighted by how few lines of the whole corpus have them, as the templates' are;
-words that no template has count as if one line had them. A statement matches the template to which its cosine is
-largest, if that is ``LEAST`` or more; a file's licence is its best statement's. A file without one inherits from the
-licence file in the nearest directory on its path: ancestors are joined by their paths, the longest that meets wins.
+A statement is a line, and of a licence file (by its name) the whole text as well. Its words are weighted by how few
+lines of the whole corpus have them, as the templates' are; words that no template has count as if one line had them.
+Lines are held against sentences as headers have them, whole texts against licences' texts. A statement matches the
+template to which its cosine is largest, if that is ``LEAST`` or more; a file's licence is its best statement's. A file
+without one inherits from the licence file in the nearest directory on its path: ancestors are joined by their paths,
+the longest that meets wins.
 
 Every line of every file takes part. A line's words that no template has only make its cosines smaller, so lines whose
 other words can't reach ``LEAST`` with any template are left out before they are scored: by a bound on the cosine, which
 holds whatever words the corpus has most.
 
-Edge cases: a null or empty text has no statement; a null path inherits nothing; equal cosines go to the licence first
-in the alphabet; repeated rows give one output row each; without files there is no row.
+Edge cases: a null or empty text has no statement; a null path inherits nothing, and is no licence file; equal cosines go
+to the licence first in the alphabet; a cosine of exactly ``LEAST`` is a match; texts of any length are read whole;
+repeated rows give one output row each, and their lines count for each; without files there is no row; columns of any
+name can be kept.
 """
 
 from __future__ import annotations
@@ -49,6 +53,64 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: The texts of licences that fit in a file, as their authors ask to be copied.
+TEXTS = [
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction,"
+        " including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,"
+        " subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+        " The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."
+        " In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+        " The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness."
+        " In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits,"
+        " whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+        " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+        " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+        " This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."
+        " In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+        " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+        " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+        " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+        " This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."
+        " In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages.",
+    ),
+    (
+        "Zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."
+        " Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+        " 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."
+        " 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,"
+        " for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
+    ),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http www.apache.org licenses LICENSE-2.0"
+        " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+        " See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+        " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+]
 NAMES = "(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
 
@@ -56,10 +118,11 @@ def _words(text: str) -> Column:
     return F.expr(f"filter(transform(split(lower({text}), '[^a-z0-9.+-]+', -1), w -> trim(BOTH '.' FROM w)), w -> w <> '')")
 
 
-def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """template, license, word, tf of a bounded list."""
-    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
-    return rows.select("template", "license", F.explode(_words("text")).alias("word")).groupBy("template", "license", "word").agg(F.count(F.lit(1)).alias("tf"))
+def _templates(spark: SparkSession, sentences: list[tuple[str, str]], texts: list[tuple[str, str]]) -> DataFrame:
+    """template, whole (whether it is a whole text), license, word, tf of a bounded list."""
+    listed = [(i, i >= len(sentences), name, text) for i, (name, text) in enumerate([*sentences, *texts])]
+    rows = spark.createDataFrame(listed, "template int, whole boolean, license string, text string")
+    return rows.select("template", "whole", "license", F.explode(_words("text")).alias("word")).groupBy("template", "whole", "license", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _reaches(words: str, weighted: DataFrame, counts: dict[str, int], unseen: float) -> Column:
@@ -82,16 +145,18 @@ def _reaches(words: str, weighted: DataFrame, counts: dict[str, int], unseen: fl
     return F.exists(F.array(words), lambda own: F.exists(F.array(F.filter(own, lambda w: w.isin(ordered))), lambda known: reaches(own, known)))
 
 
-def statements(files: DataFrame, keep: list[str], templates: list[tuple[str, str]] = TEMPLATES, text: str = "text") -> DataFrame:
-    """``keep`` (which must tell rows apart), line, license, score: the best template of every line that matches one."""
+def statements(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
+    """file, line (null for a whole text), license, score: the best template of every statement that matches one.
+
+    ``files``: file, text, and licence (whether its text as a whole is a statement too). Equal files are told apart.
+    """
     spark = files.sparkSession
-    words = saved(_templates(spark, templates), "licenses-templates")
+    words = saved(_templates(spark, templates, texts), "licenses-templates")
     vocabulary = [r[0] for r in words.select("word").distinct().orderBy("word").collect()]  # as long as the templates are
     known = F.lit(vocabulary)
-    lines = files.select(*[f"`{c}`" for c in keep], F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("line", "__text"))
-    lines = lines.withColumn("__words", _words("__text")).drop("__text")
+    lines = files.select("file", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).withColumn("words", _words("text")).drop("text")
     # How many lines have each of the templates' words; the list of these is short, so nothing large is shuffled.
-    own = F.array_intersect(F.col("__words"), known)
+    own = F.array_intersect(F.col("words"), known)
     counted = lines.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     counts = {r["word"]: r["df"] for r in counted.collect()}
     total = counts.pop("", 0)
@@ -99,26 +164,32 @@ def statements(files: DataFrame, keep: list[str], templates: list[tuple[str, str
     unseen = F.log((F.lit(float(total)) + 1) / F.lit(2.0))
     weighted = words.join(F.broadcast(idf), "word").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weighted = saved(weighted.join(norms, "template").where("norm > 0").select("template", "license", "word", (F.col("w") / F.col("norm")).alias("w")), "licenses-weights")
-    hopeful = lines.where(_reaches("__words", weighted.join(F.broadcast(idf), "word"), counts, log((total + 1) / 2) if total else 0.0))
-    # The line's own norm: words of templates by their counts, all others as seen once.
-    each = hopeful.withColumn("__row", F.monotonically_increasing_id()).withColumn("__word", F.explode("__words"))
-    tf = each.groupBy("__row", "line", *keep, "__word").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.join(F.broadcast(idf), tf["__word"] == idf["word"], "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen)).drop("word", "idf")
-    lengths = tf.groupBy("__row", "line", *keep).agg(F.sum(F.col("w") * F.col("w")).alias("square"), F.collect_list(F.when(F.col("__word").isin(vocabulary), F.struct(F.col("__word").alias("word"), "w"))).alias("terms"))
-    dots = lengths.select("__row", "line", *keep, "square", F.inline("terms")).withColumnRenamed("w", "own")
-    scored = dots.join(F.broadcast(weighted), "word").groupBy("__row", "line", *keep, "square", "template", "license").agg(F.sum(F.col("own") * F.col("w")).alias("dot"))
+    weighted = saved(weighted.join(norms, "template").where("norm > 0").select("template", "whole", "license", "word", (F.col("w") / F.col("norm")).alias("w")), "licenses-weights")
+    # All that follows is about few rows: lines that may match, and licence files.
+    hopeful = lines.where(_reaches("words", weighted.where("not whole").join(F.broadcast(idf), "word"), counts, log((total + 1) / 2) if total else 0.0))
+    entire = files.where("licence").select("file", F.lit(None).cast("int").alias("line"), _words("text").alias("words"))
+    rows = hopeful.unionByName(entire).withColumn("row", F.monotonically_increasing_id())
+    each = rows.select("row", "file", "line", F.col("line").isNull().alias("whole"), F.explode("words").alias("own"))
+    key = ["row", "file", "line", "whole"]
+    tf = each.groupBy(*key, "own").agg(F.count(F.lit(1)).alias("tf"))
+    # The statement's own norm: words of templates by their counts, all others as seen once.
+    tf = tf.join(F.broadcast(idf), tf["own"] == idf["word"], "left").select(*key, "word", (F.col("tf") * F.coalesce("idf", unseen)).alias("own"))
+    terms = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "own")))  # no more than the templates have words
+    lengths = tf.groupBy(*key).agg(F.sum(F.col("own") * F.col("own")).alias("square"), terms.alias("terms"))
+    dots = lengths.select(*key, "square", F.inline("terms"))
+    scored = dots.join(F.broadcast(weighted), ["word", "whole"]).groupBy(*key, "square", "template", "license").agg(F.sum(F.col("own") * F.col("w")).alias("dot"))
     score = F.round(F.col("dot") / F.sqrt("square"), 6).alias("score")
-    fitting = scored.select("__row", "line", *keep, "license", score).where(F.col("score") >= LEAST)
-    best = fitting.groupBy("__row", "line", *keep).agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"))
-    return best.select(*keep, "line", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"))
+    fitting = scored.select(*key, "license", score).where(F.col("score") >= LEAST)
+    best = fitting.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"))
+    return best.select("file", "line", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"))
 
 
 def licensed(files: DataFrame, keep: list[str], path: str = "path", text: str = "text") -> DataFrame:
     """``keep``, path, license, score, origin (header, directory or null) and source (the licence file inherited from)."""
     numbered = files.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text"))
     key = F.struct("path", F.xxhash64("text").alias("mark"))
-    own = statements(numbered.select(key.alias("file"), "text"), ["file"])  # repeated rows give the same twice
+    is_licence = F.coalesce(F.regexp_extract("path", "([^/]*)$", 1).rlike(NAMES), F.lit(False))
+    own = statements(numbered.select(key.alias("file"), "text", is_licence.alias("licence")))  # repeated rows give the same twice
     own = saved(own.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b")).select("file", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score")), "licenses-own")
     folder = F.regexp_extract("path", "^(.*?)[^/]*$", 1)
     governing = own.select(F.col("file.path").alias("path"), "license", "score").where(F.regexp_extract("path", "([^/]*)$", 1).rlike(NAMES))

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from against import oracle, spark_rows
@@ -157,6 +158,56 @@ def test_the_commonest_licence_is_found(spark):
     assert got == {i: "CC-BY-NC-4.0" if i < 2 else None for i in range(10)}
 
 
+def plain_statements(files):
+    """Best licence of each path by every statement's cosine to every template, in plain arithmetic."""
+    split = lambda t: [w.strip(".") for w in re.split("[^a-z0-9.+-]+", t.lower()) if w.strip(".")]
+    lines = [split(line) for _, text in files if text is not None for line in text.split("\n")]
+    vocabulary = {w for _, t in licenses.TEMPLATES + licenses.TEXTS for w in split(t)}
+    df = Counter(w for words in lines for w in set(words) & vocabulary)
+    weight = lambda w: math.log((len(lines) + 1) / ((df[w] if w in vocabulary else 1) + 1))
+    vector = lambda words: {w: n * weight(w) for w, n in Counter(words).items()}
+
+    def best(words, templates):
+        own, found = vector(words), []
+        for name, t in templates:
+            other = vector(split(t))
+            norm = math.sqrt(sum(x * x for x in own.values()) * sum(x * x for x in other.values()))
+            score = sum(own[w] * other.get(w, 0) for w in own) / norm if norm else 0
+            if round(score, 6) >= licenses.LEAST:
+                found.append((-round(score, 6), name))
+        return found
+
+    out = {}
+    for path, text in files:
+        found = [x for line in (text or "").split("\n") for x in best(split(line), licenses.TEMPLATES)] if text is not None else []
+        if path is not None and text is not None and re.match(licenses.NAMES, path.rsplit("/", 1)[-1]):
+            found += best(split(text), licenses.TEXTS)
+        out[path] = min(found, default=(None, None))
+    return out
+
+
+def test_licences_match_plain_cosines(spark):
+    import textwrap
+
+    rng = random.Random(23)
+    words = "the of a software license under permission notice free river morning copy copies rights any person version public".split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    files = [(f"r/{i}/LICENSE", "Copyright someone\n\n" + "\n".join(textwrap.wrap(t, 70))) for i, (_, t) in enumerate(licenses.TEXTS)]
+    files += [(f"h/{i}.txt", prose(12) + "\n" + t + "\n" + prose(30)) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    files += [(f"every/{i}.txt", "Released under the MIT License.\n" + prose(8)) for i in range(30)]
+    # Two licences in one line, a line of common words, a very long line, nulls and nothing.
+    files += [("t/1.txt", "Released under the ISC License. Released under the MIT License."), ("t/2.txt", "the of a under the of a"), ("t/3.txt", prose(20_000)), ("t/COPYING", prose(5_000)), ("t/4.txt", None), ("t/NOTICE", ""), ("t/5.txt", "  \n\n")]
+    df = spark.createDataFrame([(p, t, 1, 2) for p, t in files], "path string, text string, word int, file int")
+    got = {r["path"]: (r["license"], r["score"], r["origin"], r["word"], r["file"]) for r in licenses.licensed(df.withColumn("id", F.lit(1)), ["id", "word", "file"]).collect()}
+    for path, (minus, name) in plain_statements(files).items():
+        own = got[path][:2] if got[path][2] == "header" else (None, None)
+        assert own[0] == name, (path, got[path], minus)
+        assert own[1] is None or abs(own[1] + minus) < 2e-6
+        assert got[path][3:] == (1, 2)
+    for i, (name, _) in enumerate(licenses.TEXTS):
+        assert got[f"r/{i}/LICENSE"][0] == name
+
+
 # Decontamination
 
 
