@@ -31,14 +31,15 @@ def wire_time_to_utc(text: Column) -> Column:
 
 def acceptance_to_utc(submission: Column) -> Column:
     """The acceptance time of a submission's header: 14 digits, Eastern time."""
-    digits = F.regexp_extract(submission, r"<ACCEPTANCE-DATETIME>(\d{14})", 1)
+    digits = F.regexp_extract(submission, r"(?i)<ACCEPTANCE-DATETIME>\s*(\d{14})", 1)
     return eastern_to_utc(F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("yyyyMMddHHmmss")))
 
 
 def millis_or_iso_to_utc(text: Column) -> Column:
-    """Epoch milliseconds where the text is a number, else ISO 8601."""
+    """Epoch milliseconds where the text is a number, else ISO 8601. Numbers beyond the year 9999 are no times."""
     number = text.try_cast("bigint")
-    return F.coalesce(F.timestamp_millis(number), iso_to_utc(text))
+    sane = F.when(number.between(-62_135_596_800_000, 253_402_300_799_999), number)
+    return F.coalesce(F.timestamp_millis(sane), iso_to_utc(text))
 
 
 def epoch_to_iso(seconds: Column) -> Column:

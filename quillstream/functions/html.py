@@ -18,12 +18,18 @@ from pyspark.sql import types as T
 
 from .text import BOILERPLATE
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+VOID = {"area", "base", "br", "col", "embed", "frame", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements never read, elements that indent, and what ids and classes of page furniture contain.
-UNREAD = {"script", "style", "noscript", "iframe", "svg", "aside", "form", "button", "input", "select", "textarea", "template", "head", "canvas", "video", "audio", "object"}
+UNREAD = {"script", "style", "noscript", "iframe", "object", "embed", "applet", "meta", "frameset", "frame", "noframes", "param", "canvas", "svg", "video", "audio", "source", "track", "form", "input", "button", "select", "option", "textarea", "aside"}
+UNWRITTEN = {"style", "onclick", "onmouseover", "align", "bgcolor", "class", "id"}
 INDENTS = {"div", "p", "section", "article", "li", "blockquote", "table", "tr", "td"}
 FURNITURE = ("nav", "footer", "header", "menu", "sidebar")
 DEEPEST = 5
+#: What ids and classes of a page's other parts contain.
+TERMS = {"header": ("header", "heading", "top-bar"), "footer": ("footer", "bottom", "copyright"), "nav": ("nav", "menu", "navigation"), "aside": ("sidebar", "side", "aside")}
+#: A start tag of one of these ends an open paragraph.
+ENDS_P = {"p", "div", "section", "article", "ul", "ol", "dl", "table", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "header", "footer", "nav", "main", "pre", "hr", "address", "figure"}
+BLOCKS = ENDS_P | {"li", "tr", "td", "th", "dt", "dd", "tbody", "thead", "tfoot", "body", "html", "head"}
 PARTS = ["main_content", "header_content", "footer_content", "navigation_content", "sidebar_content"]
 
 
@@ -55,6 +61,8 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#document", {}, None)
         self.skipping = 0
+        #: The paragraph that is open here, with only inline elements inside.
+        self.paragraph: Node | None = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.skipping:
@@ -63,12 +71,15 @@ class _Builder(HTMLParser):
         if tag in UNREAD:
             self.skipping = int(tag not in VOID)
             return
-        if tag == "p" and self.at.tag == "p" or tag == "li" and self.at.tag == "li":
+        if tag == "li" and self.at.tag == "li":
             self.at = self.at.parent
+        if tag in ENDS_P and self.paragraph is not None:
+            self.at, self.paragraph = self.paragraph.parent, None
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.paragraph = node if tag == "p" else None if tag in BLOCKS else self.paragraph
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -83,6 +94,8 @@ class _Builder(HTMLParser):
             node = node.parent
         if node is not None and node.parent is not None:
             self.at = node.parent
+            if tag in BLOCKS:
+                self.paragraph = None
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
@@ -105,11 +118,21 @@ def _main(root: Node) -> Node:
     return next((n for n in root.walk() if n.tag == "body"), root)
 
 
-def _part(root: Node, tags: tuple[str, ...], words: tuple[str, ...]) -> Node | None:
-    return next((n for n in root.walk() if n.tag in tags), None) or next((n for n in root.walk() if n.tag in ("div", "section", "ul") and n.says(*words)), None)
+def _parts(root: Node, tag: str) -> list[Node]:
+    """The elements of one of the page's other parts: by tag (all menus, the first header or footer), then by id, then by class."""
+    own = [n for n in root.walk() if n.tag == tag]
+    out = own if tag == "nav" else own[:1] if tag != "aside" else []
+    for attribute in ("id", "class"):
+        for term in TERMS[tag]:
+            out = out + [n for n in root.walk() if term in n.attrs.get(attribute, "").lower()]
+    return list({id(n): n for n in out}.values())
 
 
 def _text(node: Node) -> str:
+    return " ".join(_raw(node).split())
+
+
+def _raw(node: Node) -> str:
     out, todo = [], [node]
     while todo:
         n = todo.pop()
@@ -117,34 +140,37 @@ def _text(node: Node) -> str:
             out.append(n)
         else:
             todo += reversed(n.children)
-    return " ".join("".join(out).split())
+    return "".join(out)
 
 
 def lines(node: Node, base: str, is_main: bool) -> list[str]:
-    """Indented lines of text; links carry their address, headings and links end the walk below them."""
+    """Lines of text, indented by a space for each level; links carry their address, headings and links end the walk below them."""
     out: list[str] = []
     todo: list[tuple[Node | str, int]] = [(node, 0)]
     while todo:
         n, indent = todo.pop()
+        indent = min(indent, DEEPEST)
         if isinstance(n, str):
             if len(text := " ".join(n.split())) >= 3:
-                out.append("  " * indent + text)
-            continue
-        if is_main and n is not node and (n.tag in ("nav", "footer", "header") or n.says(*FURNITURE)):
+                out.append(" " * indent + text)
             continue
         if n.tag == "a" and n.attrs.get("href"):
             href, text = n.attrs["href"], _text(n)
             if len(text) >= 3 and not re.match("javascript:|#", href):
-                try:
-                    out.append("  " * indent + f"{text} [URL: {urljoin(base, href)}]")
-                except ValueError:
-                    out.append("  " * indent + text)
+                if base and not href.startswith(("http://", "https://", "mailto:", "tel:")):
+                    try:
+                        href = urljoin(base, href)
+                    except ValueError:
+                        href = ""
+                out.append(" " * indent + text + (f" [URL: {href}]" if href else ""))
             continue
         if re.fullmatch("h[1-6]", n.tag):
             if text := _text(n):
-                out.append("  " * min(int(n.tag[1]) - 1, 2) + text)
+                out.append(" " * min(int(n.tag[1]) - 1, 2) + text)
+            continue
+        if is_main and (n.tag in ("nav", "footer", "header") or n.says(*FURNITURE)):
             continue
-        below = min(DEEPEST, indent + 1) if n.tag in INDENTS and n is not node else indent
+        below = indent + 1 if n.tag in INDENTS else indent
         todo += [(c, below) for c in reversed(n.children)]
     return out
 
@@ -159,16 +185,11 @@ def structured(html: str | None, base: str = "") -> dict[str, str | None]:
     if not html or not html.strip():
         return dict.fromkeys(PARTS)
     root = tree(html)
-    found = lines(_main(root), base, True)
-    if len(found) < 5 and (body := next((n for n in root.walk() if n.tag == "body"), None)) is not None:
+    main, body = _main(root), next((n for n in root.walk() if n.tag == "body"), root)
+    found = lines(main, base, True)
+    if len(found) < 5 and body is not main:
         found = lines(body, base, True)
-    rest = [
-        _part(root, ("header",), ("header", "masthead")),
-        _part(root, ("footer",), ("footer",)),
-        _part(root, ("nav",), ("nav", "menu")),
-        _part(root, ("aside",), ("sidebar",)),
-    ]
-    parts = [found, *(lines(n, base, False) if n is not None else [] for n in rest)]
+    parts = [found, *([x for n in _parts(root, tag) for x in lines(n, base, False)] for tag in TERMS)]
     return {k: "\n".join(kept) if (kept := useful(p)) else None for k, p in zip(PARTS, parts, strict=True)}
 
 
@@ -179,6 +200,61 @@ def readable(html: str | None, base: str = "") -> str | None:
     return s["main_content"] or "\n\n".join(x for x in rest if x) or None
 
 
+def cleaned(node: Node) -> str:
+    """An element written anew: only what can be read, without styling attributes."""
+    out: list[str] = []
+    todo: list[Node | str | tuple[str]] = [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, tuple):
+            out.append(n[0])
+        elif isinstance(n, str):
+            out.append(n.strip())
+        elif n.tag not in UNREAD:
+            out.append(f"<{n.tag}" + "".join(f' {k}="{v}"' for k, v in n.attrs.items() if k not in UNWRITTEN) + ">")
+            todo += [(f"</{n.tag}>",), *reversed(n.children)]
+    return "".join(out)
+
+
+def query_of(html: str | None, asked: str | None = None) -> str | None:
+    """What a page is about: what was asked; else its title, first heading, keywords and description, or a first long paragraph."""
+    if asked or not html:
+        return asked or None
+    named = dict(reversed([(m["name"], m["content"]) for m in _metas(html) if m.get("name") and m.get("content")]))
+    root = tree(html)
+    first = {tag: next((n for n in root.walk() if n.tag == tag), None) for tag in ("title", "h1")}
+    found = [_raw(n) for n in first.values() if n is not None] + [named[k] for k in ("keywords", "description") if k in named]
+    if not any(k in named for k in ("keywords", "description")):
+        found += [t[:150] for t in (_raw(n) for n in root.walk() if n.tag == "p") if len(t) > 150][:1]
+    return " ".join(filter(None, found)) or None
+
+
+def _metas(html: str) -> list[dict[str, str]]:
+    class Metas(HTMLParser):
+        found: list[dict[str, str]]
+
+        def handle_starttag(self, tag: str, attrs: list) -> None:
+            if tag == "meta":
+                self.found.append({k: v or "" for k, v in attrs})
+
+    reader = Metas()
+    reader.found = []
+    reader.feed(html)
+    reader.close()
+    return reader.found
+
+
+@F.pandas_udf(T.StringType())
+def page_query(html: pd.Series) -> pd.Series:
+    return html.map(query_of).astype(object)
+
+
+@F.pandas_udf(T.StringType())
+def cleaned_body(html: pd.Series) -> pd.Series:
+    """The body written anew; NULL without a page."""
+    return html.map(lambda h: cleaned(next((n for n in tree(h).walk() if n.tag == "body"), tree(h))) if h else None).astype(object)
+
+
 @F.pandas_udf(_strings(*PARTS))
 def structured_text(html: pd.Series, base: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([structured(h, b or "") for h, b in zip(html, base, strict=True)], columns=PARTS, dtype=object)

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 #: Lines that match one of these are boilerplate.
 BOILERPLATE = ["cookie", "all rights reserved", "privacy policy", "copyright", "sitemap", "disclaimer"]
-#: The commonest English function words.
+#: Tokens that are noise, beginnings that make a token an arrow, and the commonest English function words.
+NOISE = ["ccp", "up", "↑", "▲", "⬆️", "a", "an", "at", "by", "in", "of", "on", "to", "the"]
+ARROWS = ["↑", "▲", "⬆"]
 STOP_WORDS = "a an and are as at be but by for from has have in is it its not of on or that the this to was were will with you your".split()
 
 
@@ -38,16 +40,16 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def strip_tags(text: Column, decode=common_entities) -> Column:
+def strip_tags(text: Column, decode=decoded) -> Column:
     """Tags to spaces, references decoded, runs of white space to one space, trimmed."""
     plain = decode(F.regexp_replace(text, r"<[^>]+>", " "))
     return F.trim(F.regexp_replace(plain, r"(?U)\s{2,}", " "))
 
 
-def html_to_lines(text: Column, decode=common_entities) -> Column:
-    """Ends of block elements to line ends, other tags to spaces, blank lines dropped."""
+def html_to_lines(text: Column, decode=decoded) -> Column:
+    """Ends of block elements to line ends, other tags removed, blank lines dropped."""
     broken = F.regexp_replace(text, r"(?i)<br\s*/?>|</(p|div|tr|li|h[1-6]|table)\s*>", "\n")
-    plain = decode(F.regexp_replace(broken, r"<[^>]+>", " "))
+    plain = decode(F.regexp_replace(broken, r"<[^>]+>", ""))
     return F.array_join(F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
@@ -66,10 +68,10 @@ def useful_lines(text: Column, longer_than: int = 1) -> Column:
 
 
 def useful_tokens(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
-    """Lower-case tokens of more than two characters that are neither stop words nor begin with an arrow."""
+    """Lower-case tokens of more than two characters that are neither noise nor stop words nor begin with an arrow."""
     tokens = F.split(F.lower(text), r"\s+")
-    kept = F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.rlike("^(->|=>|→|»)"))
-    return F.filter(kept, lambda t: ~t.isin(stop_words))
+    kept = F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.rlike(f"^({'|'.join(ARROWS)})"))
+    return F.filter(kept, lambda t: ~t.isin([*stop_words, *NOISE]))
 
 
 def is_consent_page(html_text: Column) -> Column:

@@ -56,3 +56,13 @@ def unset_to_null(x: Column, kind: str) -> Column:
     """Broker sentinels for "not set" to NULL."""
     unset = {"int": (1 << 31) - 1, "long": (1 << 63) - 1, "double": 1.7976931348623157e308}[kind]
     return F.nullif(x, F.lit(unset))
+
+
+def percent(done: Column, total: Column) -> Column:
+    """Progress in percent; NULL of nothing."""
+    return done / F.nullif(total, F.lit(0)) * 100
+
+
+def jittered(seconds: Column, share: float = 0.1, least: float = 1.0) -> Column:
+    """A waiting time, up to so large a share longer or shorter, and never less than ``least``."""
+    return F.greatest(F.lit(least), seconds * (1 + (F.rand() * 2 - 1) * share))

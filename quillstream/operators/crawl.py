@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import links
+from ..functions import links, text
 
 HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 
 
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), text.common_entities)
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] = (), strategy: str = "all", keywords: list[str] = ()) -> DataFrame:

@@ -74,10 +74,15 @@ def analyse(submissions: DataFrame, column: str = "submission") -> DataFrame:
     return rows.drop("__blocks", "__primary", "__body", "__text")
 
 
-def exhibit_99_1(submission: Column) -> Column:
-    """The body of exhibit 99.1, also where it is called EX-99.01 or has spaces, as some filers write it."""
-    wanted = F.filter(documents(submission), lambda b: b.rlike(r"(?i)<TYPE>\s*EX\s*-?\s*99\.0?1\b"))
-    return F.when(F.size(wanted) > 0, _body(F.get(wanted, F.lit(0))))
+def exhibit_99(submission: Column) -> Column:
+    """The body of exhibit 99.1, else 99.2, 99.3, 99.4; also where they are called EX-99.01 or have a space, as some filers write."""
+    blocks = documents(submission)
+
+    def of(n: int) -> Column:
+        return F.filter(blocks, lambda b: b.rlike(rf"(?i)<TYPE>\s*EX[-\s]?99\.0?{n}\b"))
+
+    found = [of(n) for n in (1, 2, 3, 4)]
+    return _body(F.get(F.concat(*found), F.lit(0)))
 
 
 def submission_url(index_html: Column) -> Column:

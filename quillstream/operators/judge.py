@@ -45,6 +45,22 @@ def by_function(judge: Callable[[str], tuple[bool, str | None, int | None]]) ->
     return scored
 
 
+def by_function_or_error(judge: Callable[[str], tuple[bool, str | None, int | None]]) -> Callable[[Column], Column]:
+    """As ``by_function``, with an ``error`` that says why a row has no judgement; a failure neither stops nor hides."""
+
+    @F.pandas_udf(JUDGEMENT + ", error string")
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            try:
+                rows.append((*(judge(t) if t is not None else (None, None, None)), None))
+            except Exception as e:  # noqa: BLE001  a row's failure is that row's
+                rows.append((None, None, None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["is_earnings_report", "judgement", "judgement_score", "error"], dtype=object)
+
+    return scored
+
+
 def judged(articles: DataFrame, text: str = "text_content", scorer: Callable[[Column], Column] = by_keywords) -> DataFrame:
     """Articles that are earnings reports, with reason and score."""
     rows = articles.withColumn("__judgement", scorer(F.col(text)))

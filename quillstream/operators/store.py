@@ -6,7 +6,7 @@ is a new table: write it to a new place, then switch. All are one pass of joins
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import validate
@@ -28,22 +28,45 @@ def insert_or_ignore(base: DataFrame, new: DataFrame, key: list[str], seq: str,
     return base.unionByName(fresh.select(*base.columns))
 
 
-def upsert(base: DataFrame, new: DataFrame, key: list[str], seq: str) -> DataFrame:
-    """For each key the last new row, else the base row. ``seq`` orders new rows; it isn't part of the table."""
-    old = base.withColumn("__new", F.lit(0)).withColumn("__seq", F.lit(0).cast("long"))
-    late = new.dropna(subset=key).withColumn("__new", F.lit(1)).withColumn("__seq", F.col(seq).cast("long")).select(*old.columns)
-    return first_by(old.unionByName(late), key, F.desc("__new"), F.desc("__seq")).select(*base.columns)
+def upsert(base: DataFrame, new: DataFrame, key: list[str], seq: str, touched: str | None = None) -> DataFrame:
+    """For each key the last new row, else the base row. ``seq`` orders new rows; it isn't part of the table.
 
+    New rows are reduced before the shuffle, and of the base only keys are compared; ``touched`` names a time column that
+    is renewed where a row is written.
+    """
+    rows = new.dropna(subset=key)
+    columns = [F.current_timestamp().cast(base.schema[c].dataType).alias(c) if c == touched else F.col(c) for c in base.columns]
+    last = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.max_by(F.struct(*columns), F.col(seq)).alias("__row")).select("__row.*")
+    return base.join(last.select(*key), key, "left_anti").select(*base.columns).unionByName(last)
 
-def upsert_earnings(base: DataFrame, new: DataFrame, seq: str) -> DataFrame:
-    """Upsert of earnings reports; rows without a usable ticker, company name or time are left out."""
+
+def checked_earnings(new: DataFrame) -> DataFrame:
+    """Earnings reports with a usable ticker, company name and time; numbers that are none are NULL."""
     checked = new.select(
         validate.ticker(F.col("company_ticker")).alias("company_ticker"),
         "report_datetime",
         validate.company_name(F.col("company_name")).alias("company_name"),
         *[validate.numeric(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in new.dtypes if c not in ("company_ticker", "report_datetime", "company_name")],
     )
-    return upsert(base, checked.dropna(subset=["company_ticker", "report_datetime", "company_name"]), ["company_ticker", "report_datetime"], seq)
+    return checked.dropna(subset=["company_ticker", "report_datetime", "company_name"])
+
+
+def upsert_earnings(base: DataFrame, new: DataFrame, seq: str, touched: str | None = None) -> DataFrame:
+    """Upsert of earnings reports; rows without a usable ticker, company name or time are left out."""
+    return upsert(base, checked_earnings(new), ["company_ticker", "report_datetime"], seq, touched)
+
+
+def ensure_companies(companies: DataFrame, new: DataFrame, seq: str) -> DataFrame:
+    """``companies`` (ticker, company_name) and those of new earnings reports that it lacks."""
+    named = checked_earnings(new).select(F.col("company_ticker").alias("ticker"), "company_name", seq)
+    return insert_or_ignore(companies, named, ["ticker"], seq, ["company_name"])
+
+
+def save_counters(rows: DataFrame, valid: Column, name: str = "save") -> tuple[DataFrame, Observation]:
+    """The rows, and how many there were, were saved and were skipped, once they have been written: no pass of its own."""
+    counters = Observation(name)
+    valid = F.coalesce(valid, F.lit(False))
+    return rows.observe(counters, F.count(F.lit(1)).alias("total"), F.count_if(valid).alias("saved"), F.count_if(~valid).alias("skipped")), counters
 
 
 def upsert_referring(base: DataFrame, new: DataFrame, key: list[str], seq: str, parent: DataFrame, parent_key: str, child_key: str) -> DataFrame:
@@ -79,7 +102,7 @@ def add_company_and_exchange(companies: DataFrame, exchanges: DataFrame, bridge:
     largest = exchanges.agg(F.coalesce(F.max("id"), F.lit(0)).alias("largest")).first()["largest"]
     numbered = names.withColumn("id", F.row_number().over(Window.orderBy("name")) + F.lit(largest)).select("id", "name")
     places = exchanges.unionByName(numbered)
-    listed = rows.join(F.broadcast(places), rows["exchange"] == places["name"]).select(F.col("ticker").alias("company_ticker"), F.col("id").alias("exchange_id"))
+    listed = rows.join(places, rows["exchange"] == places["name"]).select(F.col("ticker").alias("company_ticker"), F.col("id").alias("exchange_id"))
     return firms, places, bridge.unionByName(listed).distinct()
 
 

@@ -77,8 +77,8 @@ def positions(executions: DataFrame, key: list[str], signed_size: str, price: st
 
 
 def account_summary(values: DataFrame, account: str, tag: str, value: str, *order: str) -> DataFrame:
-    """For each account a map of tags to their last values."""
-    last = latest(values, [account, tag], *order)
+    """For each account a map of tags to their last values; values without a tag are left out."""
+    last = latest(values.where(F.col(tag).isNotNull()), [account, tag], *order)
     return last.groupBy(account).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(tag, value)))).alias("summary"))
 
 

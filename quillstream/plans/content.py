@@ -10,13 +10,19 @@ from ..sources import feeds, payloads
 from .relational import t
 
 ISO = "2025-03-09T12:00:00Z"
-#: Characters that XML or JSON would have to escape are left out of what is put into invented payloads.
-PLAIN = r"[^\p{L}\p{N} .,]"
 
 
-def _titles(s, d):
-    docs = t(s, d, "documents")
-    return docs.select("doc_id", F.regexp_replace(F.substring("text", 1, 60), PLAIN, " ").alias("title"))
+def _in_xml(x):
+    """Text as XML has it: the three characters that must be are escaped, control characters, which can't be, are spaces."""
+    x = F.regexp_replace(x, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        x = F.replace(x, F.lit(char), F.lit(name))
+    return x
+
+
+def _digest(x):
+    """The words of a whole text as one value: readers of XML and HTML may differ about white space."""
+    return F.md5(F.trim(F.regexp_replace(x, r"[\s\x00-\x1F\x{85}\x{A0}]+", " ")).cast("binary"))
 
 
 def q30_envelope(s, d):
@@ -27,16 +33,18 @@ def q30_envelope(s, d):
 
 
 def q31_atom(s, d):
+    """A feed for each document, its entry's summary the whole text."""
     link = F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit('<link rel="self" href="http://x/s"/><link rel="alternate" href="http://x/'), "doc_id", F.lit('"/>'))).otherwise(F.concat(F.lit('<link href="http://x/'), "doc_id", F.lit('"/>')))
-    entry = F.concat(F.lit("<entry><id>"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id").cast("string")).otherwise(" "), F.lit("</id><title>T"), "doc_id", F.lit("</title>"), link, F.lit(f"<updated>{ISO}</updated></entry>"))
+    entry = F.concat(F.lit("<entry><id>"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id").cast("string")).otherwise(" "), F.lit("</id><title>"), _in_xml(F.col("source")), F.lit(" "), "doc_id", F.lit("</title>"), link, F.lit(f"<updated>{ISO}</updated><summary>"), _in_xml(F.coalesce("text", F.lit(""))), F.lit("</summary></entry>"))
     rows = t(s, d, "documents").select(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), entry, F.lit("</feed>")).alias("payload"))
-    return feeds.atom(rows).select("id", "title", "url", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+    return feeds.atom(rows).select("id", "title", "url", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), _digest(F.coalesce("summary", F.lit(""))).alias("summary_md5"))
 
 
 def q32_rss(s, d):
-    item = F.concat(F.lit("<item>"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<guid isPermaLink="false">g'), "doc_id", F.lit("</guid>"))).otherwise(""), F.lit("<title>T"), "doc_id", F.lit("</title>"), F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit("<link>http://x/"), "doc_id", F.lit("</link>"))).otherwise(""), F.lit("<pubDate>Sun, 09 Mar 2025 12:00:00 GMT</pubDate></item>"))
+    """A channel for each document, its item's description the whole text."""
+    item = F.concat(F.lit("<item>"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<guid isPermaLink="false">g'), "doc_id", F.lit("</guid>"))).otherwise(""), F.lit("<title>"), _in_xml(F.col("source")), F.lit(" "), "doc_id", F.lit("</title>"), F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit("<link>http://x/"), "doc_id", F.lit("</link>"))).otherwise(""), F.lit("<pubDate>Sun, 09 Mar 2025 12:00:00 GMT</pubDate><description>"), _in_xml(F.coalesce("text", F.lit(""))), F.lit("</description></item>"))
     rows = t(s, d, "documents").select(F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("payload"))
-    return feeds.rss(rows).select("id", "title", "url", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+    return feeds.rss(rows).select("id", "title", "url", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), _digest(F.coalesce("summary", F.lit(""))).alias("summary_md5"))
 
 
 def q33_html_list(s, d):
@@ -45,9 +53,11 @@ def q33_html_list(s, d):
 
 
 def q34_json_articles(s, d):
-    article = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("T"), "doc_id").alias("title"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("http://x/"), "doc_id")).alias("releaseurl"), F.concat(F.lit("<p>Body &amp; "), "doc_id", F.lit("</p>")).alias("body"), F.lit(ISO).alias("adate"))).alias("articles")).alias("data")))
+    """An answer of a service for each document, its article's body the whole text as HTML."""
+    body = F.concat(F.lit("<p>"), _in_xml(F.coalesce("text", F.lit(""))), F.lit("</p>"))
+    article = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("T"), "doc_id").alias("title"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("http://x/"), "doc_id")).alias("releaseurl"), body.alias("body"), F.lit(ISO).alias("adate"))).alias("articles")).alias("data")))
     rows = payloads.articles(t(s, d, "documents").select(article.alias("payload")))
-    return rows.select("id", "title", "url", "article_text", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+    return rows.select("id", "title", "url", _digest(F.col("article_text")).alias("text_md5"), F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
 
 
 def q35_mixed_times(s, d):
@@ -67,7 +77,7 @@ def _submissions(s, d):
     k = F.col("doc_id")
     item = F.when(k % 6 == 0, "Item 5.02 and item 5.02 again. Item 9.01").when(k % 6 == 1, "ITEM 2.02 then Item 9.01").when(k % 6 == 2, "Item 1.01 Item 1.02").when(k % 6 == 3, "Item 404").when(k % 6 == 4, "nothing").otherwise("Item 3.02, Item 4.01")
     exhibit = F.when(k % 5 == 0, "EX-99.1").when(k % 5 == 1, "EX-99.3").when(k % 5 == 2, "EX-10.1").when(k % 5 == 3, "EX-2.1").otherwise("EX-99.01")
-    body = F.concat(F.lit("<SEC-HEADER><ACCEPTANCE-DATETIME>20250309"), F.lpad((k % 24).cast("string"), 2, "0"), F.lit("1500\n<DOCUMENT>\n<TYPE>8-K\n<TEXT><html><body><p>"), item, F.lit("</p></body></html></TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>"), exhibit, F.lit("\n<TEXT><html><body><div id='content'><p>"), F.lit("Exhibit "), k, F.lit(" of this filing.</p></div></body></html></TEXT>\n</DOCUMENT>"))
+    body = F.concat(F.lit("<SEC-HEADER><ACCEPTANCE-DATETIME>20250309"), F.lpad((k % 24).cast("string"), 2, "0"), F.lit("1500\n<DOCUMENT>\n<TYPE>8-K\n<TEXT><html><body><p>"), item, F.lit("</p></body></html></TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>"), exhibit, F.lit("\n<TEXT><html><body><div id='content'><p>"), F.lit("Exhibit "), k, F.lit(" of this filing.</p><p>"), _in_xml(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit("</p></div></body></html></TEXT>\n</DOCUMENT>"))
     return t(s, d, "documents").select("doc_id", body.alias("submission"))
 
 
@@ -79,7 +89,7 @@ def q37_filing_items(s, d):
 
 def q38_filing_exhibits(s, d):
     rows = filings.analyse(_submissions(s, d))
-    return rows.select("doc_id", F.array_join("exhibits_found", ",").alias("exhibits"), "primary_exhibit_type", "has_material_contract_exhibit", "fallback_used", "primary_text")
+    return rows.select("doc_id", F.array_join("exhibits_found", ",").alias("exhibits"), "primary_exhibit_type", "has_material_contract_exhibit", "fallback_used", F.substring_index("primary_text", "\n", 1).alias("first_line"), F.md5(F.regexp_replace("primary_text", r"\s", "").cast("binary")).alias("text_md5"))
 
 
 def q39_strip_and_filter(s, d):
@@ -112,22 +122,23 @@ def q54_judged(s, d):
 
 def q55_page_structure(s, d):
     p = t(s, d, "pages").select("page_id", html.structured_text(F.col("html"), F.col("url")).alias("s"))
-    return p.select("page_id", *[F.length(f"s.{c}").alias(c.replace("_content", "_length")) for c in html.PARTS])
+    return p.select("page_id", *[F.md5(F.col(f"s.{c}").cast("binary")).alias(c.replace("_content", "_md5")) for c in html.PARTS])
 
 
 def q56_press_stream(s, d):
+    """A stream of releases for each source, one payload for each hundred documents of it, in the order of their ids."""
     k = F.col("doc_id")
-    content = F.struct(F.struct(F.concat(F.lit("T"), k).alias("title"), F.when(k % 3 == 0, F.struct(F.concat(F.lit("http://c/"), k).alias("url"))).alias("canonicalUrl"), F.when(k % 3 == 1, F.struct(F.concat(F.lit("http://k/"), k).alias("url"))).alias("clickThroughUrl")).alias("content"))
-    rows = t(s, d, "documents").groupBy((k % 10).alias("ticker")).agg(F.array_sort(F.collect_list(F.struct(k, content.alias("c")))).alias("all"))
+    content = F.struct(F.struct(F.concat("source", F.lit(" "), k).alias("title"), F.when(k % 3 == 0, F.struct(F.concat(F.lit("http://c/"), k).alias("url"))).alias("canonicalUrl"), F.when(k % 3 == 1, F.struct(F.concat(F.lit("http://k/"), k).alias("url"))).alias("clickThroughUrl"), F.col("text").alias("summary")).alias("content"))
+    rows = t(s, d, "documents").groupBy("source", F.floor(k / 100).alias("part")).agg(F.array_sort(F.collect_list(F.struct(k, content.alias("c")))).alias("all"))
     payload = F.to_json(F.struct(F.struct(F.struct(F.transform("all", lambda x: x["c"]).alias("stream")).alias("tickerStream")).alias("data")))
-    return payloads.press_releases(rows.select(F.concat(F.lit("t"), "ticker").alias("ticker"), payload.alias("payload")), limit=5).select("ticker", "place", "title", "url")
+    return payloads.press_releases(rows.select(F.col("source").alias("ticker"), payload.alias("payload"))).select("ticker", "place", "title", "url")
 
 
 def q57_calendar(s, d):
     cell = lambda x: F.coalesce(F.concat(F.lit('"'), x.cast("string"), F.lit('"')), F.lit("null"))
     row = F.concat_ws(",", cell(F.concat(F.lit("C"), "o_custkey")), cell(F.unix_millis(F.col("o_orderdate").cast("timestamp"))), cell(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))), cell(F.when(F.col("o_orderkey") % 5 == 0, F.lit("n/a")).otherwise(F.lit("100.5"))))
     doc = F.concat(F.lit('{"finance":{"result":[{"documents":[{"columns":[{"id":"ticker"},{"id":"startdatetime"},{"id":"epsactual"},{"id":"epsestimate"}],"rows":[['), row, F.lit("]]}]}]}}"))
-    got = payloads.earnings_calendar(t(s, d, "orders").where("o_orderkey <= 3000").select(doc.alias("payload")))
+    got = payloads.earnings_calendar(t(s, d, "orders").select(doc.alias("payload")))
     return got.select("ticker", F.col("earnings_call_time").cast("timestamp_ntz").alias("at"), F.round("eps_actual", 2).alias("eps_actual"), F.round("eps_estimate", 2).alias("eps_estimate"), F.round("eps_surprise", 2).alias("eps_surprise"))
 
 
@@ -135,7 +146,7 @@ QUERIES = [q30_envelope, q31_atom, q32_rss, q33_html_list, q34_json_articles, q3
 
 _ITEMS = "CASE doc_id % 6 WHEN 0 THEN ['5.02', '9.01'] WHEN 1 THEN ['2.02', '9.01'] WHEN 2 THEN ['1.01', '1.02'] WHEN 3 THEN ['404'] WHEN 4 THEN [] ELSE ['3.02', '4.01'] END"
 _TIERS = "CASE doc_id % 6 WHEN 0 THEN '5.02=1' WHEN 1 THEN '2.02=1' WHEN 2 THEN '1.01=1,1.02=2' WHEN 5 THEN '4.01=2' ELSE '' END"
-_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in [*text.STOP_WORDS, *text.NOISE])
 _BOILERPLATE = "|".join(text.BOILERPLATE)
 _OTHER = "CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^https?://[^/]*', 'https://other.example.org') ELSE regexp_replace(url, '^https?', 'ftp') END"
 
@@ -145,14 +156,18 @@ def _count(words: str) -> str:
     return f"len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x IN ({listed})))"
 
 
+def _digest_sql(x: str) -> str:
+    return f"md5(trim(regexp_replace({x}, '[\\s\\x00-\\x1F\\x{{85}}\\x{{A0}}]+', ' ', 'g')))"
+
+
 ORACLES = {
     "q30_envelope": "SELECT 'events' AS source, event_id / 2 AS received_at, 'event_id=' || event_id || ' | user_id=' || user_id || ' | event_type=' || event_type || ' | props=' || CASE WHEN event_id % 3 <> 0 THEN props ELSE '<none>' END AS line FROM events",
-    "q31_atom": "SELECT CAST(doc_id AS VARCHAR) AS id, 'T' || doc_id AS title, 'http://x/' || doc_id AS url, TIMESTAMP '2025-03-09 12:00:00' AS timestamp FROM documents WHERE doc_id % 5 <> 0",
-    "q32_rss": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'g' || doc_id ELSE 'http://x/' || doc_id END AS id, 'T' || doc_id AS title, 'http://x/' || doc_id AS url, TIMESTAMP '2025-03-09 12:00:00' AS timestamp FROM documents WHERE doc_id % 9 <> 0",
+    "q31_atom": "SELECT CAST(doc_id AS VARCHAR) AS id, source || ' ' || doc_id AS title, 'http://x/' || doc_id AS url, TIMESTAMP '2025-03-09 12:00:00' AS timestamp, " + _digest_sql("coalesce(text, '')") + " AS summary_md5 FROM documents WHERE doc_id % 5 <> 0",
+    "q32_rss": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'g' || doc_id ELSE 'http://x/' || doc_id END AS id, source || ' ' || doc_id AS title, 'http://x/' || doc_id AS url, TIMESTAMP '2025-03-09 12:00:00' AS timestamp, " + _digest_sql("coalesce(text, '')") + " AS summary_md5 FROM documents WHERE doc_id % 9 <> 0",
     "q33_html_list": """
         SELECT page_id, regexp_extract(li, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(replace(regexp_extract(li, '(?s)<a[^>]*>(.*?)</a>', 1), '&amp;', '&'), '\\s{2,}', ' ', 'g')) AS label
         FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1)) AS li FROM pages)""",
-    "q34_json_articles": "SELECT CAST(doc_id AS VARCHAR) AS id, 'T' || doc_id AS title, 'http://x/' || doc_id AS url, 'Body & ' || doc_id AS article_text, TIMESTAMP '2025-03-09 12:00:00' AS timestamp FROM documents WHERE doc_id % 4 <> 0",
+    "q34_json_articles": "SELECT CAST(doc_id AS VARCHAR) AS id, 'T' || doc_id AS title, 'http://x/' || doc_id AS url, " + _digest_sql("coalesce(text, '')") + " AS text_md5, TIMESTAMP '2025-03-09 12:00:00' AS timestamp FROM documents WHERE doc_id % 4 <> 0",
     "q35_mixed_times": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN date_trunc('second', ts) END AS at FROM events",
     "q36_field_rows": "SELECT 'T' || n_nationkey AS ticker, CAST(n_nationkey AS VARCHAR) AS cik, n_name AS company_name, 'NYSE' AS exchange FROM nation WHERE n_nationkey % 4 <> 0",
     "q37_filing_items": f"""
@@ -160,13 +175,14 @@ ORACLES = {
                CAST(CASE doc_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 5 THEN 2 END AS INTEGER) AS highest_item_tier,
                timezone('UTC', timezone('America/New_York', TIMESTAMP '2025-03-09 00:15:00' + to_hours(doc_id % 24))) AS accepted
         FROM documents""",
-    "q38_filing_exhibits": """
+    "q38_filing_exhibits": f"""
         SELECT doc_id, '8-K,' || CASE doc_id % 5 WHEN 0 THEN 'EX-99.1' WHEN 1 THEN 'EX-99.3' WHEN 2 THEN 'EX-10.1' WHEN 3 THEN 'EX-2.1' ELSE 'EX-99.01' END AS exhibits,
                CASE doc_id % 5 WHEN 0 THEN 'EX-99.1' WHEN 1 THEN 'EX-99.3' END AS primary_exhibit_type,
                doc_id % 5 IN (2, 3) AS has_material_contract_exhibit,
                doc_id % 5 > 1 AND doc_id % 6 IN (0, 1, 2, 5) AS fallback_used,
-               CASE WHEN doc_id % 5 < 2 THEN 'Exhibit ' || doc_id || ' of this filing.' END AS primary_text
-        FROM documents""",
+               CASE WHEN doc_id % 5 < 2 THEN 'Exhibit ' || doc_id || ' of this filing.' END AS first_line,
+               CASE WHEN doc_id % 5 < 2 THEN md5('Exhibit' || doc_id || 'ofthisfiling.' || CASE WHEN regexp_matches(lower(w), '{_BOILERPLATE}') OR length(w) < 3 THEN '' ELSE regexp_replace(w, '\\s', '', 'g') END) END AS text_md5
+        FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS w FROM documents)""",
     "q39_strip_and_filter": f"""
         WITH l AS (SELECT doc_id, i, trim(line, ' ') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
         f AS (SELECT doc_id, line, min(i) AS i FROM l WHERE length(line) > 5 AND NOT regexp_matches(lower(line), '{_BOILERPLATE}') GROUP BY doc_id, line)
@@ -176,18 +192,43 @@ ORACLES = {
         h AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/:]*)', 1) AS h1, regexp_extract(o, '^[a-z]+://([^/:]*)', 1) AS h2, split_part(url, ':', 1) AS s1, split_part(o, ':', 1) AS s2 FROM p)
         SELECT page_id, true AS all, h1 = h2 AS same_hostname, split_part(h1, '.', -2) = split_part(h2, '.', -2) AS same_domain, h1 = h2 AND s1 = s2 AS same_origin,
                contains(lower(o), '/en/') OR contains(lower(o), 'page=') AS has_keyword FROM h""",
-    "q46_tokens": f"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP}) AND NOT regexp_matches(x, '^(->|=>|→|»)'))) AS INTEGER) AS n FROM documents",
+    "q46_tokens": f"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP}) AND NOT regexp_matches(x, '^({'|'.join(text.ARROWS)})'))) AS INTEGER) AS n FROM documents",
     "q54_judged": f"""
         WITH c AS (SELECT doc_id, source, {_count("and|with")} AS up, {_count("the|der")} AS down, {_count("of|und")} AS report FROM documents)
         SELECT doc_id, CAST(greatest(-10, least(10, up - down)) AS INTEGER) AS judgement_score,
                upper(source) || ' SELL/BUY SCORE: ' || greatest(-10, least(10, up - down)) || chr(10) || up || ' favourable and ' || down || ' unfavourable words' AS message
         FROM c WHERE report > 0""",
     "q56_press_stream": """
-        SELECT 'T' || (doc_id % 10) AS ticker, CAST(n - 1 AS INTEGER) AS place, 'T' || doc_id AS title, CASE doc_id % 3 WHEN 0 THEN 'http://c/' ELSE 'http://k/' END || doc_id AS url
-        FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS n FROM documents) WHERE n <= 5 AND doc_id % 3 < 2""",
+        SELECT upper(source) AS ticker, CAST(n - 1 AS INTEGER) AS place, source || ' ' || doc_id AS title, CASE doc_id % 3 WHEN 0 THEN 'http://c/' ELSE 'http://k/' END || doc_id AS url
+        FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) AS n FROM documents) WHERE n <= 250 AND doc_id % 3 < 2""",
+    "q55_page_structure": r"""
+        WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, html FROM pages),
+        nav AS (
+          SELECT page_id, list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1),
+                   lambda li: {'href': regexp_extract(li, 'href="([^"]*)"', 1), 'label': trim(regexp_replace(replace(replace(regexp_extract(li, '(?s)<a[^>]*>(.*?)</a>', 1), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))}) AS links, site
+          FROM p),
+        navigation AS (SELECT page_id, list_transform(list_filter(links, lambda x: length(x.label) >= 3), lambda x: ' ' || x.label || ' [URL: ' || site || replace(replace(x.href, '&quot;', '"'), '&amp;', '&') || ']') AS l FROM nav),
+        body AS (
+          SELECT page_id, regexp_replace(regexp_extract(html, '(?s)</nav>(.*?)(<footer>|$)', 1), '(?s)<!--.*?-->', '', 'g') AS b, regexp_extract(html, '(?s)<footer>(.*?)(</footer>|$)', 1) AS f FROM p),
+        marked AS (
+          SELECT page_id, f, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<h1>', chr(1) || '0', 'g'), '<div class="ad">', chr(1) || '1', 'g'), '<(p|b|br)>|</b>', chr(1) || '2', 'g'), '</?(article|p|h1|div)>', chr(1) || '1', 'g'), chr(1)) AS parts FROM body),
+        decoded AS (
+          SELECT page_id, list_transform(parts[2:], lambda x: {'n': CAST(x[1] AS INTEGER), 'text': trim(regexp_replace(replace(replace(replace(replace(x[2:], '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))}) AS parts,
+                 trim(regexp_replace(replace(replace(replace(replace(f, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS f FROM marked),
+        main AS (SELECT page_id, f, list_transform(list_filter(parts, lambda x: length(x.text) >= 3 OR (x.n = 0 AND x.text <> '')), lambda x: repeat(' ', x.n) || x.text) AS l FROM decoded),
+        kept AS (
+          SELECT page_id, list_filter(main.l, lambda x: length(trim(x)) > 1 AND NOT regexp_matches(lower(x), '_BOILERPLATE_')) AS m, list_filter(navigation.l, lambda x: NOT regexp_matches(lower(x), '_BOILERPLATE_')) AS n,
+                 CASE WHEN NOT regexp_matches(lower(f), '_BOILERPLATE_') AND length(f) >= 3 THEN f END AS f
+          FROM main JOIN navigation USING (page_id))
+        SELECT page_id, md5(nullif(array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), chr(10)), '')) AS main_md5, NULL::VARCHAR AS header_md5, md5(f) AS footer_md5,
+               md5(nullif(array_to_string(list_filter(n, lambda x, i: list_position(n, x) = i), chr(10)), '')) AS navigation_md5, NULL::VARCHAR AS sidebar_md5 FROM kept""".replace("_BOILERPLATE_", _BOILERPLATE),
+    "q41_links_by_host": r"""
+        WITH l AS (
+          SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, replace(replace(unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)), '&quot;', '"'), '&amp;', '&') AS link FROM pages)
+        SELECT host, count(DISTINCT link) AS n, md5(array_to_string(list_sort(list_distinct(list(link))), ' ')) AS urls_md5 FROM l GROUP BY host""",
     "q57_calendar": """
         SELECT 'C' || o_custkey AS ticker, o_orderdate AS at, CASE WHEN o_orderkey % 3 <> 0 THEN round(o_totalprice, 2) ELSE 'nan'::DOUBLE END AS eps_actual,
                CASE WHEN o_orderkey % 5 <> 0 THEN 100.5 ELSE 'nan'::DOUBLE END AS eps_estimate,
                CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 THEN round(o_totalprice - 100.5, 2) ELSE 'nan'::DOUBLE END AS eps_surprise
-        FROM orders WHERE o_orderkey <= 3000""",
+        FROM orders""",
 }

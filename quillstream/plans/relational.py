@@ -62,7 +62,7 @@ def q9_surprise(s, d):
     li, p = t(s, d, "lineitem"), t(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
     actual = F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.floor(F.col("l_extendedprice") / F.col("l_quantity")))
     x = validate.surprise(actual, F.when(F.col("p_retailprice") > 910, F.col("p_retailprice")))
-    return li.where("l_orderkey <= 2000").join(p, "l_partkey").select("l_orderkey", "l_linenumber", F.round(x, 2).alias("surprise"))
+    return li.join(p, "l_partkey").select("l_orderkey", "l_linenumber", F.round(x, 2).alias("surprise"))
 
 
 def q10_ranked_scan(s, d):
@@ -127,8 +127,10 @@ def q22_upsert_validated(s, d):
 def q23_upsert_referring(s, d):
     o = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     parents = t(s, d, "customer").where("c_mktsegment <> 'BUILDING'").select("c_custkey")
-    new = o.select((F.col("o_orderkey") % 500).alias("o_orderkey"), "o_custkey", "o_orderstatus", F.col("o_orderkey").alias("seq"))
-    return store.upsert_referring(o.where("o_orderkey < 700"), new, ["o_orderkey"], "seq", parents, "c_custkey", "o_custkey")
+    # Each order also moves to the customer after its own, where that one exists; the table has all orders.
+    new = o.select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), "o_orderstatus", F.lit(1).alias("seq"))
+    new = new.unionByName(o.select("o_orderkey", (F.col("o_custkey") + 2).alias("o_custkey"), "o_orderstatus", F.lit(2).alias("seq")))
+    return store.upsert_referring(o, new, ["o_orderkey"], "seq", parents, "c_custkey", "o_custkey")
 
 
 def q24_coalesce_update(s, d):
@@ -170,7 +172,7 @@ ORACLES = {
     "q6_keys_in_range": f"SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '{DAY}' AND o_orderdate < TIMESTAMP '1995-03-20'",
     "q7_resume_from": "SELECT c_custkey, c_name FROM customer WHERE upper(c_name) >= 'CUSTOMER#000000100'",
     "q8_calendar_spine": "SELECT CAST(g AS DATE) AS day, (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) = CAST(g AS DATE)) AS n FROM generate_series(DATE '1995-03-01', DATE '1995-03-31', INTERVAL 1 DAY) AS r(g)",
-    "q9_surprise": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 OR NOT p_retailprice > 910 THEN 'nan'::DOUBLE ELSE round(floor(l_extendedprice / l_quantity) - p_retailprice, 2) END AS surprise FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey <= 2000",
+    "q9_surprise": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 OR NOT p_retailprice > 910 THEN 'nan'::DOUBLE ELSE round(floor(l_extendedprice / l_quantity) - p_retailprice, 2) END AS surprise FROM lineitem JOIN part ON l_partkey = p_partkey",
     "q10_ranked_scan": "SELECT CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS INTEGER) AS rank, p_partkey, p_retailprice FROM part WHERE p_retailprice >= 905 AND p_size BETWEEN 5 AND 40 QUALIFY rank < 250",
     "q11_executions": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45 AND l_linenumber IN (1, 2)",
     "q12_conditions": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE ((l_quantity >= 49 AND l_discount >= 0.05) OR l_extendedprice <= 1000) AND l_tax <= 0.04",
@@ -190,9 +192,9 @@ ORACLES = {
                  row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS n
           FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0) WHERE n = 1""",
     "q23_upsert_referring": """
-        WITH new AS (SELECT o_orderkey % 500 AS o_orderkey, o_custkey, o_orderstatus, o_orderkey AS seq FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')),
-        last AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM new QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC) = 1)
-        SELECT * FROM last UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey < 700 AND o_orderkey NOT IN (SELECT o_orderkey FROM last)""",
+        WITH parent AS (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')
+        SELECT o_orderkey, CASE WHEN o_custkey + 2 IN (SELECT c_custkey FROM parent) THEN o_custkey + 2 WHEN o_custkey + 1 IN (SELECT c_custkey FROM parent) THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, o_orderstatus
+        FROM orders""",
     "q24_coalesce_update": "SELECT c_custkey, coalesce(CASE WHEN s_suppkey % 3 <> 0 THEN s_name END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END) AS sector, c_name FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",
     "q25_cascade_delete": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)",
     "q26_success_counts": "SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS succeeded, count(*) FILTER (quality = 0) AS failed, count(*) FILTER (quality IS NULL) AS pending FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",

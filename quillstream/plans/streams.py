@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import judge, ticks
 from ..streaming import dataflow, state
-from . import market
+from . import content, market
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def _shared(spark: SparkSession) -> str:
-    """A folder for results and checkpoints that driver and executors share; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
+    """A folder for results and checkpoints that driver and executors share; a local one only for a local session that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -79,12 +84,60 @@ def q61_stream_routes(s, d):
 
 
 def q62_stream_bounded_cache(s, d):
+    """Users that a cache of the last 20 written ones doesn't hold, for each type of event."""
     _rocksdb(s)
-    e = _stream(s, d).where("event_id % 2 = 0").withColumn("id", F.col("user_id") % 40)
-    return _to_end(state.unseen_bounded(e, "event_type", "id", "event_id", 1_000), s).select(F.col("grp").alias("event_type"), "id")
+    got = _to_end(state.unseen_bounded(_stream(s, d), "event_type", "user_id", "event_id", 20), s)
+    return got.select(F.col("grp").alias("event_type"), F.col("id").alias("user_id"), F.col("seq").alias("event_id"))
 
 
-QUERIES = [q42_stream_seen_ids, q58_stream_changes, q59_stream_gate, q60_stream_pairs, q61_stream_routes, q62_stream_bounded_cache]
+def q63_stream_monitor(s, d):
+    """The whole chain: earnings, releases within a day after them, their texts, a judgement, a message for the first report.
+
+    Signups stand for earnings, purchases of the same user for press releases, documents for their texts. Each stage is a
+    channel; a keyed gate lets an earnings event's releases through up to the first that is a report.
+    """
+    _rocksdb(s)
+    path = _shared(s)
+    router = dataflow.Router(f"{path}/checkpoints")
+    events = _stream(s, d).select("event_id", "ts", "user_id", "event_type")
+    texts = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", judge.by_keywords(F.col("text"), ["and", "with"], ["the", "der"], ["of", "und"]).alias("j"))
+    router.produce("earnings", events.where("event_type = 'signup'"))
+
+    @router.route("earnings", publish="press_release")
+    def press_release(rows: DataFrame) -> DataFrame:
+        return state.followed_by(rows, events.where("event_type = 'purchase'"), "user_id", "ts", "24 HOURS", "25 hours").select("l_event_id", "r_event_id")
+
+    @router.route("press_release", publish="press_release_content")
+    def content(rows: DataFrame) -> DataFrame:
+        return rows.join(texts, F.col("r_event_id") % 200 == F.col("doc_id"))
+
+    @router.route("press_release_content", publish="report")
+    def report(rows: DataFrame) -> DataFrame:
+        passed = state.gated(rows, "l_event_id", "r_event_id", F.col("j.is_earnings_report")).where("closes")
+        return passed.select(F.col("key").alias("earnings_id"), F.col("seq").alias("release_id"))
+
+    @router.route("report", publish="message")
+    def message(rows: DataFrame) -> DataFrame:
+        joined = rows.join(texts, F.col("release_id") % 200 == F.col("doc_id"))
+        return joined.select("earnings_id", "release_id", judge.message(F.upper("source"), F.col("j.judgement_score"), F.col("j.judgement")).alias("message"))
+
+    router.sink("message", f"messages-{uuid.uuid4().hex[:8]}", dataflow.parquet_sink(f"{path}/messages"))
+    router.start(availableNow=True)
+    router.wait()
+    return s.read.schema("earnings_id bigint, release_id bigint, message string, batch int").parquet(f"{path}/messages").drop("batch")
+
+
+def q64_stream_book(s, d):
+    """A depth book kept by a stream: each place's last update, as far as it isn't a deletion."""
+    path = _shared(s)
+    updates = _stream(s, d).select("user_id", (F.col("event_id") % 2).alias("side"), F.floor(F.col("value") / 20).alias("position"), F.when(F.col("event_type") == "error", 2).otherwise(1).alias("operation"), F.col("event_id").alias("seq"))
+    book = ticks.book(updates, ["user_id"], "seq").select("user_id", "side", "position", "seq")
+    query = book.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/book")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return s.read.schema(book.schema).parquet(f"{path}/book")
+
+
+QUERIES = [q42_stream_seen_ids, q58_stream_changes, q59_stream_gate, q60_stream_pairs, q61_stream_routes, q62_stream_bounded_cache, q63_stream_monitor, q64_stream_book]
 
 ORACLES = {
     "q42_stream_seen_ids": "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'",
@@ -92,5 +145,9 @@ ORACLES = {
     "q59_stream_gate": "SELECT user_id, event_id FROM events LEFT JOIN (SELECT user_id, min(event_id) AS closed FROM events WHERE event_type = 'error' GROUP BY user_id) USING (user_id) WHERE closed IS NULL OR event_id <= closed",
     "q60_stream_pairs": market.ORACLES["q17_within_a_day"],
     "q61_stream_routes": "SELECT 'user ' || user_id || ' bought in event ' || event_id AS message FROM events WHERE event_type = 'purchase'",
-    "q62_stream_bounded_cache": "SELECT DISTINCT event_type, CAST(user_id % 40 AS VARCHAR) AS id FROM events WHERE event_id % 2 = 0",
+    "q63_stream_monitor": f"""
+        WITH p AS (SELECT l.event_id AS l_id, r.event_id AS r_id FROM events l JOIN events r ON l.user_id = r.user_id AND r.ts BETWEEN l.ts AND l.ts + INTERVAL 24 HOUR WHERE l.event_type = 'signup' AND r.event_type = 'purchase'),
+        j AS ({content.ORACLES["q54_judged"]})
+        SELECT l_id AS earnings_id, r_id AS release_id, message FROM p JOIN j ON r_id % 200 = doc_id QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY r_id) = 1""",
+    "q64_stream_book": market.ORACLES["q51_depth_book"],
 }

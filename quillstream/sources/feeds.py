@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
+from ..functions import dates, links, text
 
 LINK = "struct<_href:string,_rel:string>"
 CATEGORY = "struct<_term:string,_scheme:string>"
@@ -85,21 +85,26 @@ def html_list(pages: DataFrame, scope: str, item: str, fields: dict[str, str], c
     return rows.select(*keep, *[F.nullif(text.strip_tags(F.regexp_extract("__item", p, 1)), F.lit("")).alias(name) for name, p in fields.items()])
 
 
-def news_list(pages: DataFrame, column: str = "html") -> DataFrame:
-    """A list of <li> items with a link, a heading, a snippet and a time."""
+#: The sites whose lists these are, to which their links are relative.
+NEWS_SITE, RELEASE_SITE = "https://www.businesswire.com", "https://www.prnewswire.com"
+
+
+def news_list(pages: DataFrame, column: str = "html", base: str = NEWS_SITE) -> DataFrame:
+    """A list of <li> items with a link, a heading, a snippet and a time. Links are made absolute, and are ids."""
     fields = {"url": r'(?is)<a[^>]+href="([^"]+)"', "title": r"(?is)<h2[^>]*>(.*?)</h2>", "summary": r'(?is)<div[^>]*class="[^"]*snippet[^"]*"[^>]*>(.*?)</div>', "time": r'(?is)<time[^>]+datetime="([^"]+)"'}
     rows = html_list(pages, r'(?is)<ul[^>]*class="[^"]*news-items[^"]*"[^>]*>(.*?)</ul>', r"(?is)<li[^>]*>(.*?)</li>", fields, column)
-    return _complete(rows.select(F.col("url").alias("id"), "title", "url", dates.iso_to_utc(F.col("time")).alias("timestamp"), "summary"))
+    url = links.absolute(F.lit(base), F.trim("url"))
+    return _complete(rows.select(url.alias("id"), "title", url.alias("url"), dates.iso_to_utc(F.col("time")).alias("timestamp"), "summary"))
 
 
-def release_cards(pages: DataFrame, column: str = "html") -> DataFrame:
-    """Cards that are links, with the Eastern time inside the heading, from which it is removed."""
+def release_cards(pages: DataFrame, column: str = "html", base: str = RELEASE_SITE) -> DataFrame:
+    """Cards that are links, with the Eastern time inside the heading, from which it is removed. Links are made absolute."""
     card = r'(?is)(<a[^>]*class="[^"]*consolidatelink[^"]*"[^>]*>.*?</a>)'
     rows = pages.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(card), F.lit(1))).alias("c"))
     c = F.col("c")
     heading = F.regexp_extract(c, r"(?is)<h3[^>]*>(.*?)</h3>", 1)
     when = text.strip_tags(F.regexp_extract(heading, r"(?is)<small[^>]*>(.*?)</small>", 1))
     title = F.nullif(text.strip_tags(F.regexp_replace(heading, r"(?is)<small[^>]*>.*?</small>", " ")), F.lit(""))
-    url = F.nullif(F.regexp_extract(c, r'(?is)href="([^"]+)"', 1), F.lit(""))
+    url = links.absolute(F.lit(base), F.nullif(F.trim(F.regexp_extract(c, r'(?is)href="([^"]+)"', 1)), F.lit("")))
     summary = F.nullif(text.strip_tags(F.regexp_extract(c, r"(?is)<p[^>]*>(.*?)</p>", 1)), F.lit(""))
     return _complete(rows.select(url.alias("id"), title.alias("title"), url.alias("url"), dates.wire_time_to_utc(when).alias("timestamp"), summary.alias("summary")))

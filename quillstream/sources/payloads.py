@@ -20,6 +20,14 @@ CALENDAR_NAMES = {
 }
 
 
+def by_name(names: Column, values: Column) -> Column:
+    """A map of names to values: nameless values go, and of a repeated name the last value counts."""
+    pairs = F.zip_with(names, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    named = F.filter(pairs, lambda p: p["k"].isNotNull())
+    later = F.filter(named, lambda p, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(later)
+
+
 def articles(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Articles with an id, a title and an address; tags of the body are stripped."""
     a = F.col("a")
@@ -45,7 +53,7 @@ def earnings_calendar(payloads: DataFrame, column: str = "payload") -> DataFrame
     d = F.col("d")
     documents = payloads.select(F.explode(F.flatten(F.from_json(column, CALENDAR)["finance"]["result"]["documents"])).alias("d"))
     rows = documents.select(F.explode(d["rows"]).alias("r"), F.transform(d["columns"], lambda c: c["id"]).alias("names"))
-    m = F.map_from_arrays(F.col("names"), F.slice(F.col("r"), 1, F.size("names")))
+    m = by_name(F.col("names"), F.slice(F.col("r"), 1, F.size("names")))
     got = {new: F.element_at("m", F.lit(old)) for old, new in CALENDAR_NAMES.items()}
     numbers = {c: validate.number_or_nan(got[c]) for c in ("eps_estimate", "eps_actual", "eps_surprise_percent", "market_cap")}
     rows = rows.where(F.size("r") >= F.size("names")).withColumn("m", m)
@@ -62,7 +70,7 @@ def records(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """``{"fields": [...], "data": [[...], ...]}`` as maps with lower-case keys."""
     p = F.from_json(column, "fields array<string>, data array<array<string>>")
     rows = payloads.select(p.alias("p")).select("p.fields", F.explode("p.data").alias("row"))
-    return rows.where(F.size("row") == F.size("fields")).select(F.map_from_arrays(F.transform("fields", lambda x: F.lower(x)), "row").alias("record"))
+    return rows.where(F.size("row") == F.size("fields")).select(by_name(F.transform("fields", lambda x: F.lower(x)), F.col("row")).alias("record"))
 
 
 def company_seed(payloads: DataFrame, column: str = "payload") -> DataFrame:

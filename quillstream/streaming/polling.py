@@ -1,38 +1,50 @@
 """Polled services as streaming sources: a fetch function, an offset of etag and modification time, rows.
 
 ``register`` makes a data source of a function fetch(offset) -> (offset, rows). An unchanged offset, as after a 304
-answer, gives no rows. What was read is kept with the batch's offsets, so a restart reads the same again.
+answer, gives no rows. What was read and isn't committed yet stands in the offset itself, so Spark writes it to the
+checkpoint before it runs the batch, and a restart delivers the same rows, whatever the service says by then. That is
+bounded by what one poll returns.
 """
 
 from __future__ import annotations
 
+import base64
+import pickle
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 Fetch = Callable[[dict], tuple[dict, list[tuple]]]
+MARKS = ("etag", "last_modified")
+
+
+def _packed(rows: list[tuple]) -> str:
+    return base64.b64encode(pickle.dumps(rows)).decode()
 
 
 def register(spark: SparkSession, name: str, schema: str, fetch: Fetch) -> None:
     class Reader(SimpleDataSourceStreamReader):
         def __init__(self) -> None:
-            self.held: dict[str, list[tuple]] = {}
+            self.open: dict[int, str] = {}
 
         def initialOffset(self) -> dict:  # noqa: N802
-            return {"etag": "", "last_modified": "", "n": 0}
+            return {"etag": "", "last_modified": "", "n": 0, "open": {}}
 
         def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-            seen, rows = fetch({k: start[k] for k in ("etag", "last_modified")})
-            same = all(seen.get(k, "") == start[k] for k in ("etag", "last_modified"))
-            if same or not rows:
+            seen, rows = fetch({k: start[k] for k in MARKS})
+            if not rows or all(seen.get(k, "") == start[k] for k in MARKS):
                 return iter([]), start
-            end = {"etag": seen.get("etag", ""), "last_modified": seen.get("last_modified", ""), "n": start["n"] + 1}
-            self.held[str(start["n"])] = rows
-            return iter(rows), end
+            n = start["n"] + 1
+            self.open[n] = _packed(rows)
+            return iter(rows), {k: seen.get(k, "") for k in MARKS} | {"n": n, "open": {str(k): v for k, v in self.open.items()}}
 
         def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-            return iter([r for n in range(start["n"], end["n"]) for r in self.held.get(str(n), [])])
+            for n in range(start["n"] + 1, end["n"] + 1):
+                yield from pickle.loads(base64.b64decode(end["open"][str(n)]))
+
+        def commit(self, end: dict) -> None:
+            self.open = {n: rows for n, rows in self.open.items() if n > end["n"]}
 
     class Source(DataSource):
         @classmethod

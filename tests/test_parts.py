@@ -64,7 +64,9 @@ def test_text(spark):
     assert one(spark, text.tidy(F.lit(" a \n\n\n\n b\t c "))) == "a\n\nb c"
     assert one(spark, text.tidy(F.lit("  "))) is None
     assert one(spark, text.html_to_lines(F.lit("<p>a</p><div> b<br>c</div><p></p>"))) == "a\nb\nc"
-    assert one(spark, text.useful_tokens(F.lit("The -> earnings of =>x it rose"))) == ["earnings", "rose"]
+    assert one(spark, text.useful_tokens(F.lit("The ▲▲▲ earnings of ccp ↑12 it rose"))) == ["earnings", "rose"]
+    assert one(spark, text.strip_tags(F.lit("Caf&eacute; &#8217;s &copy;"))) == "Café ’s ©"
+    assert one(spark, text.html_to_lines(F.lit("foo<b>bar</b><br>x &hellip;"))) == "foobar\nx …"
 
 
 def test_links(spark):
@@ -110,12 +112,14 @@ def test_feeds(spark):
 
 
 def test_lists(spark):
+    rel = '<ul class="bw-news-items"><li class="bw-news-item"><a href="/news/1"><h2>T</h2></a></li></ul>'
+    assert feeds.news_list(spark.createDataFrame([(rel,)], "html string")).first()["url"] == "https://www.businesswire.com/news/1"
     a = '<ul class="bw-news-items"><li class="i"><a href="http://u"><h2>A &amp; B</h2></a><div class="bw-news-item-snippet">S</div><time datetime="2025-08-15T17:04:00Z">t</time></li><li>none</li></ul>'
     got = feeds.news_list(spark.createDataFrame([(a,)], "html string")).collect()
     assert [(r["title"], r["summary"]) for r in got] == [("A & B", "S")]
     b = '<a class="newsreleaseconsolidatelink x" href="/n/1"><h3><small>Aug 15, 2025, 17:04 ET</small> Title </h3><p class="remove-outline">P</p></a>'
     row = feeds.release_cards(spark.createDataFrame([(b,)], "html string")).first()
-    assert (row["title"], row["url"], row["summary"]) == ("Title", "/n/1", "P")
+    assert (row["title"], row["url"], row["summary"]) == ("Title", "https://www.prnewswire.com/n/1", "P")
     assert row["timestamp"] is not None
 
 
@@ -151,7 +155,7 @@ def test_filings(spark):
         _, _, items, tiers, highest, exhibit, contract, fallback = FILINGS[r["n"]]
         assert (r["items"], r["items_tier_map"], r["highest_item_tier"], r["primary_exhibit_type"]) == (items, tiers, highest, exhibit), r["n"]
         assert (r["has_material_contract_exhibit"], r["fallback_used"]) == (contract, fallback), r["n"]
-    assert one(spark, filings.exhibit_99_1(F.lit(submission("", ("EX-99.01", "odd"))))) == "odd"
+    assert one(spark, filings.exhibit_99(F.lit(submission("", ("EX-10.1", "no"), ("EX 99.2", "second"), ("EX-99.01", "odd"))))) == "odd"
     assert one(spark, filings.submission_url(F.lit('<a href="/Archives/1.txt">'))) == "https://www.sec.gov/Archives/1.txt"
 
 
@@ -296,3 +300,148 @@ def test_followed_by_in_a_stream(spark, tmp_path):
     b = stream(spark, tmp_path / "b", "k string, t timestamp, n int", [("x", t0 + dt.timedelta(hours=23), 2), ("x", t0 + dt.timedelta(hours=25), 3), ("y", t0, 4)])
     got = run(state.followed_by(a, b, "k", "t", "24 HOURS", "25 hours").select("l_n", "r_n"), tmp_path)
     assert [tuple(r) for r in got.collect()] == [(1, 2)]
+
+
+def test_odd_times_and_names(spark):
+    assert one(spark, dates.millis_or_iso_to_utc(F.lit("9223372036854775807"))) is None
+    assert one(spark, dates.acceptance_to_utc(F.lit("<Acceptance-Datetime> 20250309023000"))) is not None
+    odd = '{"fields":["Ticker",null,"ticker","cik","name"],"data":[["a","x","b",1,"N"],["short"]]}'
+    assert [tuple(r) for r in payloads.company_seed(spark.createDataFrame([(odd,)], "payload string")).collect()] == [("B", "1", "N", None)]
+    values = spark.createDataFrame([(1, None, "x", 1), (1, "t", "y", 2)], "a int, tag string, v string, n int")
+    assert ticks.account_summary(values, "a", "tag", "v", "n").first()["summary"] == {"t": "y"}
+
+
+def test_structured_text_as_lines(spark):
+    page = (
+        "<html><head><title>Title</title><meta name='keywords' content='k1, k2'></head><body><nav><a href='/m'>Menu here</a></nav><div id='main'>Begin"
+        "<h1 class='header'>Head</h1><section><p>Deep <b>bold</b><a class='menu' href='x?y=1'>Link</a><p>More<ul><li>one thing</ul></section><div class='sidebar'>no</div>"
+        "<p>Copyright nobody</p></div><div class='top-bar'>Bar</div><footer>Foot</footer></body></html>"
+    )
+    got = html.structured(page, "http://a.com/p/")
+    assert got["main_content"].split("\n") == [" Begin", "Head", "   Deep", "   bold", "   Link [URL: http://a.com/p/x?y=1]", "   More", "   one thing"]
+    assert got["navigation_content"].split("\n")[0] == "Menu here [URL: http://a.com/m]"
+    assert (got["header_content"], got["footer_content"], got["sidebar_content"]) == ("Head\n Bar", "Foot", None)  # two letters are no line
+    assert html.query_of(page) == "Title Head k1, k2"
+    assert html.query_of("<body><h1>H</h1><p>short<p>" + "w" * 200) == "H " + "w" * 150
+    assert html.query_of(page, "asked") == "asked"
+    assert html.cleaned(html.tree("<div class='x' lang='en'> a <script>s</script><b style='c'>b</b></div>").children[0]) == '<div lang="en">a<b>b</b></div>'
+
+
+def test_polled_source_replays_after_a_restart(spark, tmp_path):
+    from quillstream.streaming import polling
+
+    state = tmp_path / "asked"
+
+    def fetch(offset):
+        n = int(offset["etag"] or 0) + 1
+        first = not state.exists()
+        state.write_text("x")
+        # The service gives its first row only to the first who asks.
+        return ({"etag": str(n), "last_modified": ""}, [(n, "only once" if first else "later")]) if n <= 2 else (offset, [])
+
+    polling.register(spark, "once", "n int, what string", fetch)
+    failing, got = [True], []
+
+    def write(batch, _):
+        if failing[0]:
+            raise RuntimeError("the sink is down")
+        got.extend(r["what"] for r in batch.collect())
+
+    def run():
+        q = spark.readStream.format("once").load().writeStream.foreachBatch(write).option("checkpointLocation", f"file://{tmp_path}/c").start()
+        try:
+            q.processAllAvailable()
+        except Exception:  # noqa: BLE001  the first run is meant to fail
+            pass
+        q.stop()
+
+    run()
+    failing[0] = False
+    run()
+    assert got == ["only once", "later"]
+
+
+def test_pollers_and_files(spark, tmp_path):
+    from quillstream.sources import pollers
+
+    (tmp_path / "a.xml").write_text('<feed><entry><id>1</id><title>T</title><link href="http://x/1"/></entry><entry><id>2</id><title>U</title><link href="http://x/2"/></entry><entry><id>2</id><title>U</title><link href="http://x/2"/></entry></feed>')
+    poller = pollers.FilePoller("Wire", f"{tmp_path}/a.xml", feeds.atom)
+    seen = spark.createDataFrame([("1",)], "id string")
+    got = poller.poll(spark, seen).collect()
+    assert [(r["source"], r["item"]["id"], r["item"]["article_text"]) for r in got] == [("Wire", "2", None)]
+    assert {r["item"]["id"] for r in poller.poll(spark).collect()} == {"1", "2"}
+    pages = spark.createDataFrame([("k1", "<p>a\nb"), ("k2", None)], "id string, body string")
+    pollers.write_pages(pages, "id", "body", f"{tmp_path}/pages")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/pages").select("value").collect()] == ["<p>a", "b"]
+    quotes = spark.createDataFrame([("A", 1.0, 2.0), ("B", 0.0, 2.0), ("C", None, 2.0)], "symbol string, bid double, ask double")
+    assert [r["midpoint"] for r in pollers.with_midpoint(quotes).orderBy("symbol").collect()] == [1.5, None, None]
+
+
+def test_market_data_subscriptions(spark, tmp_path):
+    from quillstream.sources import pollers
+
+    rows = spark.createDataFrame([("A", 1.0, 10.0, 1), ("A", 2.0, 5.0, 2), ("B", 9.0, 1.0, 3)], "symbol string, price double, size double, seq long")
+    rows.selectExpr("symbol", "price", "size", "timestamp_seconds(1000 + seq) as ts", "seq").write.parquet(f"{tmp_path}/trades")
+
+    class Files(pollers.MarketData):
+        def trades(self, spark, stream=False):
+            return (spark.readStream if stream else spark.read).schema(pollers.TRADE).parquet(f"{tmp_path}/trades")
+
+        def quotes(self, spark, stream=False):
+            raise NotImplementedError
+
+    data, got = Files(), []
+    assert data.latest_trade(spark, "A").first()["price"] == 2.0
+    assert data.bars(spark, "A", "1 hour").first()["volume"] == 15.0
+    data.subscribe(spark, "trades", ["A"], lambda batch, _: got.extend(r["price"] for r in batch.collect()), availableNow=True)
+    assert data.subscribed() == [("trades", "A")]
+    data._queries["trades", "A"].awaitTermination()
+    data.unsubscribe("trades", ["A"])
+    assert sorted(got) == [1.0, 2.0] and data.subscribed() == []
+
+
+def test_store_counts_times_and_companies(spark, tmp_path):
+    base = spark.createDataFrame([(1, "a", dt.datetime(2020, 1, 1)), (2, "b", dt.datetime(2020, 1, 1))], "k int, v string, updated_at timestamp")
+    new = spark.createDataFrame([(2, "c", None, 1), (2, "d", None, 2), (3, "e", None, 1), (None, "x", None, 1)], "k int, v string, updated_at timestamp, seq int")
+    got = {r["k"]: (r["v"], r["updated_at"].year > 2020) for r in store.upsert(base, new, ["k"], "seq", touched="updated_at").collect()}
+    assert got == {1: ("a", False), 2: ("d", True), 3: ("e", True)}
+    rows, counters = store.save_counters(new, F.col("k").isNotNull())
+    rows.where("k is not null").write.parquet(f"{tmp_path}/saved")
+    assert counters.get == {"total": 4, "saved": 3, "skipped": 1}
+    reports = spark.createDataFrame([("ab", dt.datetime(2025, 1, 1), "Firm", 1), ("cd", None, "No time", 2), ("ef", dt.datetime(2025, 1, 1), " ", 3)], "company_ticker string, report_datetime timestamp, company_name string, seq int")
+    firms = spark.createDataFrame([("XY", "Old")], "ticker string, company_name string")
+    assert sorted(map(tuple, store.ensure_companies(firms, reports, "seq").collect())) == [("AB", "Firm"), ("XY", "Old")]
+
+
+def test_failures_of_a_scorer_are_told(spark):
+    def scorer(text):
+        if "bad" in text:
+            raise ValueError("no")
+        return True, "r", 1
+
+    df = spark.createDataFrame([("good",), ("bad",), (None,)], "t string")
+    got = df.select("t", judge.by_function_or_error(scorer)(F.col("t")).alias("j")).collect()
+    assert [(r["j"]["judgement_score"], r["j"]["error"]) for r in got] == [(1, None), (None, "ValueError: no"), (None, None)]
+    assert one(spark, validate.percent(F.lit(1), F.lit(4))) == 25.0
+    assert 1.0 <= one(spark, validate.jittered(F.lit(1.0))) <= 1.1
+
+
+def test_bounded_cache_of_the_stream_evicts(spark, sf_dir):
+    from quillstream.plans import streams
+
+    def bounded(most):
+        rows = state.unseen_bounded(streams._stream(spark, sf_dir), "event_type", "user_id", "event_id", most)
+        return sorted(tuple(r) for r in streams._to_end(rows, spark).collect())
+
+    streams._rocksdb(spark)
+    got = bounded(3)
+    held, want = {}, []
+    for r in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect():
+        own = held.setdefault(r["event_type"], {})
+        if r["user_id"] not in own:
+            want.append((r["event_type"], str(r["user_id"]), r["event_id"]))
+            own[r["user_id"]] = True
+            if len(own) > 3:
+                del own[next(iter(own))]
+    assert got == sorted(want)
+    assert len(got) > len({(e, u) for e, u, _ in got})  # what was evicted came again
