@@ -37,18 +37,24 @@ def histogram(trades: DataFrame, price: Column, size: Column) -> DataFrame:
     return trades.groupBy(price.alias("price")).agg(F.sum(size).alias("size"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, columns: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, columns: list[str], bucket_seconds: int = 86_400) -> DataFrame:
     """For each left row the right row of its key that is last at or before its time, else nulls.
 
-    Both sides go into one sorted stream for each key, and the last right row is carried forward: one shuffle, no
-    pairs, however many right rows a key has.
+    Both sides go into one sorted stream for each key and span of time, and the last right row is carried forward there;
+    what earlier spans end with comes in by a join with one row for each span. So there are no pairs, however many
+    right rows a key has, and a key with many rows is spread over its spans.
     """
     carried = F.struct(*[F.col(c) for c in columns])
+    known = right.where(F.col(key).isNotNull())
     l_rows = left.select(key, time, F.lit(1).alias("__side"), F.col(tie).alias("__tie"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(carried.alias("s")).schema["s"].dataType).alias("__right"))
-    r_rows = right.select(key, time, F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(l_rows.schema["__left"].dataType).alias("__left"), carried.alias("__right"))
-    w = Window.partitionBy(key).orderBy(time, "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = l_rows.unionByName(r_rows).withColumn("__found", F.last("__right", ignorenulls=True).over(w))
-    return both.where("__side = 1").select("__left.*", *[F.col(f"__found.{c}").alias(f"asof_{c}") for c in columns])
+    r_rows = known.select(key, time, F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(l_rows.schema["__left"].dataType).alias("__left"), carried.alias("__right"))
+    both = l_rows.unionByName(r_rows).withColumn("__span", F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / bucket_seconds))
+    here = Window.partitionBy(key, "__span").orderBy(time, "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(key, "__span").agg(F.max_by("__right", F.when(F.col("__side") == 0, F.struct(time, "__tie"))).alias("__end"))
+    before = ends.select(key, "__span", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
+    found = both.withColumn("__here", F.last("__right", ignorenulls=True).over(here)).where("__side = 1").join(before, [key, "__span"], "left")
+    return found.withColumn("__found", F.coalesce("__here", "__before")).select("__left.*", *[F.col(f"__found.{c}").alias(f"asof_{c}") for c in columns])
 
 
 def within(left: DataFrame, right: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
