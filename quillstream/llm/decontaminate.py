@@ -7,7 +7,7 @@ its window and compares them. Overlapping hit windows extend to the whole shared
 are one window of their own length, whose fingerprint is the hash of all its words.
 
 Edge cases: null has no words and hits nothing, nor does an item without words; repeated rows of documents give one
-output row each, benchmark rows of one id are one item; the same window in several items is looked up once and counts
+output row each, benchmark rows of one id are one item, and one without an id hits but is not listed; the same window in several items is looked up once and counts
 for all of them; texts of any length are read whole; tables without rows hit nothing and give none; columns of any name
 can be kept.
 """
@@ -86,7 +86,7 @@ def hits(docs: DataFrame, listed: DataFrame, keep: list[str], text: str = "text"
     rows = _with_words(docs.select(kept, F.col(f"`{text}`").alias("__text"), F.monotonically_increasing_id().alias("__row")), "__text", "__w").drop("__text")
     found: list[str] = []
     for length in sorted(lengths):
-        bloom = BlockedBloom(listed.where(F.col("length") == length), "f", lengths[length])
+        bloom = BlockedBloom(listed.where(F.col("length") == length), "f", lengths[length], inside=True)
         rows = _with_fingerprints(rows, "__w", length)
         places = F.transform(F.col("__f"), lambda f, i: F.when(bloom.may_hold(f), F.struct(i.alias("at"), f.alias("f"))))  # noqa: B023
         rows = rows.withColumn("__p", F.filter(places, lambda p: p.isNotNull()))
@@ -124,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> Dat
     found = saved(hits(docs.select(kept, "text"), listed, ["kept"]), "decontaminate-hits")
     different = found.where(F.size("groups") > 0).select(F.col("groups").alias("of")).distinct()
     items = listed.groupBy("g").agg(F.first("items").alias("items"))
-    of = different.select("of", F.explode("of").alias("g")).join(items, "g").select("of", F.explode("items").alias("item")).distinct()
+    of = different.select("of", F.explode("of").alias("g")).join(items, "g").select("of", F.explode_outer("items").alias("item")).distinct()
     of = saved(of.groupBy("of").agg(F.array_sort(F.collect_list("item")).alias("items")), "decontaminate-items-of")
     # Clean documents all have the same groups, none, and don't meet under them.
     clean = found.where(F.size("groups") == 0).withColumn("items", F.array().cast("array<string>"))

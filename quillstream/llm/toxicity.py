@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import boxed, rowwise, saved, table
 
 #: Bounds of the fit: labelled documents, features of the model; words that a scorer remembers.
-MAX_LABELLED, MAX_FEATURES, SEEN = 6_000, 4_096, 300_000
+MAX_LABELLED, MAX_FEATURES, SEEN = 6_000, 4_096, 100_000
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n…。！？]+")
 #: A sentence's score is no larger, so that the noisy-or of it stays a number.
@@ -169,7 +169,7 @@ def fit(labels: np.ndarray, bags: list[list[list[int]]], names: list[str], round
         z = bias + np.bincount(sentence_of, w[feature_of], len(flat))
         harmless = base + np.bincount(doc_of, np.logaddexp(0, z), len(labels))
         # d loss / d harmless: the loss is harmless itself for clean documents, -log(1 - exp(-harmless)) for toxic ones.
-        slope = np.where(labels > 0, -1 / np.expm1(np.maximum(harmless, 1e-9)), 1.0)
+        slope = np.where(labels > 0, -1 / np.expm1(np.clip(harmless, 1e-9, 500)), 1.0)
         by_sentence = slope[doc_of] / (1 + np.exp(-z))
         grad = np.bincount(feature_of, by_sentence[sentence_of], len(names)) / len(labels) + L2 * w / len(labels)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad

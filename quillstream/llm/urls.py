@@ -102,7 +102,7 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url: str = "url",
     known = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     known = saved(known.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict", F.concat("host", "path").alias("rule")), "urls-rules")
     n = known.count()
-    bloom = BlockedBloom(known.select(F.xxhash64("rule").alias("h")), "h", n)
+    bloom = BlockedBloom(known.select(F.xxhash64("rule").alias("h")), "h", n, inside=True)
     lengths = sorted(r[0] for r in known.select(F.length("rule_path")).distinct().collect())  # no longer than a URL can be
     path = F.col("path")
     sizes = F.filter(F.lit(lengths), lambda x: x <= F.length(path)) if lengths else F.array().cast("array<int>")

@@ -92,7 +92,7 @@ def plain_lines(docs):
 
 def test_lines_match_brute_force(spark):
     rng = random.Random(9)
-    words = ["w%d" % i for i in range(60)]
+    words = ["w%d" % i for i in range(40)]
     pool = [[rng.choice(words) for _ in range(rng.randint(1, 14))] for _ in range(60)]
     texts = []
     for _ in range(120):
@@ -101,6 +101,8 @@ def test_lines_match_brute_force(spark):
             line = list(rng.choice(pool))
             if rng.random() < 0.5:
                 line[rng.randrange(len(line))] = rng.choice(words)
+            if rng.random() < 0.3:
+                line.append(rng.choice(words))
             own.append(" ".join(line).upper() if rng.random() < 0.1 else " ".join(line))
         texts.append("\n".join(own))
     texts += ["", None, "\n\n", "a b c d e\na b c d e", "long " * 30_000]
@@ -121,7 +123,26 @@ def test_short_lines_are_deduplicated(spark):
     texts = ["Les.\n\nAnd ornd.\nlong long long long long long", "LES.\n\nornd. and\nlong long\nAnd ornd. too", None, "Les.\n \nunbroken" + "x" * 50, "unbroken" + "x" * 50 + "\na b c d\na b c d e"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in lines.drop_similar_lines(docs).collect()}
-    assert got == {0: texts[0], 1: "\nAnd ornd. too", 2: None, 3: " \nunbroken" + "x" * 50, 4: "a b c d\na b c d e"}
+    assert got == {0: texts[0], 1: "\nAnd ornd. too", 2: None, 3: " \nunbroken" + "x" * 50, 4: "a b c d"}  # four of five words are a similarity of 0.8
+    assert got == plain_lines(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("m", [100, 400])
+def test_families_of_lines_cost_linear_pairs(spark, monkeypatch, m):
+    rng = random.Random(m)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(m):
+        own = list(base)
+        for k in range(3):
+            own[rng.randrange(60)] = f"n{i}x{k}"
+        texts.append(" ".join(own))
+    seen = []
+    monkeypatch.setattr(lines, "_later", lambda pairs, *rest, run=lines._later: (seen.append(pairs.count()), run(pairs, *rest))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.drop_similar_lines(docs).collect()}
+    assert got == plain_lines(list(enumerate(texts)))
+    assert sum(seen) <= 6 * m
 
 
 # Licences

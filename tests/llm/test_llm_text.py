@@ -213,6 +213,53 @@ def test_secrets_match_brute_force(spark):
     assert secrets.secrets(docs.limit(0), ["doc_id"]).count() == 0
 
 
+KEYS = {
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "hex": "0123456789abcdef",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+PROSE = "getElementsByTagNameAndClass internationalization_of_names some-long-page-title-with-words com_example_project_module_ClassName2 AbstractSingletonProxyFactoryBean the_quick_brown_fox_jumps_over_the_lazy_dog THIS_IS_A_CONSTANT_NAME_OF_SOMETHING annual-report-2024-final-version-2 donaudampfschifffahrtsgesellschaft anticonstitutionnellement-et-autres".split()
+
+
+def test_keys_of_all_kinds_are_found_among_names(spark):
+    rng = random.Random(6)
+    keys = [(kind, "".join(rng.choice(letters) for _ in range(n))) for kind, letters in KEYS.items() for n in ((23, 40) if kind == "hex" else (32, 40)) for _ in range(100)]
+    names = [rng.choice(PROSE) + rng.choice(["", "_x", "-and", "Of"]) + rng.choice(PROSE) for _ in range(400)]
+    texts = [f"see {k} here" for _, k in keys] + [f"see {n} here" for n in names]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secrets(documents(spark, texts), ["doc_id"]).collect()}
+    for kind in KEYS:
+        own = [i for i, (k, _) in enumerate(keys) if k == kind]
+        assert sum(("random" in got[i] or "hex" in got[i]) for i in own) >= 0.9 * len(own), kind
+    found = [i for i in got if "random" in got[i]]
+    assert sum(i >= len(keys) for i in found) <= 0.1 * len(found)
+
+
+def test_battery_tells_draws_from_other_sequences():
+    rng = np.random.default_rng(8)
+    for size in (16, 32, 64):
+        for n in (20, 40, 100):
+            drawn = secrets.battery(rng.integers(0, size, (2_000, n)), size)
+            assert np.quantile(drawn, 0.99) < 25  # three squared standard scores, nearly
+            skewed = secrets.battery(rng.integers(0, size // 4, (200, n)), size)
+            order = secrets.battery(np.sort(rng.integers(0, size, (200, n)), axis=1), size)
+            assert np.median(skewed) > np.quantile(drawn, 0.95) and np.median(order) > np.quantile(drawn, 0.95)
+    assert np.isfinite(secrets.battery(np.zeros((1, 30), int), 16)).all()
+
+
+def test_discoveries_are_those_of_benjamini_and_hochberg():
+    rng = random.Random(12)
+    for _ in range(50):
+        bins = [(rng.choice([5, 6]), rng.choice([0, 0, 0, rng.randrange(60)])) for _ in range(rng.randint(1, 60))]
+        got = secrets.discoveries({k: bins.count(k) for k in set(bins)}, 0.05)
+        for length in {k for k, _ in bins}:
+            p = sorted(10 ** (-b / 10) for k, b in bins if k == length)
+            most = max((i + 1 for i, x in enumerate(p) if x * len(p) <= 0.05 * (i + 1)), default=0)
+            found = [b for k, b in bins if k == length and length in got and b >= got[length]]
+            assert len(found) == most
+    assert secrets.discoveries({}) == {}
+
+
 # HTML
 
 
