@@ -29,7 +29,7 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 NO_PAIR = 1 << 62
 #: Words at which a generation of a worker's cache is full, the most bytes of ids of one that enters it, and the
 #: characters of texts encoded together.
-CACHE, LONGEST, TOGETHER = 200_000, 64, 3_000_000
+CACHE, LONGEST, TOGETHER = 100_000, 64, 2_000_000
 
 #: Ids as little-endian 32-bit integers, and what they decode to.
 Coded = tuple[bytes, str]
@@ -249,18 +249,21 @@ class Bpe:
         return out
 
 
+#: A worker's own coder, so that what it has read and learned serves all its tasks: the file's content, and the coder.
+_HELD: list[tuple[bytes, Bpe]] = []
+
+
+def _held(content: bytes) -> Bpe:
+    if not _HELD or _HELD[0][0] != content:
+        _HELD[:] = [(content, Bpe(content))]
+    return _HELD[0][1]
+
+
 def _coder(docs: DataFrame, path: str) -> Callable[[], Bpe]:
     """The file is read on the driver and sent to each executor once; its size doesn't depend on the data."""
     with open(path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    held: dict[str, Bpe] = {}
-
-    def make() -> Bpe:
-        if path not in held:
-            held[path] = Bpe(sent.value)
-        return held[path]
-
-    return make
+    return lambda: _held(sent.value)
 
 
 def token_digests(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:

@@ -15,10 +15,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: About so many bytes of a batch are Python objects at a time.
+PYTHON_BYTES = 8_000_000
 #: Spark's setting that removes a query's shuffle files when the query ends.
 SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Folders made for local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,8 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    spark.conf.set("spark.checkpoint.dir", made := f"file://{tempfile.mkdtemp(prefix='quillstream-')}")
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
+    return _OWN[app]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -77,8 +85,12 @@ def boxed(df: DataFrame, text: str, keep: list[str], make: Callable[[], Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            new = work(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [a if isinstance(a := new[n], pa.Array) else pa.array(a) for n in names], names=["keep", *names])
+            rows = max(1, batch.num_rows * PYTHON_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                new = work(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0)] + [a if isinstance(a := new[n], pa.Array) else pa.array(a) for n in names], names=["keep", *names])
+        pa.default_memory_pool().release_unused()  # the worker lives on, and is counted to its executor
 
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     rows = df.select(kept.alias("keep"), F.col(f"`{text}`").alias("text"))
