@@ -287,8 +287,18 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _holding(blocks: list[tuple[str, int]], boxes: list[tuple[int, int]]) -> list[bool]:
+    """Of each box, whether a block of content is in it, directly or in a box inside."""
+    out = [False] * len(boxes)
+    for _, box in blocks:
+        while box >= 0 and not out[box]:
+            out[box] = True
+            box = boxes[box][1]
+    return out
+
+
 def page_blocks(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """``keep`` (a struct), content (a hash of the blocks' texts), blocks (text and box) and boxes (hash and outer box)."""
+    """``keep`` (a struct), content (a hash of the blocks' texts), blocks (text, box) and boxes (hash, outer box, whether it holds a block)."""
 
     def work(pages: pa.Array) -> dict:
         found = [blocks(h) for h in pages.to_pylist()]
@@ -296,10 +306,10 @@ def page_blocks(pages: DataFrame, keep: list[str], html: str = "html") -> DataFr
         return {
             "content": pa.array(contents, pa.int64()),
             "blocks": pa.array([[{"text": t, "box": k} for t, k in b] for b, _ in found], pa.list_(pa.struct([("text", pa.string()), ("box", pa.int32())]))),
-            "boxes": pa.array([[{"hash": h, "outer": k} for h, k in x] for _, x in found], pa.list_(pa.struct([("hash", pa.int64()), ("outer", pa.int32())]))),
+            "boxes": pa.array([[{"hash": h, "outer": k, "holds": y} for (h, k), y in zip(x, _holding(b, x), strict=True)] for b, x in found], pa.list_(pa.struct([("hash", pa.int64()), ("outer", pa.int32()), ("holds", pa.bool_())]))),
         }
 
-    return boxed(pages, html, keep, lambda: work, "content bigint, blocks array<struct<text:string,box:int>>, boxes array<struct<hash:bigint,outer:int>>")
+    return boxed(pages, html, keep, lambda: work, "content bigint, blocks array<struct<text:string,box:int>>, boxes array<struct<hash:bigint,outer:int,holds:boolean>>")
 
 
 def templates(parsed: DataFrame) -> DataFrame:
@@ -326,8 +336,9 @@ def main_text(pages: DataFrame, keep: list[str], html: str = "html", url: str =
     rows = pages.select(kept, F.col(f"`{html}`").alias("html"), host_of(F.col(f"`{url}`")).alias("host"), F.monotonically_increasing_id().alias("row"))
     parsed = saved(page_blocks(rows, ["kept", "host", "row"]), "html-blocks")
     recurring = saved(templates(parsed), "html-templates")
-    # Only boxes that hold content, directly or in boxes inside, can take any with them; the others are looked up for nothing.
-    boxes = parsed.where(F.size("blocks") > 0).select("keep.row", "keep.host", F.explode(F.array_distinct("boxes.hash")).alias("hash"))
+    # Only boxes that hold content can take any with them.
+    holding = F.transform(F.filter("boxes", lambda x: x["holds"]), lambda x: x["hash"])
+    boxes = parsed.select("keep.row", "keep.host", F.explode(F.array_distinct(holding)).alias("hash"))
     gone = boxes.join(recurring, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))  # at most a page's own boxes
     gone = saved(gone, "html-gone")  # its size is then known before texts would be shuffled to meet it
     joined = parsed.join(gone, F.col("keep.row") == F.col("row"), "left").select(F.struct("blocks", "boxes", "gone").alias("page"), "keep.kept")
