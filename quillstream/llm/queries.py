@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, licenses, lines, secrets, simhash, topk, toxicity, urls
+from . import bpe, decontaminate, html, licenses, lines, runs, secrets, simhash, topk, toxicity, urls
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(spark, sf_dir)
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.document_runs(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_html, op4_topk, op5_bpe, op6_licenses, op7_decontaminate, op8_lines, op9_secrets, op10_urls)
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_html, op4_topk, op5_bpe, op6_licenses, op7_decontaminate, op8_lines, op9_secrets, op10_urls, op13_runs)
 }
