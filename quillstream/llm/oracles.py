@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from . import topk, treaps, urls
+from . import sigtrees, topk, treaps, urls
 
 DECONTAMINATE = r"""
 WITH d AS (
@@ -26,4 +26,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES: dict[str, str] = {"op4_topk": topk.SQL, "op7_decontaminate": DECONTAMINATE, "op10_urls": urls.SQL, "op12_treaps": treaps.SQL}
+ORACLES: dict[str, str] = {"op4_topk": topk.SQL, "op7_decontaminate": DECONTAMINATE, "op10_urls": urls.SQL, "op11_sigtrees": sigtrees.SQL, "op12_treaps": treaps.SQL}

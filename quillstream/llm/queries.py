@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, licenses, lines, runs, secrets, simhash, topk, toxicity, treaps, urls
+from . import bpe, decontaminate, html, licenses, lines, runs, secrets, sigtrees, simhash, topk, toxicity, treaps, urls
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(spark, sf_dir)
 
 
+def op11_sigtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtrees.linked_documents(spark, sf_dir)
+
+
 def op12_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treaps.ranked_documents(spark, sf_dir)
 
@@ -65,5 +69,5 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_html, op4_topk, op5_bpe, op6_licenses, op7_decontaminate, op8_lines, op9_secrets, op10_urls, op12_treaps, op13_runs)
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_html, op4_topk, op5_bpe, op6_licenses, op7_decontaminate, op8_lines, op9_secrets, op10_urls, op11_sigtrees, op12_treaps, op13_runs)
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstream.llm import queries
 
 #: Names that the operators use for columns of their own, and some of results.
-NAMES = "id row own keep kept mark line place word words d n at s1 first doc spans score predicted base runs host path rule verdict key canonical fp component set prefix hashes file license groups of items n_words block wide rank query content boxes blocks page text_ n_tokens held_out again copies own_id own_mark".split()
+NAMES = "id row own keep kept mark line place word words d n at s1 first doc spans score predicted base runs host path rule verdict key canonical fp component set prefix hashes file license groups of items n_words block wide rank query content boxes blocks page text_ n_tokens held_out again copies own_id own_mark tree terms times node part needed score copies".split()
 LONG = "Some words of a very long text. " * 40_000
 TEXTS = [None, "", " ", "\n\n\n", "one", "one two three four five six seven eight nine ten eleven", "one two three four five six seven eight nine ten eleven", LONG, LONG + "end", "x" * 300_000, "\x00\x1c é ß 𝒳", "a b c d e\na b c d e\na b c d f", "password = hunter2222 AKIA" + "Q7" * 8, "0a" * 20]
 
@@ -58,13 +58,17 @@ def test_odd_rows_all_get_a_result(spark, odd, empty, name):
     if name == "op4_topk":
         # Usable rows: two of id 0, one of none, 5, 6 and 40; each query row ranks all but itself.
         assert sorted((r["query_id"], r["rank"]) for r in got) == sorted([(i, k) for i in (0, 0, 40) for k in range(1, 6)])
+    elif name == "op12_treaps":
+        # Items 1, twice, and the one without an id find the texts that have their words; 2 finds the texts with "one".
+        assert {r["item_id"] for r in got} == {1, 2, None}
+        assert sorted(r["rank"] for r in got if r["item_id"] == 1) == sorted(2 * list(range(1, 1 + sum(r["item_id"] == 1 for r in got) // 2)))
     else:
         assert len(got) == len(odd_rows("pages" if name in ("op3_html", "op10_urls") else "documents"))
     assert queries.QUERIES[name](spark, empty).count() == 0
 
 
 def test_results_of_odd_rows(spark, odd):
-    rows = {name: queries.QUERIES[name](spark, odd).collect() for name in ("op2_simhash", "op7_decontaminate", "op8_lines", "op3_html", "op1_toxicity")}
+    rows = {name: queries.QUERIES[name](spark, odd).collect() for name in ("op2_simhash", "op7_decontaminate", "op8_lines", "op3_html", "op1_toxicity", "op11_sigtrees", "op13_runs")}
     nothing = {i for i, t in enumerate(TEXTS) if not (t or "").split()} - {3}  # other texts have this id too
     groups = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows["op2_simhash"]}
     assert all(groups[i] == ("0" * 16, 0) for i in nothing)
@@ -73,6 +77,10 @@ def test_results_of_odd_rows(spark, odd):
     gone = {r["doc_id"]: r["n_removed"] for r in rows["op8_lines"] if r["doc_id"] not in (None, 3)}
     assert gone == {i: {6: 1, 8: 1, 11: 1}.get(i, 0) for i in range(len(TEXTS)) if i != 3}
     assert {r["page_id"]: r["text"] for r in rows["op3_html"]}[5] == "deep"
+    linked = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows["op11_sigtrees"]}
+    assert all(linked[i] == (0, i) for i in nothing - {0}) and linked[6] == (7, 5) and linked[8][1] == 7
+    repeated = {r["doc_id"]: (r["n_runs"], r["start"], r["period"]) for r in rows["op13_runs"]}
+    assert repeated[1] == (0, None, None) and repeated[7] == (1, 0, 7)
     assert all(0 <= r["score"] <= 1 for r in rows["op1_toxicity"])
 
 
