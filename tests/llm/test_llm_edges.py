@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstream.llm import queries
 
 #: Names that the operators use for columns of their own, and some of results.
-NAMES = "id row own keep kept mark line place word words d n at s1 first doc spans score predicted base runs host path rule verdict key canonical fp component set prefix hashes file license groups of items n_words block wide rank query content boxes blocks page text_ n_tokens held_out again copies own_id own_mark tree terms times node part needed score copies".split()
+NAMES = "id row own keep kept mark line place word words d n at s1 first doc spans score predicted base runs host path rule verdict key canonical fp component set prefix hashes file license groups of items n_words block wide rank query content boxes blocks page text_ n_tokens held_out again copies own_id own_mark tree terms times node part needed".split()
 LONG = "Some words of a very long text. " * 40_000
 TEXTS = [None, "", " ", "\n\n\n", "one", "one two three four five six seven eight nine ten eleven", "one two three four five six seven eight nine ten eleven", LONG, LONG + "end", "x" * 300_000, "\x00\x1c é ß 𝒳", "a b c d e\na b c d e\na b c d f", "password = hunter2222 AKIA" + "Q7" * 8, "0a" * 20]
 
