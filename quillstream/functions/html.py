@@ -7,6 +7,7 @@ other parsers make to broken markup may differ.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -61,9 +62,18 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#document", {}, None)
         self.skipping = 0
+        #: How many elements of each name are open, so that an end tag without a start costs nothing.
+        self.open: Counter[str] = Counter()
         #: The paragraph that is open here, with only inline elements inside.
         self.paragraph: Node | None = None
 
+    def leave(self, node: Node) -> None:
+        """Close an open element and all that is open inside it."""
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.paragraph = None if self.at is self.paragraph else self.paragraph
+            self.at = self.at.parent
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.skipping:
             self.skipping += tag in UNREAD and tag not in VOID
@@ -72,13 +82,14 @@ class _Builder(HTMLParser):
             self.skipping = int(tag not in VOID)
             return
         if tag == "li" and self.at.tag == "li":
-            self.at = self.at.parent
+            self.leave(self.at)
         if tag in ENDS_P and self.paragraph is not None:
-            self.at, self.paragraph = self.paragraph.parent, None
+            self.leave(self.paragraph)
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
             self.paragraph = node if tag == "p" else None if tag in BLOCKS else self.paragraph
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -89,13 +100,14 @@ class _Builder(HTMLParser):
         if self.skipping:
             self.skipping -= tag in UNREAD and tag not in VOID
             return
+        if not self.open[tag]:
+            return
         node = self.at
-        while node is not None and node.tag != tag:
+        while node.tag != tag:
             node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
-            if tag in BLOCKS:
-                self.paragraph = None
+        self.leave(node)
+        if tag in BLOCKS:
+            self.paragraph = None
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
@@ -143,13 +155,22 @@ def _raw(node: Node) -> str:
     return "".join(out)
 
 
-def lines(node: Node, base: str, is_main: bool) -> list[str]:
-    """Lines of text, indented by a space for each level; links carry their address, headings and links end the walk below them."""
+def lines(node: Node, base: str, is_main: bool, read: dict[int, int] | None = None) -> list[str]:
+    """Lines of text, indented by a space for each level; links carry their address, headings and links end the walk below them.
+
+    ``read`` has the least indent at which elements have been read before. Where ``node`` is among them, its lines at the
+    deepest indent are known already, as they are the same from above, and the walk ends there.
+    """
     out: list[str] = []
+    again = read is not None and id(node) in read
     todo: list[tuple[Node | str, int]] = [(node, 0)]
     while todo:
         n, indent = todo.pop()
         indent = min(indent, DEEPEST)
+        if again and indent == DEEPEST:
+            continue
+        if read is not None and not isinstance(n, str):
+            read[id(n)] = min(indent, read.get(id(n), indent))
         if isinstance(n, str):
             if len(text := " ".join(n.split())) >= 3:
                 out.append(" " * indent + text)
@@ -175,6 +196,12 @@ def lines(node: Node, base: str, is_main: bool) -> list[str]:
     return out
 
 
+def lines_of_all(nodes: list[Node], base: str) -> list[str]:
+    """Lines of elements that may be inside each other, without most of those that would come again from inside."""
+    read: dict[int, int] = {}
+    return [x for n in nodes if read.get(id(n)) != 0 for x in lines(n, base, False, read)]
+
+
 def useful(found: list[str], longer_than: int = 1) -> list[str]:
     kept = [x for x in found if len(x.strip()) > longer_than and not any(b in x.lower() for b in BOILERPLATE)]
     return list(dict.fromkeys(kept))
@@ -189,7 +216,7 @@ def structured(html: str | None, base: str = "") -> dict[str, str | None]:
     found = lines(main, base, True)
     if len(found) < 5 and body is not main:
         found = lines(body, base, True)
-    parts = [found, *([x for n in _parts(root, tag) for x in lines(n, base, False)] for tag in TERMS)]
+    parts = [found, *(lines_of_all(_parts(root, tag), base) for tag in TERMS)]
     return {k: "\n".join(kept) if (kept := useful(p)) else None for k, p in zip(PARTS, parts, strict=True)}
 
 

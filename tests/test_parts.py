@@ -445,3 +445,30 @@ def test_bounded_cache_of_the_stream_evicts(spark, sf_dir):
                 del own[next(iter(own))]
     assert got == sorted(want)
     assert len(got) > len({(e, u) for e, u, _ in got})  # what was evicted came again
+
+
+@pytest.mark.parametrize("unit", ["<i>a few</b>", '<div class="nav">some text', '<span class="menu">some text', '<div class="sidebar"><span id="nav">some text', "<p><b>some text", "<li>some text</ul>"])
+def test_pages_are_read_in_time_in_proportion_to_their_length(unit):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        html.structured(unit * n)
+        return time.perf_counter() - began
+
+    seconds(1_000)
+    small, large = min(seconds(4_000) for _ in range(3)), min(seconds(32_000) for _ in range(2))
+    assert large < 24 * small  # eight times the length
+
+
+def test_parts_inside_parts_give_their_lines_at_each_indent_once():
+    page = "<body><div id='main'><p>Story of the day</p></div>" + "".join(f"<div class='nav'><p>level {i}</p>" for i in range(8)) + "</body>"
+    got = html.structured(page)["navigation_content"].split("\n")
+    assert len(got) == len(set(got))
+    assert [x for x in got if x.endswith("level 7")] == ["     level 7", "    level 7", "   level 7", "  level 7"]
+    assert got[:3] == ["  level 0", "   level 1", "    level 2"]
+
+
+def test_a_paragraph_ends_with_what_it_is_in():
+    root = html.tree("<span><p>a</span><div>b</div>")
+    assert [n.tag for n in root.children] == ["span", "div"]
