@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions import dates, html, links, text
+from ..functions import dates, domains, html, links, text
 from ..operators import crawl, filings, judge
+from ..session import shared_dir
 from ..sources import feeds, payloads
 from .relational import t
 
@@ -142,7 +145,32 @@ def q57_calendar(s, d):
     return got.select("ticker", F.col("earnings_call_time").cast("timestamp_ntz").alias("at"), F.round("eps_actual", 2).alias("eps_actual"), F.round("eps_estimate", 2).alias("eps_estimate"), F.round("eps_surprise", 2).alias("eps_surprise"))
 
 
-QUERIES = [q30_envelope, q31_atom, q32_rss, q33_html_list, q34_json_articles, q35_mixed_times, q36_field_rows, q37_filing_items, q38_filing_exhibits, q39_strip_and_filter, q40_link_strategies, q41_links_by_host, q46_tokens, q54_judged, q55_page_structure, q56_press_stream, q57_calendar]
+def q69_registrable_domains(s, d):
+    """Suffix, registrable domain and its label of pages' hosts, moved to places with rules of several labels, wildcards and exceptions."""
+    host, k = links.host(F.col("url")), F.col("page_id") % 6
+    moved = F.when(k == 0, host)
+    for i, to in enumerate(("co.uk", "kobe.jp", "city.kobe.jp", "ck", "www.ck"), 1):
+        moved = moved.when(k == i, F.regexp_replace(host, "(com|net|org)$", to))
+    pages = t(s, d, "pages").select("page_id", moved.alias("host"))
+    return domains.with_domains(pages, "host", domains.published(s)).select("page_id", "suffix", "domain", "label")
+
+
+def q70_crawl(s, d):
+    """A crawl over the pages, from each host's first page on, three levels down; a link's page is given by its digest, as the tables' links lead to none of them."""
+    pages = t(s, d, "pages").select("page_id", "url", "html")
+    seeds = pages.groupBy(links.host(F.col("url")).alias("host")).agg(F.min_by("url", "page_id").alias("url"))
+    size = pages.agg(F.max("page_id") + 1).first()[0]
+    visit = lambda frontier: frontier.join(pages.select("url", "html"), "url")
+
+    def resolve(found):
+        target = F.conv(F.substring(F.md5(F.col("link").cast("binary")), 1, 7), 16, 10).cast("long") % size
+        return found.withColumn("page_id", target).join(pages.select("page_id", "url"), "page_id").drop("page_id")
+
+    found = crawl.Crawl(f"{shared_dir(s)}/crawl-{uuid.uuid4().hex}", visit, "same-origin", resolve=resolve).run(seeds, 3)
+    return found.join(pages.select("page_id", "url"), "url").select("page_id", "depth")
+
+
+QUERIES = [q30_envelope, q31_atom, q32_rss, q33_html_list, q34_json_articles, q35_mixed_times, q36_field_rows, q37_filing_items, q38_filing_exhibits, q39_strip_and_filter, q40_link_strategies, q41_links_by_host, q46_tokens, q54_judged, q55_page_structure, q56_press_stream, q57_calendar, q69_registrable_domains, q70_crawl]
 
 _ITEMS = "CASE doc_id % 6 WHEN 0 THEN ['5.02', '9.01'] WHEN 1 THEN ['2.02', '9.01'] WHEN 2 THEN ['1.01', '1.02'] WHEN 3 THEN ['404'] WHEN 4 THEN [] ELSE ['3.02', '4.01'] END"
 _TIERS = "CASE doc_id % 6 WHEN 0 THEN '5.02=1' WHEN 1 THEN '2.02=1' WHEN 2 THEN '1.01=1,1.02=2' WHEN 5 THEN '4.01=2' ELSE '' END"
@@ -231,4 +259,18 @@ ORACLES = {
                CASE WHEN o_orderkey % 5 <> 0 THEN 100.5 ELSE 'nan'::DOUBLE END AS eps_estimate,
                CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 THEN round(o_totalprice - 100.5, 2) ELSE 'nan'::DOUBLE END AS eps_surprise
         FROM orders""",
+    "q69_registrable_domains": """
+        WITH r(suffix, labels, exception) AS (VALUES ('com', 1, false), ('net', 1, false), ('org', 1, false), ('uk', 1, false), ('co.uk', 2, false), ('jp', 1, false), ('kobe.jp', 3, false), ('city.kobe.jp', 2, true), ('ck', 2, false), ('www.ck', 1, true)),
+        h AS (SELECT page_id, string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1), '(com|net|org)$', CASE page_id % 6 WHEN 0 THEN '\\1' WHEN 1 THEN 'co.uk' WHEN 2 THEN 'kobe.jp' WHEN 3 THEN 'city.kobe.jp' WHEN 4 THEN 'ck' ELSE 'www.ck' END), '.') AS p FROM pages),
+        x AS (SELECT page_id, p, array_to_string(p[-k:], '.') AS tail FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM h)),
+        b AS (SELECT page_id, p, coalesce(arg_max(labels, (exception, labels)), 1) AS k FROM x LEFT JOIN r ON tail = suffix AND labels <= len(p) GROUP BY page_id, p)
+        SELECT page_id, array_to_string(p[-k:], '.') AS suffix, CASE WHEN k < len(p) THEN array_to_string(p[-k - 1:], '.') END AS domain, CASE WHEN k < len(p) THEN p[-k - 1] END AS label FROM b""",
+    "q70_crawl": r"""
+        WITH RECURSIVE l AS (
+          SELECT url AS page, regexp_extract(url, '^[a-z]+://[^/?#]*') || replace(replace(unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)), '&quot;', '"'), '&amp;', '&') AS link FROM pages),
+        g AS (SELECT DISTINCT page, url FROM l JOIN pages ON page_id = CAST('0x' || substr(md5(link), 1, 7) AS BIGINT) % (SELECT max(page_id) + 1 FROM pages)),
+        c AS (
+          SELECT arg_min(url, page_id) AS url, 0 AS depth FROM pages GROUP BY regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)
+          UNION SELECT g.url, depth + 1 FROM c JOIN g ON c.url = g.page WHERE depth < 3)
+        SELECT page_id, CAST(min(depth) AS INTEGER) AS depth FROM c JOIN pages USING (url) GROUP BY page_id""",
 }
