@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import judge, ticks
-from ..session import shared_dir
+from ..session import SETTINGS, shared_dir
 from ..streaming import dataflow, state
 from . import content, market
 
@@ -34,7 +34,8 @@ def _to_end(rows: DataFrame, s: SparkSession) -> DataFrame:
 
 
 def _rocksdb(s: SparkSession) -> None:
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for key in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.join.stateFormatVersion"):
+        s.conf.set(key, SETTINGS[key])
 
 
 def q42_stream_seen_ids(s, d):
