@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators import judge, ticks
 from ..session import SETTINGS, shared_dir
-from ..streaming import dataflow, state
+from ..streaming import dataflow, state, transactions
 from . import content, market
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -171,7 +171,29 @@ def q68_stream_recent(s, d):
     return got.select(F.col("grp").alias("event_type"), F.col("id").alias("user_id"), F.col("seq").alias("event_id"), "seen")
 
 
-QUERIES = [q42_stream_seen_ids, q58_stream_changes, q59_stream_gate, q60_stream_pairs, q61_stream_routes, q62_stream_bounded_cache, q63_stream_monitor, q64_stream_book, q65_stream_depth, q66_stream_gate_reopens, q67_stream_polls, q68_stream_recent]
+def q71_stream_store(s, d):
+    """Companies, exchanges, their links and earnings out of one stream, written together: users with their types of event, and the last value of each day."""
+    store = transactions.Store(s, _shared(s), transactions.EARNINGS_STORE)
+    events = _stream(s, d)
+    ticker, place = F.concat(F.lit("U"), F.col("user_id")), F.upper("event_type")
+    none = F.lit(None)
+    rows = store.rows(
+        events, "event_id",
+        companies={"ticker": ticker, "cik": none, "company_name": F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("Firm "), F.col("event_id"))), "sector": none, "industry": none},
+        exchanges={"name": place},
+        company_exchanges={"company_ticker": ticker, "exchange": F.when(F.col("event_id") % 3 == 0, place)},
+        earnings_reports={"company_ticker": ticker, "report_datetime": F.date_trunc("day", "ts"), "eps_estimate": none, "reported_eps": F.col("value")},
+    )
+    store.writer(rows, "events").trigger(availableNow=True).start().awaitTermination()
+    now = store.committed()
+    listed = store.read("company_exchanges", now).groupBy("company_ticker").agg(F.array_join(F.array_sort(F.collect_set("exchange")), ", ").alias("exchanges"))
+    reports = store.read("earnings_reports", now).groupBy("company_ticker").agg(F.count(F.lit(1)).alias("reports"), F.round(F.max_by("reported_eps", "report_datetime"), 4).alias("last_eps"))
+    firms = store.read("companies", now).select("ticker", "company_name")
+    joined = firms.join(listed, F.col("ticker") == listed["company_ticker"], "left").join(reports, F.col("ticker") == reports["company_ticker"], "left")
+    return joined.select("ticker", "company_name", "exchanges", "reports", "last_eps")
+
+
+QUERIES = [q42_stream_seen_ids, q58_stream_changes, q59_stream_gate, q60_stream_pairs, q61_stream_routes, q62_stream_bounded_cache, q63_stream_monitor, q64_stream_book, q65_stream_depth, q66_stream_gate_reopens, q67_stream_polls, q68_stream_recent, q71_stream_store]
 
 ORACLES = {
     "q42_stream_seen_ids": "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'",
@@ -219,4 +241,11 @@ ORACLES = {
         p AS (SELECT *, lag(n) OVER (PARTITION BY event_type, user_id ORDER BY n) AS was FROM r),
         between_ AS (SELECT p.event_type, p.n, count(DISTINCT r.user_id) AS others FROM p JOIN r ON p.event_type = r.event_type AND r.n > p.was AND r.n < p.n GROUP BY p.event_type, p.n)
         SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, event_id, was IS NOT NULL AND coalesce(others, 0) < 20 AS seen FROM p LEFT JOIN between_ USING (event_type, n)""",
+    "q71_stream_store": """
+        WITH e AS (SELECT *, 'U' || user_id AS ticker FROM events),
+        firms AS (SELECT ticker, 'Firm ' || min(event_id) AS company_name FROM e WHERE event_id % 5 <> 0 GROUP BY ticker),
+        listed AS (SELECT ticker, string_agg(DISTINCT upper(event_type), ', ' ORDER BY upper(event_type)) AS exchanges FROM e WHERE event_id % 3 = 0 GROUP BY ticker),
+        days AS (SELECT ticker, date_trunc('day', ts) AS day, arg_max(value, event_id) AS eps FROM e GROUP BY 1, 2),
+        reports AS (SELECT ticker, count(*) AS reports, round(arg_max(eps, day), 4) AS last_eps FROM days GROUP BY ticker)
+        SELECT ticker, company_name, exchanges, reports, last_eps FROM firms LEFT JOIN listed USING (ticker) LEFT JOIN reports USING (ticker)""",
 }

@@ -281,3 +281,73 @@ def test_polls_have_exact_times_in_any_cut_of_batches(spark, tmp_path):
         events = stream(spark, folder, "k string, t timestamp, seq long, what string", cut(rows, parts))
         got = appended(state.polls(events, "k", "t", "seq", F.col("what") == "earnings", F.col("what") == "report", 5 * 3600, 24 * 3600), folder)
         assert sorted(map(tuple, got)) == sorted(want)
+
+
+# Transactions
+
+
+def stored(spark, tmp_path, poison, batches=2):
+    """Write events into three tables; a poisoned row makes its task fail after others have written."""
+    from quillstream.streaming import transactions
+
+    tables = {
+        "companies": transactions.Table("ticker string, company_name string", ("ticker",), required=("company_name",)),
+        "exchanges": transactions.Table("name string", ("name",)),
+        "links": transactions.Table("company_ticker string, exchange string, n int", ("company_ticker", "exchange"), replaces=True, parents=(("company_ticker", "companies"), ("exchange", "exchanges"))),
+    }
+    store = transactions.Store(spark, f"file://{tmp_path}/store", tables)
+
+    @F.udf("string")
+    def checked(ticker):
+        if poison.exists() and ticker == "BAD":
+            raise RuntimeError("poison")
+        return ticker
+
+    events = spark.readStream.schema("seq long, ticker string, name string, place string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    spread = events.repartition(3)
+    rows = store.rows(spread, "seq", companies={"ticker": checked("ticker"), "company_name": F.col("name")}, exchanges={"name": F.col("place")}, links={"company_ticker": F.col("ticker"), "exchange": F.col("place"), "n": F.col("seq")})
+    q = store.writer(rows, "events").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    except Exception:  # noqa: BLE001  poison is meant to fail
+        pass
+    return store
+
+
+EVENTS = [
+    [(1, "A", "Firm A", "NYSE"), (2, "B", "Firm B", "LSE"), (3, "A", "Firm A again", "NYSE"), (4, "C", None, "LSE")],
+    [(5, "BAD", "Firm bad", "XETRA"), (6, "A", "Later", "LSE"), (7, "D", "Firm D", None), (8, "B", "Later", "LSE"), (9, "E", "Firm E", "XETRA")],
+]
+
+
+def test_a_killed_batch_leaves_all_or_none(spark, tmp_path):
+    stream(spark, tmp_path, "seq long, ticker string, name string, place string", EVENTS)
+    poison = tmp_path / "poison"
+    poison.write_text("x")
+    store = stored(spark, tmp_path, poison)
+    assert {r["ticker"]: r["company_name"] for r in store.read("companies").collect()} == {"A": "Firm A", "B": "Firm B"}
+    assert {r["name"] for r in store.read("exchanges").collect()} == {"NYSE", "LSE"}  # nothing of the batch that failed, in any table
+    assert sorted(tuple(r) for r in store.read("links").collect()) == [("A", "NYSE", 3), ("B", "LSE", 2)]
+    poison.unlink()
+    for _ in range(2):  # a restart, and one with nothing to do
+        store = stored(spark, tmp_path, poison)
+        now = store.committed()
+        assert {r["ticker"]: r["company_name"] for r in store.read("companies", now).collect()} == {"A": "Firm A", "B": "Firm B", "BAD": "Firm bad", "D": "Firm D", "E": "Firm E"}
+        assert sorted(tuple(r) for r in store.read("links", now).collect()) == [("A", "LSE", 6), ("A", "NYSE", 3), ("B", "LSE", 8), ("BAD", "XETRA", 5), ("E", "XETRA", 9)]
+        assert store.written("companies", now).count() == 9  # each event once
+
+
+def test_a_batch_is_committed_once_and_what_has_no_entry_is_not_there(spark, tmp_path):
+    from quillstream.streaming import transactions
+
+    stream(spark, tmp_path, "seq long, ticker string, name string, place string", EVENTS)
+    store = stored(spark, tmp_path, tmp_path / "no poison")
+    before = store.committed()
+    import shutil
+
+    shutil.rmtree(tmp_path / "store/checkpoint")  # all batches come again
+    assert stored(spark, tmp_path, tmp_path / "no poison").committed() == before
+    entry = sorted((tmp_path / "store/log/events").glob("*.json"))[-1]
+    entry.unlink()  # a driver that died before its commit: files without an entry
+    assert {r["name"] for r in store.read("exchanges").collect()} == {"NYSE", "LSE"}
+    assert transactions.Store(spark, f"file://{tmp_path}/none", store.tables).read("links").count() == 0
