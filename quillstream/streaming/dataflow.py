@@ -12,15 +12,16 @@ is that message's: it goes into the same log with its error, and the others go o
 from __future__ import annotations
 
 import json
+import threading
 import traceback
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 Transform = Callable[[DataFrame], DataFrame]
 Handler = Callable[[dict], dict | list[dict] | None]
@@ -56,15 +57,15 @@ class Router:
 
         return register
 
-    def handler(self, listen: str, publish: str, schema: str, at_most: int | None = None) -> Callable[[Handler], Handler]:
+    def handler(self, listen: str, publish: str, schema: str, at_most: int | None = None, attempts: int = 1) -> Callable[[Handler], Handler]:
         """Register a function of one message that returns a message, several, or none.
 
-        What it raises is kept beside the message that made it (``failures``). ``at_most`` bounds how many messages are
-        handled at a time, as for a service that wants no more.
+        What it raises, so many ``attempts`` one after the other, is kept beside the message that made it (``failures``).
+        ``at_most`` bounds how many messages are handled at a time, as for a service that wants no more.
         """
 
         def register(f: Handler) -> Handler:
-            self.routes.append((listen, lambda rows: handled(rows, f, schema, at_most), publish))
+            self.routes.append((listen, lambda rows: handled(rows, f, schema, at_most, attempts), publish))
             return f
 
         return register
@@ -169,8 +170,21 @@ class Log:
         return rows.where(F.col(ERROR).isNotNull()).select(F.col(ERROR).alias("error"), F.col(FAILED).alias("message"))
 
 
-def handled(rows: DataFrame, handler: Handler, schema: str, at_most: int | None = None) -> DataFrame:
-    """What ``handler`` makes of each row, with ``_error`` and ``_failed`` for rows that it raises on."""
+def _answers(handler: Handler, message: dict, attempts: int) -> list[dict]:
+    for left in range(attempts - 1, -1, -1):
+        try:
+            answer = handler(dict(message))
+            return answer if isinstance(answer, list) else [] if answer is None else [answer]
+        except Exception:
+            if not left:
+                raise
+    return []
+
+
+def handled(rows: DataFrame, handler: Handler, schema: str, at_most: int | None = None, attempts: int = 1) -> DataFrame:
+    """What ``handler`` makes of each row, with ``_error`` and ``_failed`` for rows that it raises on at every attempt."""
+    if attempts < 1:
+        raise ValueError("a message is handled once at least")
     out = T.StructType.fromDDL(schema)
     names = out.names
 
@@ -179,12 +193,9 @@ def handled(rows: DataFrame, handler: Handler, schema: str, at_most: int | None
             found: list[tuple] = []
             for text in frame["message"]:
                 try:
-                    answer = handler(json.loads(text))
-                    answers: Iterable[dict] = answer if isinstance(answer, list) else [] if answer is None else [answer]
-                    made = [(*(a.get(n) for n in names), None, None) for a in answers]
+                    found += [(*(a.get(n) for n in names), None, None) for a in _answers(handler, json.loads(text), attempts)]
                 except Exception as e:  # noqa: BLE001  a message's failure is that message's
-                    made = [(*[None] * len(names), traceback.format_exception_only(e)[-1].strip(), text)]
-                found += made
+                    found.append((*[None] * len(names), traceback.format_exception_only(e)[-1].strip(), text))
             yield pd.DataFrame(found, columns=[*names, ERROR, FAILED], dtype=object)
 
     messages = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("message"))
@@ -193,6 +204,47 @@ def handled(rows: DataFrame, handler: Handler, schema: str, at_most: int | None
     return messages.mapInPandas(run, T.StructType([*[T.StructField(f.name, f.dataType) for f in out], T.StructField(ERROR, T.StringType()), T.StructField(FAILED, T.StringType())]))
 
 
+class Counters(StreamingQueryListener):
+    """What running streams have counted so far, by the name of what was observed: sums over all batches.
+
+    Streams count with ``counted`` (or ``observe``), in the pass that they make anyway. A batch that is repeated after a
+    failure counts once: its last figures replace those before.
+    """
+
+    def __init__(self) -> None:
+        self._by_batch: dict[tuple[str, str, int], dict[str, int]] = {}
+        self._lock = threading.Lock()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        with self._lock:
+            for name, row in progress.observedMetrics.items():
+                self._by_batch[name, str(progress.id), progress.batchId] = row.asDict()
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def of(self, name: str) -> dict[str, int]:
+        out: dict[str, int] = {}
+        with self._lock:
+            for (observed, _, _), figures in self._by_batch.items():
+                if observed == name:
+                    out = {k: out.get(k, 0) + (v or 0) for k, v in figures.items()}
+        return out
+
+
+def counted(rows: DataFrame, valid: Column, name: str) -> DataFrame:
+    """Rows of a stream, observed as ``name``: how many there were (total), were valid (saved) and weren't (skipped)."""
+    valid = F.coalesce(valid, F.lit(False))
+    return rows.observe(name, F.count(F.lit(1)).alias("total"), F.count_if(valid).alias("saved"), F.count_if(~valid).alias("skipped"))
+
+
 def parquet_sink(path: str) -> Write:
     """Each batch in a folder of its own, so that a repeated batch replaces what it had written."""
     return lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")

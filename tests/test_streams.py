@@ -351,3 +351,45 @@ def test_a_batch_is_committed_once_and_what_has_no_entry_is_not_there(spark, tmp
     entry.unlink()  # a driver that died before its commit: files without an entry
     assert {r["name"] for r in store.read("exchanges").collect()} == {"NYSE", "LSE"}
     assert transactions.Store(spark, f"file://{tmp_path}/none", store.tables).read("links").count() == 0
+
+
+# Counters
+
+
+def test_counters_of_a_running_stream_equal_those_of_the_batch(spark, tmp_path):
+    import time
+
+    from quillstream.operators import store
+
+    schema = "id long, text string"
+    batches = [[(1, "5"), (2, "x"), (3, None)], [(4, "7"), (5, "8")], [(6, "y")]]
+    tries = tmp_path / "tries"
+
+    def number(message):
+        with tries.open("a") as f:
+            f.write(f"{message['id']} ")
+        if message["id"] == 4 and tries.read_text().split().count("4") < 3:
+            raise OSError("later")
+        return {"id": message["id"], "n": int(message["text"])}
+
+    rows = dataflow.handled(stream(spark, tmp_path, schema, batches), number, "id long, n int", attempts=3)
+    counters = dataflow.Counters()
+    spark.streams.addListener(counters)
+    got: list = []
+    try:
+        q = dataflow.counted(rows, F.col("_error").isNull(), "numbers").writeStream.foreachBatch(lambda b, _: got.extend(r["n"] for r in b.where("_error is null").collect()))
+        q = q.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(100):  # listeners hear of a batch some time after it
+            if counters.of("numbers").get("total") == 6:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counters)
+    whole = spark.createDataFrame([r for b in batches for r in b], schema)
+    observed, batch = store.save_counters(whole, F.col("text").try_cast("int").isNotNull(), "batch")
+    observed.write.format("noop").mode("overwrite").save()
+    assert counters.of("numbers") == batch.get == {"total": 6, "saved": 3, "skipped": 3}
+    assert sorted(got) == [5, 7, 8]
+    assert sorted(tries.read_text().split()) == ["1", "2", "2", "2", "3", "3", "3", "4", "4", "4", "5", "6", "6", "6"]
+    assert counters.of("nothing") == {}
