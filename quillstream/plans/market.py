@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup, ticks
+from ..operators import conditions, dedup, ticks
 from .relational import t
 
 KINDS = {"click": "bid", "purchase": "ask", "signup": "last", "error": "volume"}
@@ -88,7 +88,23 @@ def q53_recent_ids(s, d):
     return dedup.most_recent(t(s, d, "events"), "user_id", 10, "ts", "event_id")
 
 
-QUERIES = [q13_latest, q17_within_a_day, q18_quote_before_order, q19_tick_folding, q27_bars, q28_histogram, q29_first_and_last, q43_changes, q44_gate, q48_order_states, q49_positions, q50_account_summary, q51_depth_book, q52_batch_changes, q53_recent_ids]
+def q72_order_triggers(s, d):
+    """When orders with conditions on two symbols' prices and on time, joined by and or or, are first to go: users' values are prices."""
+    o, k = t(s, d, "orders"), F.col("o_orderkey")
+    day = lambda n: F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(n)
+    told = [
+        (0, "price", F.col("o_custkey") % 150, k % 2 == 0, F.floor("o_totalprice") % 60, k % 4 != 0),
+        (1, "price", F.col("o_custkey") * 7 % 150, k % 3 == 0, k % 40, k % 7 < 4),
+        (2, "time", F.lit(None), k % 5 != 0, F.unix_seconds(day((k % 25).cast("int"))), F.lit(True)),
+    ]
+    told = F.array(*[F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), symbol.cast("bigint").alias("symbol"), more.alias("is_more"), level.cast("double").alias("level"), by_and.alias("conjunction")) for place, kind, symbol, more, level, by_and in told])
+    chains = o.select(k.alias("order_id"), F.explode(told).alias("c")).select("order_id", "c.*")
+    values = t(s, d, "events").select(F.col("user_id").alias("symbol"), F.lit("price").alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), "value")
+    found = conditions.triggers(o.select(k.alias("order_id"), day((k % 20).cast("int")).alias("placed")), chains, values)
+    return found.select("order_id", F.col("triggered").cast("timestamp_ntz").alias("triggered"))
+
+
+QUERIES = [q13_latest, q17_within_a_day, q18_quote_before_order, q19_tick_folding, q27_bars, q28_histogram, q29_first_and_last, q43_changes, q44_gate, q48_order_states, q49_positions, q50_account_summary, q51_depth_book, q52_batch_changes, q53_recent_ids, q72_order_triggers]
 
 _LAST = ", ".join(f"arg_max(value, (ts, event_id)) FILTER (event_type = '{k}') AS {n}" for k, n in KINDS.items())
 ORACLES = {
@@ -122,4 +138,15 @@ ORACLES = {
         WITH last AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS v FROM events WHERE event_id % 3 <> 0 GROUP BY user_id)
         SELECT event_id, user_id, event_type FROM events LEFT JOIN last USING (user_id) WHERE event_id % 3 = 0 AND (v IS NULL OR v <> event_type)""",
     "q53_recent_ids": "SELECT user_id FROM (SELECT user_id, max((ts, event_id)) AS newest FROM events GROUP BY user_id) ORDER BY newest DESC LIMIT 10",
+    "q72_order_triggers": """
+        WITH o AS (
+          SELECT o_orderkey AS id, o_custkey % 150 AS s0, o_custkey * 7 % 150 AS s1, floor(o_totalprice) % 60 AS l0, o_orderkey % 40 AS l1, o_orderkey % 2 = 0 AS m0, o_orderkey % 3 = 0 AS m1, o_orderkey % 5 <> 0 AS m2,
+                 TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 25 AS INTEGER)) AS l2, TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 20 AS INTEGER)) AS placed, o_orderkey % 4 <> 0 AS c0, o_orderkey % 7 < 4 AS c1 FROM orders),
+        v AS (SELECT user_id, ts, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2),
+        t AS (SELECT id, placed AS tm FROM o UNION SELECT id, l2 FROM o WHERE l2 >= placed UNION SELECT id, ts FROM o JOIN v ON user_id = s0 AND ts >= placed UNION SELECT id, ts FROM o JOIN v ON user_id = s1 AND ts >= placed),
+        a AS (SELECT t.id, t.tm, s1, v.value AS v0 FROM (SELECT t.*, s0, s1 FROM t JOIN o USING (id)) t ASOF LEFT JOIN v ON t.s0 = v.user_id AND t.tm >= v.ts),
+        b AS (SELECT a.id, a.tm, v0, v.value AS v1 FROM a ASOF LEFT JOIN v ON a.s1 = v.user_id AND a.tm >= v.ts),
+        h AS (SELECT id, tm, c0, c1, coalesce(CASE WHEN m0 THEN v0 >= l0 ELSE v0 <= l0 END, false) AS h0, coalesce(CASE WHEN m1 THEN v1 >= l1 ELSE v1 <= l1 END, false) AS h1, CASE WHEN m2 THEN tm >= l2 ELSE tm <= l2 END AS h2 FROM b JOIN o USING (id)),
+        f AS (SELECT id, tm, CASE WHEN c1 THEN x AND h2 ELSE x OR h2 END AS held FROM (SELECT *, CASE WHEN c0 THEN h0 AND h1 ELSE h0 OR h1 END AS x FROM h))
+        SELECT id AS order_id, min(tm) AS triggered FROM f WHERE held GROUP BY id""",
 }

@@ -34,8 +34,9 @@ def _to_end(rows: DataFrame, s: SparkSession) -> DataFrame:
 
 
 def _rocksdb(s: SparkSession) -> None:
-    for key in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.join.stateFormatVersion"):
-        s.conf.set(key, SETTINGS[key])
+    for key, value in SETTINGS.items():
+        if key.startswith("spark.sql.streaming."):
+            s.conf.set(key, value)
 
 
 def q42_stream_seen_ids(s, d):
