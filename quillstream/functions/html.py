@@ -6,9 +6,11 @@ other parsers make to broken markup may differ.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -221,8 +223,11 @@ def structured(html: str | None, base: str = "") -> dict[str, str | None]:
 
 
 def readable(html: str | None, base: str = "") -> str | None:
-    """The main part, else the others, one after the other."""
-    s = structured(html, base)
+    """The main part, else the others, one after the other. NULL for what can't be read."""
+    try:
+        s = structured(html, base)
+    except (AssertionError, ValueError):  # markup that the parser gives up on
+        return None
     rest = (s["header_content"], s["navigation_content"], s["sidebar_content"], s["footer_content"])
     return s["main_content"] or "\n\n".join(x for x in rest if x) or None
 
@@ -329,24 +334,59 @@ def profile_of(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(h) for h in html], columns=["website_url", "sector", "industry"], dtype=object)
 
 
+def _spaced(node: Node) -> str:
+    """The pieces of text below an element, each trimmed, with a space between them."""
+    out, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n.strip())
+        else:
+            todo += reversed(n.children)
+    return " ".join(filter(None, out))
+
+
+def _article(page: str) -> str | None:
+    root = tree(page)
+    boxes = [n for n in root.walk() if n.tag == "div"]
+    wrapped = [next((n for n in boxes if c in n.attrs.get("class", "").split()), None) for c in ("atoms-wrapper", "read-more-wrapper")]
+    if any(w is not None for w in wrapped):
+        return " ".join(filter(None, (_spaced(w) for w in wrapped if w is not None))) or None
+    for m in re.finditer(r"""<script[^>]*\bid=["']caas-art-[^>]*>(.*?)</script>""", page, re.DOTALL | re.IGNORECASE):
+        try:
+            content = json.loads(m[1]).get("content")
+        except (ValueError, AttributeError):
+            continue
+        if isinstance(content, str) and content.strip():
+            return _spaced(tree(content)) or None
+    return _spaced(root) or None
+
+
 @F.pandas_udf(T.StringType())
 def article_text(page: pd.Series) -> pd.Series:
     """The text of a news article: its body's wrappers, else the embedded content, else the whole page's text."""
-    import json
-
-    def one(html: str | None) -> str | None:
-        if not html:
-            return None
-        root = tree(html)
-        wrapped = [_text(n) for n in root.walk() if n.says("atoms-wrapper", "read-more-wrapper")]
-        if any(wrapped):
-            return "\n".join(dict.fromkeys(filter(None, wrapped)))
-        for m in re.finditer(r'<script[^>]*id="caas-art-[^"]*"[^>]*>(.*?)</script>', html, re.DOTALL):
-            try:
-                if content := json.loads(m[1]).get("content"):
-                    return _text(tree(content))
-            except (ValueError, AttributeError):
-                continue
-        return _text(root) or None
-
-    return page.map(one).astype(object)
+    return page.map(lambda p: _article(p) if p else None).astype(object)
+
+
+def _consent(page: str) -> str | None:
+    if not re.search(r"""id=["']?consent-page\b""", page) or "originalDoneUrl" not in page:
+        return None
+
+    class Inputs(HTMLParser):
+        found: str | None = None
+
+        def handle_starttag(self, tag: str, attrs: list) -> None:
+            own = dict(attrs)
+            if tag == "input" and own.get("name") == "originalDoneUrl" and self.found is None:
+                self.found = own.get("value")
+
+    reader = Inputs()
+    reader.feed(page)
+    reader.close()
+    return unescape(reader.found) if reader.found else None  # addresses are escaped once more inside the form
+
+
+@F.pandas_udf(T.StringType())
+def consent_target(page: pd.Series) -> pd.Series:
+    """The address that a page asking for consent stands for; NULL for all other pages."""
+    return page.map(lambda p: _consent(p) if p else None).astype(object)
