@@ -1,12 +1,14 @@
 """Main text of HTML pages: site templates are found by what recurs on a host, and taken out.
 
 Each page is parsed once, on the executors, to its blocks of text. Every box (div, section, list, table and the like) is
-hashed with all below it; Spark counts on how many different pages of its host a hash occurs, and text in a box that
-recurs on ``LEAST_PAGES`` of them or more is deleted, however large the host is. Pages with the same content count as
-one, so that copies of a page don't make a template of it. What the page itself says is used too: menus, headers,
-footers, sidebars, forms, scripts and styles by element, role or class. The article (or main) element is the page's own
-content: it is no template itself, and a list or table inside it isn't either, but a box without such a claim, like one
-of links inside the article, is. Paragraphs are no boxes, since plain sentences recur as well.
+hashed with all below it, and boxes of links by their shape alone, since a menu may link elsewhere on each page; Spark
+counts on how many different pages of its host a hash occurs, and text in a box that recurs on ``LEAST_PAGES`` of them or
+more is deleted, however large the host is. Pages with the same content count as one, so that copies of a page don't
+make a template of it. What the page itself says is used too: menus, headers, footers, sidebars, forms, scripts and
+styles by element, role, class or id, where a class or id names what an element is, not what it has or lacks. The article
+(or main) element is the page's own content: it is no template itself, nothing around it is left out for its name, and a
+list or table inside it is no template either, but a box without such a claim, like one of links inside the article, is.
+Paragraphs are no boxes, since plain sentences recur as well.
 
 Reading takes time in proportion to the page's length, whatever is left open in it: tags are scanned forwards only, end
 tags look up whether their element is open, and a block knows its box, a box the one around it.
@@ -58,15 +60,23 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 ENDS_P = BLOCK - {"body", "caption", "html", "tbody", "td", "tfoot", "th", "thead", "tr"}
-#: Not content, by element; by role; by a word of class or id.
+#: Not content, by element; by role; by what a class or id names.
 OUT_TAGS = frozenset("aside button canvas dialog footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
 OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-OUT_WORDS = frozenset(
+COMMENTS = frozenset("comment comments disqus replies respond responses".split())
+OUT_NAMES = COMMENTS | frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer sidebar"
     " notice notices notification cookie cookies consent gdpr banner popup modal"
     " ad ads adslot advert adverts advertisement advertisements promo promotion promoted sponsor sponsored"
-    " newsletter signup login subscribe comment comments disqus".split()
+    " newsletter signup login subscribe".split()
 )
+#: A name that begins so says what a page has or lacks; one that ends so names a part of what stands before.
+SAYS = frozenset("has have with without no not non is was hide show enable disable".split())
+PARTS = frozenset("area bar block body box card container content group holder inner item items link links list outer panel row section slot strip text unit widget widgets wrap wrapper zone".split())
+#: Ids of headings, paragraphs and phrases are places to link to; classes of headings say how they look.
+CONTAINERS = frozenset("article aside dd div dl dt fieldset figure li main ol section table td tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMES, WORDS = re.compile(r"\S+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: Boxes are counted by their subtrees; inside the article, only those of the second kind.
 BOXES = frozenset("article aside div dl fieldset figure footer form header main menu nav ol section table ul".split())
 BARE = frozenset("aside div fieldset footer form header menu nav section".split())
@@ -177,66 +187,134 @@ def parse(html: str) -> Element:
     return root
 
 
-def _is_out(node: Element) -> bool:
-    """Whether an element says itself that it isn't content."""
+def _named(value: str) -> str | None:
+    """What a class or id names that isn't content: the last word of one of its names, less words for parts of it."""
+    for name in NAMES.findall(value):
+        words = [w.lower() for w in WORDS.findall(name)]
+        while len(words) > 1 and words[-1] in PARTS:
+            words.pop()
+        if words and words[-1] in OUT_NAMES and words[0] not in SAYS:
+            return words[-1]
+    return None
+
+
+def _out(node: Element) -> str | None:
+    """How an element says that it isn't content: as an element, as one that isn't shown, or by a name; None if it doesn't."""
     if node.tag in OUT_TAGS:
-        return True
+        return "form" if node.tag == "form" else "element"
     if not node.attributes or node.tag in ("html", "body"):
-        return False
+        return None
+    found = None
     for m in ATTRIBUTE.finditer(node.attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not OUT_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-        if name == "role" and value.strip() in OUT_ROLES:
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE)):
+            return "element"
+        if name == "role" and value.strip().lower() in OUT_ROLES:
+            found = found or "role"
+        if (name == "class" and node.tag not in HEADINGS) or (name == "id" and node.tag in CONTAINERS):
+            found = found or _named(value)
+    return found
+
+
+def _is_main(node: Element) -> bool:
+    return node.tag == "main" or bool(node.attributes and re.search(r"""role\s*=\s*["']?main\b""", node.attributes))
 
 
-def _articles(root: Element) -> list[Element]:
+def _left_out(order: list[Element], outer: dict[int, Element], plain: dict[int, int]) -> set[int]:
+    """Elements that aren't content. ``order``: all elements, each before those inside; ``plain``: letters outside links.
+
+    A name is no reason to leave out what is around the page's article, the largest that there is; nor, on a page that has
+    none, what holds most of its text. So a wrapper may be called what it likes, and a form may hold the page. Comments
+    are the exception: they may outweigh the article, but don't hold the page's first heading.
+    """
+    says = {id(n): how for n in order if (how := _out(n))}
+    inside_out: set[int] = set()
+    articles: list[Element] = []
+    for n in order:  # articles that neither say that they are no content nor are in an element that can't be
+        around = id(outer[id(n)]) if id(n) in outer else None
+        if says.get(id(n)) == "element" or around in inside_out:
+            inside_out.add(id(n))
+        elif (n.tag == "article" or _is_main(n)) and id(n) not in says:
+            articles.append(n)
+    kept: set[int] = set()
+    if articles:
+        at = outer.get(id(max(articles, key=lambda n: (plain[id(n)], n.tag == "article"))))
+        while at is not None:
+            kept.add(id(at))
+            at = outer.get(id(at))
+    else:
+        kept = {id(n) for n in order if 2 * plain[id(n)] > plain[id(order[0])]}
+    if any(how in COMMENTS for how in says.values()):
+        heading = next((n for n in order if n.tag == "h1"), None)
+        titled: set[int] = set()
+        while heading is not None:
+            titled.add(id(heading))
+            heading = outer.get(id(heading))
+        kept = {k for k in kept if says.get(k) not in COMMENTS or k in titled}
+    return {k for k, how in says.items() if how == "element" or k not in kept}
+
+
+def _articles(root: Element, left_out: set[int]) -> list[Element]:
     """The outermost article elements that are content, else main elements, else body, else the page."""
 
     def outermost(wanted) -> list[Element]:
         found, todo = [], [root]
         while todo:
             node = todo.pop()
-            for c in reversed(node.children):
-                if isinstance(c, Element) and not _is_out(c):
-                    todo.append(c)
             if wanted(node):
                 found.append(node)
-                del todo[len(todo) - sum(isinstance(c, Element) and not _is_out(c) for c in node.children) :]
+                continue
+            todo += [c for c in reversed(node.children) if isinstance(c, Element) and id(c) not in left_out]
         return found
 
-    return (
-        outermost(lambda n: n.tag == "article")
-        or outermost(lambda n: n.tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", n.attributes))
-        or outermost(lambda n: n.tag == "body")
-        or [root]
-    )
+    return outermost(lambda n: n.tag == "article") or outermost(_is_main) or outermost(lambda n: n.tag == "body") or [root]
+
+
+def _digested(order: list[Element]) -> tuple[dict[int, int], dict[int, int]]:
+    """For each element the letters below it that are outside links, and the hash to count it by: of all below it.
+
+    An element whose text is in links, for the most part and in two at least, is counted by its shape: elements only, and of
+    neighbours of one shape the first. So menus are one template, whatever they link to on a page.
+    """
+    digests, shapes, plain, linked, links, counted = {}, {}, {}, {}, {}, {}
+    for node in reversed(order):  # from the leaves up, without recursion: markup may be nested very deeply
+        h, shape = xxhash.xxh64(node.tag.encode()), xxhash.xxh64(node.tag.encode())
+        own = in_links = n_links = last = 0
+        for c in node.children:
+            if isinstance(c, Element):
+                h.update(digests[id(c)].to_bytes(8, "little"))
+                if shapes[id(c)] != last:
+                    last = shapes[id(c)]
+                    shape.update(last.to_bytes(8, "little"))
+                own, in_links, n_links = own + plain[id(c)], in_links + linked[id(c)], n_links + links[id(c)]
+            else:
+                text = b" ".join(c.encode(errors="replace").split())
+                h.update(text)
+                own += 0 if node.tag in RAW else len(text)
+        if node.tag == "a":
+            own, in_links, n_links = 0, own + in_links, 1
+        k = id(node)
+        digests[k], shapes[k], plain[k], linked[k], links[k] = h.intdigest(), shape.intdigest(), own, in_links, n_links
+        counted[k] = shapes[k] if n_links >= 2 and in_links > own else digests[k]
+    return plain, counted
 
 
 def blocks(html: str | None) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
     """The page's blocks of content, each with its box; all boxes of the page: hash and the box around. -1 is none."""
     root = parse(html or "")
-    own = {id(a): a.tag in ("article", "main") for a in _articles(root)}
     out: list[tuple[str, int]] = []
     boxes: list[tuple[int, int]] = []
-    digests: dict[int, int] = {}
     pending: list[str] = []
-
-    # From the leaves up, without recursion: markup may be nested very deeply.
-    order, todo = [], [root]
+    order, todo, outer = [], [root], {}
     while todo:
         node = todo.pop()
         order.append(node)
-        todo += [c for c in node.children if isinstance(c, Element)]
-    for node in reversed(order):
-        h = xxhash.xxh64(node.tag.encode())
-        for c in node.children:
-            h.update(digests[id(c)].to_bytes(8, "little") if isinstance(c, Element) else b" ".join(c.encode(errors="replace").split()))
-        digests[id(node)] = h.intdigest()
+        below = [c for c in node.children if isinstance(c, Element)]
+        outer |= {id(c): node for c in below}
+        todo += reversed(below)
+    plain, counted = _digested(order)
+    left_out = _left_out(order, outer, plain)
+    own = {id(a): a.tag in ("article", "main") for a in _articles(root, left_out)}
 
     def flush(box: int) -> None:
         if pending:
@@ -266,11 +344,11 @@ def blocks(html: str | None) -> tuple[list[tuple[str, int]], list[tuple[int, int
             flush(box)
         if id(node) in own:
             inside, in_article = True, own[id(node)]
-        elif _is_out(node):
+        elif id(node) in left_out:
             inside = False
         # The article is no template, nor what is around it: these are entered by no block of their own.
         if id(node) not in own and node.tag in (BARE if in_article else BOXES):
-            boxes.append((_signed(digests[id(node)]), box))
+            boxes.append((_signed(counted[id(node)]), box))
             box = len(boxes) - 1
         if block:
             steps.append(box)

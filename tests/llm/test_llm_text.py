@@ -315,6 +315,45 @@ def test_html_keeps_what_the_article_says(spark):
     assert (got["host"], got["row"], got["page"]) == (7, 8, 9)
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div class="row with-sidebar"', 'div class="site has-header-image"', 'div class="post no-comments"', 'div class="no-sidebar content-area"', 'div id="header-and-footer-menu"', 'div class="sidebar"', 'section class="navWrapper"', 'form id="aspnetForm"', 'div class="ad-container" role="banner"'])
+def test_html_a_wrapper_of_the_article_may_have_any_name(wrapper):
+    tag = wrapper.split()[0]
+    inside = "<h1>Title</h1><p>The article's own text, of some length.</p>"
+    for page in (f"<body><{wrapper}><article>{inside}</article></{tag}></body>", f"<body><nav>x</nav><{wrapper}><div><main>{inside}</main></div><div class='comments'>no</div></{tag}></body>", f"<body><div class='menu'>Menu</div><{wrapper}>{inside}</{tag}></body>"):
+        assert [t for t, _ in html.blocks(page)[0]] == ["Title", "The article's own text, of some length."], page
+
+
+def test_html_names_say_what_an_element_is():
+    kept = ["div id='notice-period'", "div id='login-flow'", "div class='ad-free-reading'", "div class='has-comments'", "div class='shadow advance header2text'", "h2 id='comments'", "h2 class='section-header'", "p id='footer'", "span id='menu'", "div class='nonsense sidebar-story'"]
+    gone = ["div class='reader-replies'", "div class='responses'", "div class='site-header'", "div class='x mainNav'", "div class='ad-slot'", "div class='ads'", "div id='comments-section'", "ul class='comment-list'", "div class='cookie-bar'", "div class='sidebar-widgets'", "div class='newsletter-signup-box'", "section class='post_comments'", "p class='advert'", "div hidden", "div style='Display: none'", "div aria-hidden='TRUE'"]
+    page = lambda e: f"<body><article><p>Text of the article that goes on</p><{e}>part</{e.split()[0]}></article></body>"
+    assert [e for e in kept if len(html.blocks(page(e))[0]) != 2] == []
+    assert [e for e in gone if len(html.blocks(page(e))[0]) != 1] == []
+
+
+def test_html_comments_go_where_they_outweigh_the_article():
+    comments = "<div id='comments'>" + "".join(f"<article><p>Comment {i}, which has more to say than the article itself has.</p></article>" for i in range(9)) + "</div>"
+    page = f"<body><article><h1>T</h1><p>Short.</p></article>{comments}<aside><article>Teaser</article></aside></body>"
+    assert [t for t, _ in html.blocks(page)[0]] == ["T", "Short."]
+    page = f"<body><div><h1>T</h1><p>Short.</p></div>{comments.replace('article', 'div')}</body>"
+    assert [t for t, _ in html.blocks(page)[0]] == ["T", "Short."]
+
+
+def test_html_menus_that_differ_are_one_template(spark):
+    """Pages without an article, whose boxes say nothing: menus of other links on each page, a page's own list of links to read."""
+
+    def page(i, host):
+        menu = "".join(f"<li><a href='/{i}-{k}'>Link {host} {i} {k}</a></li>" for k in range(3 + i % 3))
+        more = "<table><tr><td>Our <a href='/x'>own</a> list of <a href='/y'>works</a>, told at length</td></tr></table>" if i == 2 else ""
+        return f"<body><div><ul>{menu}</ul></div><div><h1>Title {i}</h1><p>Text {i} with a <a href='/z'>link</a> and <a href='/w'>one more</a> in it.</p>{more}</div></body>"
+
+    rows = [(i, "http://a.com/x", page(i, "a")) for i in range(8)] + [(100 + i, "http://b.com/x", page(i, "b")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert got[1] == "Title 1\nText 1 with a link and one more in it."
+    assert got[2] == "Title 2\nText 2 with a link and one more in it.\nOur own list of works, told at length"
+    assert got[100].startswith("Link b 0 0\nLink b 0 1")  # four pages are too few
+
+
 @pytest.mark.parametrize("part", ["<a ", "</x>", "<div>a", "<div>", "<li>", "<!--", "<!", '<a "', "<a ='>", "<script", "<p><object><div>", "<td>x", "<b></i>", "&amp", "<p>x</p>", "<div class=a b c d>", "</script", "<script></scrip>", "x <"])
 def test_html_is_read_in_proportion_to_its_length(part):
     import time
