@@ -2,15 +2,17 @@
 
 The battery takes every run of 20 or more letters, digits and ``+/_-``, infers its encoding (hexadecimal, base 32,
 base 64) and tests it three ways against a uniform draw from that alphabet: chi-squared over the alphabet, a runs test
-around the alphabet's middle, lag-1 serial correlation. The three scores are combined into one, the sum of their
-squares, which is small for a random key and large for a word, a name or a number.
+of its kinds of characters (lower case, upper case, digits, signs), lag-1 serial correlation. The three scores are
+combined into one, the sum of their squares, which is small for a random key and large for a word, a name or a number.
 
 How small is small depends on the length: in 20 characters a name can look random, in 60 it can't. So the combined score
 is turned into a p-value, the probability that a name of this length and alphabet scores as low; that is found by
-drawing names from a fixed model (letters as in prose, few changes between lower case, upper case, digits and signs),
-always with the same seed, so no approximation for long runs is asked of short ones. Which p-values count is settled by
-Benjamini and Hochberg over the whole corpus, for each class of lengths by itself, from a histogram of fixed size, so
-that many short words don't hide long keys and don't pass as some.
+drawing names from a fixed family of models (letters as in prose, some names with few changes of kind, some with many),
+always with the same seed, so no approximation for long runs is asked of short ones. Below the lowest hundredth of what
+was drawn p-values follow the power law that it has, so that they go on falling where counting would end: a few keys among
+very many names need p-values far below one in as many as can be drawn. Which p-values count is settled by Benjamini and
+Hochberg over the whole corpus, for each class of lengths by itself, from a histogram of fixed size, so that many short
+words don't hide long keys and don't pass as some.
 
 Edge cases: null is the empty text and has no span; repeated rows are scanned alike, and each counts; a text is scanned
 whole, and a run of any length is one run; a run whose characters fit no encoding isn't tested; equal p-values are
@@ -49,10 +51,12 @@ RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}")
 BINS = 400
 #: Names drawn for each p-value; the lengths for which they are drawn (a run is held against the next shorter one).
 DRAWN, LENGTHS = 20_000, (20, 22, 24, 26, 28, 32, 36, 40, 48, 56, 64, 80, 96, 128)
-#: How often letters occur in prose, in hundredths of a percent, from a to z; how often neighbours in a
-#: name stay in their class of characters, and how often each class follows a change.
+#: P-values below that of so many of the drawn names follow the power law that these names do.
+TAIL = 200
+#: How often letters occur in prose, in hundredths of a percent, from a to z; between which shares names lie
+#: in how often neighbours are of one kind of character, and how often each kind follows a change.
 LETTERS = [817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7]
-STAY, FOLLOW = 0.85, {"lower": 0.5, "upper": 0.2, "digit": 0.2, "sign": 0.1}
+STAY, FOLLOW = (0.5, 0.95), {"lower": 0.5, "upper": 0.2, "digit": 0.2, "sign": 0.1}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -69,19 +73,23 @@ def encoding_of(run: str) -> str | None:
     return next((k for k, letters in ALPHABETS.items() if chars <= set(letters)), None)
 
 
-def battery(x: np.ndarray, size: int) -> np.ndarray:
-    """The combined score of each row of places in an alphabet of ``size``: squares of three standard scores."""
+def battery(x: np.ndarray, size: int, kinds: np.ndarray | None = None) -> np.ndarray:
+    """The combined score of each row of places in an alphabet of ``size``: squares of three standard scores.
+
+    ``kinds`` says of each place what kind of character it is, and runs are of one kind; without it the alphabet has two
+    halves.
+    """
+    kinds = (np.arange(size) >= size / 2).astype(np.int64) if kinds is None else kinds
     rows, n = x.shape
     counts = np.bincount((x + size * np.arange(rows)[:, None]).ravel(), minlength=rows * size).reshape(rows, size)
     chi, df = (counts.astype(float) ** 2).sum(axis=1) * size / n - n, size - 1
     z_chi = (np.cbrt(chi / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))  # Wilson and Hilferty
-    above = x >= size / 2
-    n1 = above.sum(axis=1).astype(float)
-    mean = 1 + 2 * n1 * (n - n1) / n
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    runs = 1 + (above[:, 1:] != above[:, :-1]).sum(axis=1)
-    # All on one side is one run: as unlikely as n - 1 tosses that agree.
-    z_runs = np.where(spread > 0, (runs - mean) / np.sqrt(np.where(spread > 0, spread, 1)), math.sqrt(n))
+    # Of two neighbours in a uniform draw, and of three, how likely all are of one kind: moments of the number of runs.
+    share = np.bincount(kinds) / size
+    two, three = (share**2).sum(), (share**3).sum()
+    spread = (n - 1) * two * (1 - two) + 2 * (n - 2) * (three - two**2)
+    changes = (kinds[x[:, 1:]] != kinds[x[:, :-1]]).sum(axis=1)
+    z_runs = (changes - (n - 1) * (1 - two)) / math.sqrt(spread)
     d = x - x.mean(axis=1, keepdims=True)
     squares = (d * d).sum(axis=1)
     lag = (d[:, 1:] * d[:, :-1]).sum(axis=1) / np.where(squares > 0, squares, 1)
@@ -97,10 +105,10 @@ def names(alphabet: str, n: int) -> np.ndarray:
     present = [k for k, own in members.items() if own]
     follow = np.cumsum([FOLLOW[k] for k in present]) / sum(FOLLOW[k] for k in present)
     weights = [[LETTERS[ord(alphabet[i].lower()) - ord("a")] if alphabet[i].isalpha() else 1 for i in members[k]] for k in present]
-    kind = np.empty((DRAWN, n), np.int64)
+    kind, stay = np.empty((DRAWN, n), np.int64), rng.uniform(*STAY, DRAWN)
     for at in range(n):
         new = np.searchsorted(follow, rng.random(DRAWN), side="right")
-        kind[:, at] = new if at == 0 else np.where(rng.random(DRAWN) < STAY, kind[:, at - 1], new)
+        kind[:, at] = new if at == 0 else np.where(rng.random(DRAWN) < stay, kind[:, at - 1], new)
     out = np.empty((DRAWN, n), np.int64)
     for k, (name, w) in enumerate(zip(present, weights, strict=True)):
         where = kind == k
@@ -109,21 +117,26 @@ def names(alphabet: str, n: int) -> np.ndarray:
     return out
 
 
+def kind_of(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
 class Battery:
     """P-values of runs; what the model's names score is drawn once for each alphabet and length."""
 
     def __init__(self) -> None:
         self._scores: dict[tuple[str, int], np.ndarray] = {}
+        self._kinds = {k: np.array([kind_of(c) for c in letters]) for k, letters in ALPHABETS.items()}
         self._places = {k: {c: i for i, c in enumerate(letters)} for k, letters in ALPHABETS.items()}
 
     def p_value(self, run: str, encoding: str) -> float:
         """How likely a name of the run's length scores as low as the run, or lower."""
-        place, size = self._places[encoding], len(ALPHABETS[encoding])
-        own = float(battery(np.array([[place[c] for c in run]]), size)[0])
+        place, size, kinds = self._places[encoding], len(ALPHABETS[encoding]), self._kinds[encoding]
+        own = float(battery(np.array([[place[c] for c in run]]), size, kinds)[0])
         n = max(x for x in LENGTHS if x <= len(run))
         if (encoding, n) not in self._scores:
-            self._scores[encoding, n] = np.sort(battery(names(ALPHABETS[encoding], n), size))
-        return float(np.searchsorted(self._scores[encoding, n], own, side="right") + 1) / (DRAWN + 1)
+            self._scores[encoding, n] = np.sort(battery(names(ALPHABETS[encoding], n), size, kinds))
+        return tail_probability(own, self._scores[encoding, n])
 
     def candidates(self, text: str) -> list[tuple[int, int, int, int]]:
         """Start, end, class of length and bin of the p-value of every run that has an encoding."""
@@ -136,6 +149,20 @@ class Battery:
         return out
 
 
+def tail_probability(score: float, drawn: np.ndarray) -> float:
+    """How likely a score is as low as this one, by scores that were drawn, sorted.
+
+    Counting them says nothing below one in as many as there are. A sum of squares goes to zero as some power of it, so the
+    lowest ``TAIL`` scores give that power (Hill's estimate), and it is followed further down.
+    """
+    edge = float(drawn[TAIL])
+    if score >= edge:
+        return float(np.searchsorted(drawn, score, side="right") + 1) / (len(drawn) + 1)
+    least = edge / 1000  # lower scores are as good as this one
+    power = TAIL / float(np.log(edge / np.maximum(drawn[:TAIL], least)).sum())
+    return (TAIL + 1) / (len(drawn) + 1) * (max(score, least) / edge) ** power
+
+
 #: A worker's own, so that what it has drawn serves all its tasks.
 BATTERY = Battery()
 

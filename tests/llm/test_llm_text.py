@@ -235,6 +235,35 @@ def test_keys_of_all_kinds_are_found_among_names(spark):
     assert sum(i >= len(keys) for i in found) <= 0.1 * len(found)
 
 
+@pytest.mark.parametrize(("n_keys", "n_names", "recall"), [(4, 20_000, 0.4), (25, 10_000, 0.6), (150, 2_000, 0.85)])
+def test_few_keys_are_found_among_many_names(n_keys, n_names, recall):
+    """At several shares of keys; p-values go on falling below what was drawn."""
+    rng = random.Random(n_keys)
+    kinds = {k: (KEYS[k], n) for k, n in (("hex", 32), ("base32", 40), ("letters", 40), ("base64", 32))}
+    runs = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in kinds.values() for _ in range(n_keys)]
+    n_keys = len(runs)
+    runs += [rng.choice(PROSE) + rng.choice(["", "_x", "-and", "Of"]) + rng.choice(PROSE) for _ in range(n_names)]
+    tested = [c for r in runs for c in [secrets.candidates(r)] for c in c or [None]]
+    histogram: dict = {}
+    for c in filter(None, tested):
+        histogram[c[2], c[3]] = histogram.get((c[2], c[3]), 0) + 1
+    cut = secrets.discoveries(histogram)
+    found = [i for i, r in enumerate(runs) if any(c[2] in cut and c[3] >= cut[c[2]] for c in secrets.candidates(r))]
+    assert sum(i < n_keys for i in found) >= recall * n_keys
+    assert sum(i >= n_keys for i in found) <= 0.1 * len(found)
+
+
+def test_tail_probabilities_follow_the_law_of_the_tail():
+    rng = np.random.default_rng(3)
+    drawn = np.sort(rng.chisquare(6, 20_000))  # near zero the probability goes as the third power
+    exact = lambda s: (s / 2) ** 3 / 6
+    for s in (0.2, 0.1, 0.05, 0.01):
+        assert 0.2 < secrets.tail_probability(s, drawn) / exact(s) < 5
+    assert secrets.tail_probability(0.01, drawn) < 1e-7
+    falling = [secrets.tail_probability(s, drawn) for s in np.linspace(0, 8, 200)]
+    assert falling == sorted(falling)
+
+
 def test_battery_tells_draws_from_other_sequences():
     rng = np.random.default_rng(8)
     for size in (16, 32, 64):
