@@ -5,8 +5,8 @@ go; the host is lower-cased, without user, default port and final dot; of the pa
 are decoded, others upper-cased, dot segments resolved and slashes at the end cut; parameters that only track a visit
 go, the rest are sorted. A page whose URL is listed is blocked, unless it is the page that the list names as the one to
 keep. The list of rules holds hosts and beginnings of paths with a verdict, which stands above the other list: a
-rule fits its host and all subdomains, and a URL has a key for each suffix of its host at a dot and each length that a
-rule's path has. The longest rule that fits wins (of equally long ones that with the longer host, then ``block``).
+rule fits its host and all subdomains, and a URL has a key for each number of labels that a rule's host has and each
+length that a rule's path has. The longest rule that fits wins (of equally long ones that with the longer host, then ``block``).
 
 A filter drops nearly all keys inside the scan, and only the rest are joined. It has a bounded size: beyond some million
 listed keys it lets more through, and the join, by a shuffle then, has more to do.
@@ -41,9 +41,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _suffixes(host: Column, counts: list[int]) -> Column:
+    """The last labels of a host, for each of these numbers of labels that it has."""
+    has = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    if not counts:
+        return F.array().cast("array<string>")
+    return F.transform(F.filter(F.lit(counts), lambda k: k <= has), lambda k: F.call_function("substring_index", host, F.lit("."), -k))
 
 
 def _unescaped(text: Column) -> Column:
@@ -104,6 +107,7 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url: str = "url",
     n = known.count()
     bloom = BlockedBloom(known.select(F.xxhash64("rule").alias("h")), "h", n, inside=True)
     lengths = sorted(r[0] for r in known.select(F.length("rule_path")).distinct().collect())  # no longer than a URL can be
+    counts = sorted(r[0] for r in known.select((F.size(F.split("rule_host", r"\.", -1))).alias("n")).distinct().collect())  # no more than a host has labels
     path = F.col("path")
     sizes = F.filter(F.lit(lengths), lambda x: x <= F.length(path)) if lengths else F.array().cast("array<int>")
 
@@ -111,7 +115,7 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url: str = "url",
         keys = F.transform(sizes, lambda x: F.struct(suffix.alias("host"), F.substring(path, F.lit(1), x).alias("path")))
         return F.filter(keys, lambda k: bloom.may_hold(F.xxhash64(F.concat(k["host"], k["path"]))))
 
-    keys = F.when(F.col("host") != "", F.flatten(F.transform(_suffixes(F.col("host")), fits)))
+    keys = F.when(F.col("host") != "", F.flatten(F.transform(_suffixes(F.col("host"), counts), fits)))
     possible = rows.select("*", F.explode_outer(keys).alias("key"))
     met = possible.join(F.broadcast(known) if n <= MAX_BROADCAST else known, (F.col("key.host") == F.col("rule_host")) & (F.col("key.path") == F.col("rule_path")), "left")
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("size"), F.length("rule_host").alias("host_size"), "verdict", "rule"))).alias("best")

@@ -404,3 +404,14 @@ def test_near_duplicate_stage_matches_brute_force(spark, sf_dir):
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({find(i) for i in range(len(texts))})
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_long_hosts_cost_as_many_keys_as_rules_have_label_counts(spark):
+    import time
+
+    hosts = ["a." * n + "example.com" for n in (0, 1, 5_000)] + ["." * 5_000 + "net", "com", "", "."]
+    df = spark.createDataFrame([(i, f"http://{h}/en/x") for i, h in enumerate(hosts)] * 20, "page_id long, url string")
+    began = time.perf_counter()
+    got = {r["page_id"]: r["rule"] for r in urls.judge(df, urls.rules_frame(spark, [*urls.RULES, ("a.a.example.com", "/", "block"), ("", "/", "block")]), ["page_id"]).collect()}
+    assert time.perf_counter() - began < 30
+    assert got == {0: "example.com/en/", 1: "example.com/en/", 2: "a.a.example.com/", 3: None, 4: "com/", 5: None, 6: "/"}
