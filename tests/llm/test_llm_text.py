@@ -456,3 +456,64 @@ def test_html_of_the_tables_is_the_article(spark, sf_dir):
 def test_rowwise_schema_is_kept(spark):
     docs = documents(spark, ["a"])
     assert simhash.with_fingerprints(docs.drop("fp"), ["doc_id", "lang"]).schema["doc_id"].dataType == T.LongType()
+
+
+# Toxicity: the fit and the scores by themselves
+
+
+def plain_loss(weights, labels, bags):
+    """Minus the log-likelihood of labels under the noisy-or of all sentences, and the pull of the weights, per document."""
+    import math
+
+    bias = math.log(toxicity.PRIOR / (1 - toxicity.PRIOR))
+    total = toxicity.L2 * sum(w * w for w in weights) / 2
+    for y, bag in zip(labels, bags, strict=True):
+        harmless = 1 - toxicity.PRIOR
+        for sentence in bag:
+            harmless *= 1 - 1 / (1 + math.exp(-(bias + sum(weights[f] for f in sentence))))
+        total -= math.log(1 - harmless) if y else math.log(harmless)
+    return total / len(labels)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_toxicity_fit_is_where_the_plain_loss_is_least(seed):
+    rng = random.Random(seed)
+    n = 5
+    bags, labels = [], []
+    for _ in range(80):
+        bag = [sorted(rng.sample(range(n), rng.randint(1, 3))) for _ in range(rng.randint(0, 4))]
+        bags.append(bag)
+        labels.append(float(rng.random() < (0.9 if any(0 in s or {1, 2} <= set(s) for s in bag) else 0.1)))
+    model = toxicity.fit(np.array(labels), bags, [str(f) for f in range(n)], rounds=4_000)
+    fitted = [model.weights.get(str(f), 0.0) for f in range(n)]
+    least = plain_loss(fitted, labels, bags)
+    for f in range(n):
+        for step in (-0.2, -0.05, 0.05, 0.2):
+            moved = [w + (step if k == f else 0) for k, w in enumerate(fitted)]
+            assert plain_loss(moved, labels, bags) >= least - 1e-5
+    for _ in range(30):
+        assert plain_loss([w + rng.gauss(0, 1) for w in fitted], labels, bags) > least
+    assert fitted[0] == max(fitted)  # the feature that makes a sentence offend
+
+
+def test_toxicity_score_is_the_noisy_or_of_its_sentences():
+    model = toxicity.Model(-4.0, {"bad": 3.0, "worse": 6.0, "^wor": 1.0}, 0.001)
+    text = "A bad day. It is worse! Nothing here.\nbad worse bad? ok"
+    sentences = [["bad"], ["worse", "^wor"], ["bad", "worse", "^wor"]]
+    harmless = 1 - 0.001
+    for s in sentences:
+        harmless *= 1 - 1 / (1 + np.exp(4.0 - sum({"bad": 3.0, "worse": 6.0, "^wor": 1.0}[f] for f in s)))
+    assert abs(model.score(text) - (1 - harmless)) < 1e-12
+    assert [text[a:b].strip() for a, b, _ in model.sentences(text)] == ["A bad day", "It is worse", "bad worse bad"]
+    assert model.score("") == model.score(None) == model.score("nothing known") == pytest.approx(0.001)
+
+
+def test_toxicity_of_documents_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, folder, "labels").collect() if r["toxic"] is not None}
+    got = [(r["score"], labels[r["doc_id"]]) for r in queries.QUERIES["op1_toxicity"](spark, folder).collect() if r["held_out"] and r["doc_id"] in labels]
+    toxic, clean = [s for s, y in got if y], [s for s, y in got if not y]
+    assert len(toxic) > 20 and len(clean) > 200
+    ranked = sum((t > c) + (t == c) / 2 for t in toxic for c in clean) / (len(toxic) * len(clean))
+    assert ranked > 0.95
+    assert sum(t >= 0.5 for t in toxic) >= 0.85 * len(toxic) and sum(c >= 0.5 for c in clean) <= 0.02 * len(clean)
