@@ -5,10 +5,10 @@ its postings. For a query row, the postings of its terms, times its weights, are
 a block of candidates; a term that most candidates have is added to the whole array at once. A partition of each array
 selects the block's best, which are merged with the query's best of the blocks before.
 
-Rows are packed once into stored blocks. Blocks of queries and of candidates meet in tiles of bounded size: a tile's
-candidates stay in one task, which takes the tile's queries one block after the other and returns k rows for each
-query; the best of all tiles are merged in Spark. So a vector is copied once for each tile of the other side, not for
-each block.
+Rows are packed once into stored blocks, queries once more into blocks of their own, so that a block of queries is full of
+them however few they are among the rows. Both meet in tiles of bounded bytes: a tile's candidates stay in one task, which
+takes the tile's queries one block after the other and returns k rows for each query; the best of all tiles are merged in
+Spark. So a candidate is copied once for each 32,768 queries, and a query once for each tile of candidates.
 
 Edge cases: vectors that are null, empty of components, or hold null or non-finite components take no part; of vectors
 of unequal length the shorter is filled up with zeros; every row is a candidate of every query but the one that it
@@ -25,13 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
 
-#: Rows of a block; blocks of queries and of candidates in a tile.
-ROWS, TILE_QUERIES, TILE_CANDIDATES = 2_048, 16, 128
+#: Rows and components of a block; blocks of queries, blocks and components of candidates in a tile (each component is held as
+#: eight bytes at most, or as an integer of any size).
+ROWS, CELLS, TILE_QUERIES, TILE_CANDIDATES, TILE_CELLS = 2_048, 1 << 21, 16, 128, 1 << 24
 SCALE = 64
 #: Postings of a term that more than this share of the candidates have are kept in full length.
 FULL = 0.25
@@ -41,7 +44,7 @@ WIDE = 136
 #: Bytes of a score that doesn't fit a long, so that they sort as its value does.
 WIDE_SCORE = 2 * WIDE + 8
 
-BLOCK = "ids binary, null binary, query binary, data binary, width int, dim int"
+BLOCK = "block long, ids binary, null binary, data binary, width int, dim int, of binary, place binary"
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -85,35 +88,59 @@ def _from_bytes(data: bytes, width: int, rows: int, dim: int) -> np.ndarray:
 
 
 def pack(rows: DataFrame) -> DataFrame:
-    """Blocks of at most ``ROWS`` rows of (id, v, query): ids, which are null, which are queries, components as bytes."""
+    """Blocks of rows of (id, v, query): all rows as candidates, and once more those that are queries, packed by themselves.
+
+    A block has its key, ids, which are null, and components as bytes; blocks of queries also say of each row which block
+    of candidates, and which place in it, it is itself. A block has at most ``ROWS`` rows and about ``CELLS`` components.
+    """
+
+    def block(key: int, ids: np.ndarray, null: np.ndarray, matrix: np.ndarray, of: np.ndarray | None = None, place: np.ndarray | None = None) -> pa.RecordBatch:
+        data, width = _to_bytes(matrix)
+        cells = {"block": pa.array([key], pa.int64()), "ids": [ids.astype("<i8").tobytes()], "null": [null.tobytes()], "data": [data], "width": pa.array([width], pa.int32()), "dim": pa.array([matrix.shape[1]], pa.int32())}
+        own = {c: [None if x is None else x.astype("<i8").tobytes()] for c, x in (("of", of), ("place", place))}
+        return pa.RecordBatch.from_pydict({k: x if isinstance(x, pa.Array) else pa.array(x, pa.binary()) for k, x in (cells | own).items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId() << 33  # the same when the task is repeated
+        waiting: dict[tuple[bool, int], list[tuple]] = {}
+
+        def queries(kind: tuple[bool, int]) -> pa.RecordBatch:
+            ids, of, place, rows = (np.concatenate(x) for x in zip(*waiting.pop(kind), strict=True))
+            return block(made, ids, np.zeros(len(ids), bool), rows, of, place)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                own = batch.slice(at, ROWS)
+            longest = pc.max(pc.list_value_length(batch.column(1))).as_py() or 1
+            step = max(1, min(ROWS, CELLS // longest))
+            for at in range(0, batch.num_rows, step):
+                own = batch.slice(at, step)
                 for usable, matrix in _matrices(own.column(1)):
-                    yield block(own, usable, matrix)
-
-    def block(own: pa.RecordBatch, usable: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
-        ids, query = (own.column(c).take(pa.array(usable)) for c in (0, 2))
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        values = np.where(null, LONG.max, ids.fill_null(0).to_numpy(zero_copy_only=False)).astype("<i8")
-        asked = query.fill_null(False).to_numpy(zero_copy_only=False) & ~null
-        data, width = _to_bytes(matrix)
-        cells = (values.tobytes(), null.tobytes(), asked.tobytes(), data, width, matrix.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array([c]) if isinstance(c, bytes) else pa.array([c], pa.int32()) for c in cells], names=["ids", "null", "query", "data", "width", "dim"])
+                    ids, query = (own.column(c).take(pa.array(usable)) for c in (0, 2))
+                    null = ids.is_null().to_numpy(zero_copy_only=False)
+                    values = np.where(null, LONG.max, ids.fill_null(0).to_numpy(zero_copy_only=False))
+                    yield block(made, values, null, matrix)
+                    places = np.flatnonzero(query.fill_null(False).to_numpy(zero_copy_only=False) & ~null)
+                    made += 1
+                    if len(places):
+                        kind = matrix.dtype == object, matrix.shape[1]
+                        waiting.setdefault(kind, []).append((values[places], np.full(len(places), made - 1), places, matrix[places]))
+                        if sum(len(x[0]) for x in waiting[kind]) >= step:
+                            yield queries(kind)
+                            made += 1
+        for kind in list(waiting):
+            yield queries(kind)
+            made += 1
 
     return rows.mapInArrow(run, BLOCK)
 
 
 class Block:
-    """A stored block's ids, which of them are null, and components; its rows are known by block and place."""
+    """A stored block's ids, which of them are null, and components; of queries also the block and place that each is itself."""
 
     def __init__(self, row: dict) -> None:
         self.key = row["block"]
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.null = np.frombuffer(row["null"], bool)
-        self.query = np.flatnonzero(np.frombuffer(row["query"], bool))
+        self.of, self.place = (None if row[c] is None else np.frombuffer(row[c], "<i8") for c in ("of", "place"))
         self.matrix = _from_bytes(row["data"], row["width"], len(self.ids), row["dim"])
         self._postings: dict[type, list] = {}
 
@@ -168,20 +195,19 @@ def best(total: np.ndarray, ids: np.ndarray, null: np.ndarray, k: int) -> np.nda
 
 
 def _merged(queries: Block, candidates: list[Block], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query row of a block: its place, and the ids, nulls and scores of its best in a tile's candidates."""
-    rows = queries.matrix[queries.query]
-    held: list[list[tuple]] = [[] for _ in queries.query]
+    """For each row of a block of queries: its number, and the ids, nulls and scores of its best in a tile's candidates."""
+    held: list[list[tuple]] = [[] for _ in queries.ids]
     for c in candidates:
-        kind = _kind(rows, c.matrix)
-        for n, total in enumerate(scores(rows, c.matrix, c.postings(kind))):
+        kind = _kind(queries.matrix, c.matrix)
+        for n, total in enumerate(scores(queries.matrix, c.matrix, c.postings(kind))):
             own = best(total, c.ids, c.null, k + 1)
-            if c.key == queries.key:  # one more than k, since the query may be among them
-                own = own[own != queries.query[n]]
+            if c.key == queries.of[n]:  # one more than k, since the query may be among them
+                own = own[own != queries.place[n]]
             held[n].append((c.ids[own[:k]], c.null[own[:k]], total[own[:k]]))
     for n, parts in enumerate(held):
         ids, null, total = (np.concatenate(x) for x in zip(*parts, strict=True))
         own = best(total, ids, null, k)
-        yield int(queries.query[n]), ids[own], null[own], total[own]
+        yield n, ids[own], null[own], total[own]
 
 
 def _cells(total: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
@@ -197,26 +223,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     """query_id, rank, vec_id, score: for each query row its k best among all other rows."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v"), is_query.alias("query"))
-    blocks = saved(pack(rows).withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
-    n, asked = blocks.count(), blocks.where(F.contains("query", F.lit(b"\x01")))
+    blocks = saved(pack(rows), "topk-blocks")
+    is_asked = F.col("of").isNotNull()
+    counts = blocks.agg(F.count_if(is_asked), F.count_if(~is_asked), F.coalesce(F.max(F.octet_length("ids") / 8 * F.col("dim")), F.lit(1.0))).first()
     # Tiles are no larger than memory allows, and small enough that all cores have some.
-    wide = max(1, min(TILE_CANDIDATES, n // max(1, spark.sparkContext.defaultParallelism)))
-    down, across = -(-n // TILE_QUERIES) or 1, -(-n // wide) or 1
+    wide = max(1, min(TILE_CANDIDATES, int(TILE_CELLS // counts[2]), counts[1] // max(1, spark.sparkContext.defaultParallelism)))
+    down, across = -(-counts[0] // TILE_QUERIES) or 1, -(-counts[1] // wide) or 1
 
     def dealt(df: DataFrame, own: str, into: int, other: str, times: int) -> DataFrame:
         dealt = df.withColumn(own, F.pmod(F.xxhash64("block"), F.lit(into)).cast("int"))
         return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
-    queries, candidates = dealt(asked, "down", down, "across", across), dealt(blocks, "across", across, "down", down)
+    queries, candidates = dealt(blocks.where(is_asked), "down", down, "across", across), dealt(blocks.where(~is_asked), "across", across, "down", down)
 
     def tile(asked: pa.Table, held: pa.Table) -> pa.Table:
         own = [Block(r) for r in held.to_pylist()]
         out: dict[str, list] = {c: [] for c in ("query_id", "block", "place", "vec_id", "score", "wide")}
         for row in asked.to_pylist() if own else ():
             q = Block(row)
-            for place, ids, null, total in _merged(q, own, k):
+            for n, ids, null, total in _merged(q, own, k):
                 near, wide = _cells(total)
-                for c, x in zip(out, (np.full(len(ids), q.ids[place]), np.full(len(ids), q.key), np.full(len(ids), place), pa.array(ids, mask=null), near, pa.array(wide, pa.binary())), strict=True):
+                for c, x in zip(out, (np.full(len(ids), q.ids[n]), np.full(len(ids), q.of[n]), np.full(len(ids), q.place[n]), pa.array(ids, mask=null), near, pa.array(wide, pa.binary())), strict=True):
                     out[c].append(x if isinstance(x, pa.Array) else pa.array(x, pa.int64()))
         kinds = dict.fromkeys(out, pa.int64()) | {"wide": pa.binary()}
         return pa.table({c: pa.chunked_array(x, kinds[c]) for c, x in out.items()})

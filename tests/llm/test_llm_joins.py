@@ -415,3 +415,17 @@ def test_long_hosts_cost_as_many_keys_as_rules_have_label_counts(spark):
     got = {r["page_id"]: r["rule"] for r in urls.judge(df, urls.rules_frame(spark, [*urls.RULES, ("a.a.example.com", "/", "block"), ("", "/", "block")]), ["page_id"]).collect()}
     assert time.perf_counter() - began < 30
     assert got == {0: "example.com/en/", 1: "example.com/en/", 2: "a.a.example.com/", 3: None, 4: "com/", 5: None, 6: "/"}
+
+
+def test_top_k_queries_are_packed_by_themselves_and_tiles_go_by_size(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-2, 2) for _ in range(rng.choice([3, 8]))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2).withColumn("of", F.lit(1)).withColumn("place", F.lit(2))
+    for name, value in (("ROWS", 16), ("CELLS", 100), ("TILE_CELLS", 300), ("TILE_QUERIES", 2)):
+        monkeypatch.setattr(topk, name, value)
+    blocks = topk.pack(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (F.col("vec_id") % 20 == 0).alias("query"))).collect()
+    asked = [r for r in blocks if r["of"] is not None]
+    assert sum(len(r["ids"]) // 8 for r in asked) == 20 and len(asked) <= 2 * 2 * 2  # full but for the last of each task and width
+    assert sum(len(r["ids"]) // 8 for r in blocks if r["of"] is None) == 400
+    assert all(len(r["ids"]) // 8 <= 12 for r in blocks if r["of"] is None)  # about 100 components
+    assert sorted((tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 6).collect()), key=repr) == plain_top_k(rows, 6)
