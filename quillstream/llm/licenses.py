@@ -213,9 +213,12 @@ def licensed(files: DataFrame, keep: list[str], path: str = "path", text: str =
 
 
 def document_licenses(spark, sf_dir: str) -> DataFrame:
-    """Documents as files: by source and language, in folders of a hundred; every hundredth is its language's LICENSE."""
+    """Documents as files, by source and language and in folders of a hundred. Texts that speak of a licence are licence files:
+    short ones of their source and language, others of their folder.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = F.concat_ws("/", "source", "lang")
-    hundred = F.floor(F.col("doc_id") / 100)
-    path = F.when(F.col("doc_id") % 100 == 0, F.concat_ws("/", folder, hundred.cast("string"), F.lit("LICENSE"))).otherwise(F.concat_ws("/", folder, hundred.cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    above, own = F.concat_ws("/", "source", "lang"), F.floor(F.col("doc_id") / 100).cast("string")
+    says = F.coalesce(F.col("text").rlike("(?i)licen[cs]e"), F.lit(False))
+    name = F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))
+    path = F.when(says & (F.length("text") < 2_000), F.concat_ws("/", above, name)).when(says, F.concat_ws("/", above, own, name)).otherwise(F.concat_ws("/", above, own, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
     return licensed(docs.select("doc_id", path.alias("path"), "text"), ["doc_id"])

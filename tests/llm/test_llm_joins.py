@@ -229,6 +229,44 @@ def test_licences_match_plain_cosines(spark):
         assert got[f"r/{i}/LICENSE"][0] == name
 
 
+def plain_inheritance(rows):
+    """license, score and source of each path without one of its own: the best licence file of the nearest directory above."""
+    files = {}
+    for path, (licence, score) in rows.items():
+        folder, _, name = path.rpartition("/")
+        if licence is not None and re.match(licenses.NAMES, name):
+            files[folder] = min(files.get(folder, (9, "", "")), (-score, licence, path))
+    out = {}
+    for path, (licence, _) in rows.items():
+        if licence is None:
+            at = path.rpartition("/")[0]
+            while at not in files and at:
+                at = at.rpartition("/")[0]
+            minus, licence, source = files.get(at, (None, None, None))
+            out[path] = (licence, None if minus is None else -minus, source)
+    return out
+
+
+def test_licences_of_documents_are_inherited_as_in_a_plain_walk(spark):
+    got = queries.QUERIES["op6_licenses"](spark, "/root/testdata/sf0.01").collect()
+    own = {r["path"]: (r["license"], r["score"]) if r["origin"] == "header" else (None, None) for r in got}
+    want = plain_inheritance(own)
+    found = {r["path"]: (r["license"], r["score"], r["source"]) for r in got if r["origin"] != "header"}
+    assert found == want
+    assert sum(x[0] is not None for x in found.values()) > 100
+    assert len({s.count("/") for _, _, s in found.values() if s}) == 2  # from the folder, and from above it
+
+
+def test_licences_are_inherited_as_in_a_plain_walk(spark):
+    rng = random.Random(41)
+    tell = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "nothing to see here", "This work is licensed under the GNU General Public License, version 3."]
+    paths = {"/".join([rng.choice("abc") for _ in range(rng.randint(0, 4))] + [rng.choice(["LICENSE", "COPYING.md", "x.txt", "y.py", "license_notes", "mylicense"])]) for _ in range(300)}
+    files = [(p, rng.choice(tell) if rng.random() < 0.4 else "no statement at all") for p in sorted(paths)]
+    got = licenses.licensed(spark.createDataFrame(files, "path string, text string"), []).collect()
+    own = {r["path"]: (r["license"], r["score"]) if r["origin"] == "header" else (None, None) for r in got}
+    assert {r["path"]: (r["license"], r["score"], r["source"]) for r in got if r["origin"] != "header"} == plain_inheritance(own)
+
+
 # Decontamination
 
 
