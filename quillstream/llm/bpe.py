@@ -5,7 +5,10 @@ pair; the root is the lowest rank, the leftmost where several have it. Merging i
 logarithmic time, until no pair can be merged: a "word" of a million letters costs n log n steps, not n squared.
 
 Each different word of a batch of texts is encoded once, and not again while the cache holds it.
-Null is the empty text; the special tokens' strings in a text become their ids, as the library does by default.
+
+Edge cases: null is the empty text, which has no ids; the special tokens' strings in a text become their ids, as the
+library does by default; a text, and a word, of any length is encoded whole; of equal ranks the leftmost pair is merged;
+repeated rows give one output row each; a table without rows gives none; columns of any name can be kept.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ set of each posting only, then all that are still in different components to eac
 copies isn't compared pair by pair. Candidates are verified on the whole sets.
 
 Edge cases: null and empty texts, and texts of white space only, are one empty set, and equal; fewer words than a
-shingle has are one shingle; repeated rows and repeated ids are rows of their own.
+shingle has are one shingle; repeated rows and repeated ids are rows of their own; a similarity of exactly the threshold
+links; texts of any length are read whole; a table without rows gives none; other columns may have any name and pass
+unchanged.
 """
 
 from __future__ import annotations
