@@ -14,11 +14,23 @@ def unseen(items: DataFrame, id_col: str, *order: str, seen: DataFrame | None =
     return first_by(fresh, [id_col], *order)
 
 
-def changes(events: DataFrame, key: str, value: Column, *order: str) -> DataFrame:
-    """Rows whose value differs from the key's row before; the first one counts as a change. A, B, A are three."""
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = events.withColumn("__value", value).withColumn("__n", F.row_number().over(w)).withColumn("__last", F.lag("__value").over(w))
-    return marked.where((F.col("__n") == 1) | ~F.col("__value").eqNullSafe(F.col("__last"))).drop("__value", "__n", "__last")
+def changes(events: DataFrame, key: str, value: Column, *order: str, bucket_seconds: int = 86_400) -> DataFrame:
+    """Rows whose value differs from the key's row before; the first one counts as a change. A, B, A are three.
+
+    Where the order begins with a time, a key's rows are sorted in spans of it, each by itself, and a span's first row is
+    held against what the span before ends with: one row for each span. So a key with very many rows is spread over tasks.
+    """
+    marked = events.withColumn("__value", F.struct(value.alias("v")))
+    if events.schema[order[0]].dataType.typeName() not in ("timestamp", "timestamp_ntz"):
+        last = F.lag("__value").over(Window.partitionBy(key).orderBy(*order))
+        return marked.withColumn("__last", last).where(F.col("__last").isNull() | ~F.col("__value").eqNullSafe(F.col("__last"))).drop("__value", "__last")
+    spans = marked.withColumn("__span", F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / bucket_seconds))
+    here = Window.partitionBy(key, "__span").orderBy(*order)
+    ends = spans.groupBy(F.col(key).alias("__key"), F.col("__span").alias("__at")).agg(F.max_by("__value", F.struct(*order)).alias("__end"))
+    before = ends.select("__key", "__at", F.lag("__end").over(Window.partitionBy("__key").orderBy("__at")).alias("__before"))
+    found = spans.withColumn("__here", F.lag("__value").over(here)).join(before, F.col(key).eqNullSafe(F.col("__key")) & F.col("__span").eqNullSafe(F.col("__at")))
+    found = found.withColumn("__last", F.coalesce("__here", "__before"))
+    return found.where(F.col("__last").isNull() | ~F.col("__value").eqNullSafe(F.col("__last"))).select(*events.columns)
 
 
 def changed_since(batch: DataFrame, last: DataFrame, key: str, value: str) -> DataFrame:

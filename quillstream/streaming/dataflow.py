@@ -6,7 +6,8 @@ reader that fails or comes later reads the log and evaluates nothing above it ag
 checkpoint of its own, so that a restart goes on where it was.
 
 A route is a function of DataFrames, which Spark plans as a whole, or a handler of single messages. A handler's failure
-is that message's: it goes into the same log with its error, and the others go on.
+is that message's: it goes into the same log with its error, and the others go on. Any other route that can tell which of
+its rows have failed, as by a scorer that returns errors, does the same by giving them the columns ``_error`` and ``_failed``.
 """
 
 from __future__ import annotations

@@ -472,3 +472,22 @@ def test_parts_inside_parts_give_their_lines_at_each_indent_once():
 def test_a_paragraph_ends_with_what_it_is_in():
     root = html.tree("<span><p>a</span><div>b</div>")
     assert [n.tag for n in root.children] == ["span", "div"]
+
+
+@pytest.mark.parametrize("bucket", [60, 3_600, 10**9])
+def test_changes_over_spans_of_time_are_those_of_one_pass(spark, bucket):
+    import random
+
+    rng = random.Random(bucket)
+    rows = [(rng.choice(["a", "b", None]), dt.datetime(2025, 1, 1) + dt.timedelta(seconds=30 * rng.randint(0, 60)), n, rng.choice(["x", "y", None])) for n in range(300)]
+    last, want = {}, []
+    for k, at, n, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        if k not in last or last[k] != v:
+            want.append(n)
+        last[k] = v
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame(rows, "k string, t timestamp, n int, v string").withColumn("t", F.col("t").cast(kind))
+        got = dedup.changes(df, "k", F.col("v"), "t", "n", bucket_seconds=bucket)
+        assert got.columns == df.columns
+        assert sorted(r["n"] for r in got.collect()) == sorted(want)
+    assert sorted(r["n"] for r in dedup.changes(df, "k", F.col("v"), "n").collect()) == sorted(n for k, _, n, v in rows if next((x[3] for x in reversed(rows[:n]) if x[0] == k), "none") != v)
