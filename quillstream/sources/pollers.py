@@ -11,7 +11,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -199,6 +199,13 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.upper(F.regexp_extract("path", "([^/]+?)(\\.[^./]*)?$", 1)).alias("ticker"), payloads.profile(F.col("content")).alias("p")).select("ticker", "p.*")
 
 
+def asked_profiles(companies: DataFrame, ask: Callable[[str], str | None], url: Column, from_json: bool = True, at_most: int = 5) -> DataFrame:
+    """``companies`` with website_url, sector and industry, from a service's answer as JSON or from a page; NULLs where it fails twice."""
+    answers = asked(companies.withColumn("__url", url), ask, "__url", "__answer", at_most, attempts=2)
+    found = payloads.profile(F.col("__answer")) if from_json else html.profile_of(F.col("__answer"))
+    return answers.withColumn("__profile", found).select(*companies.columns, "__profile.website_url", "__profile.sector", "__profile.industry")
+
+
 def write_pages(pages: DataFrame, key: str, body: str, path: str) -> None:
     """A folder for each key with its page as text; a page's line ends are its own."""
     pages.select(key, F.col(body).alias("value")).where("value is not null").write.partitionBy(key).mode("overwrite").text(path)

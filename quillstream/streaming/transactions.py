@@ -7,7 +7,8 @@ repeated after a restart commits once, since a batch that has an entry isn't giv
 
 Tables are kept as the rows that were written, and read as what these rows come to: the first or the last row of each key,
 in the order of ``seq``, without rows that lack a required column or refer to a parent that isn't there. So inserting, or
-replacing, many rows is one append, and reading is one aggregation over a key.
+replacing, many rows is one append, and reading is one aggregation over a key. ``compact`` writes what they come to anew,
+so that neither files nor entries pile up.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql.streaming import DataStreamWriter
 
 FORMAT = "quillstream_store"
 SEQ = "_seq"
+#: The folder of the log that holds snapshots; no stream may have this name.
+SNAPSHOTS = "snapshots"
 
 
 @dataclass(frozen=True)
@@ -138,19 +141,78 @@ class Store:
 
     def writer(self, rows: DataFrame, name: str) -> DataStreamWriter:
         """A stream that writes ``rows`` in transactions, a batch each. ``name`` tells the store's streams apart."""
+        if name == SNAPSHOTS:
+            raise ValueError(f"a stream can't be called {SNAPSHOTS}")
         return rows.writeStream.format(FORMAT).option("folder", self.folder).option("writer", name).option("checkpointLocation", f"{self.folder}/checkpoint/{name}")
 
-    def committed(self) -> dict[str, list[str]]:
-        """The files of each table that the log names."""
+    def _log(self) -> tuple[dict, dict[str, dict[str, list[str]]]]:
+        """The last snapshot (its entries and files), and the entries that it hasn't taken in, by their paths in the log."""
         files, base = fs.FileSystem.from_uri(self.folder)
+        found = [i.path for i in files.get_file_info(fs.FileSelector(f"{base}/log", allow_not_found=True, recursive=True)) if i.base_name.endswith(".json")]
+        names = sorted(p.removeprefix(f"{base}/log/") for p in found)
+
+        def read(name: str) -> dict:
+            with files.open_input_stream(f"{base}/log/{name}") as f:
+                return json.loads(f.read())
+
+        snapshots = [n for n in names if n.startswith(f"{SNAPSHOTS}/")]
+        last = read(snapshots[-1]) if snapshots else {"entries": [], "files": {}}
+        taken = set(last["entries"])
+        return last, {n: read(n) for n in names if not n.startswith(f"{SNAPSHOTS}/") and n not in taken}
+
+    def committed(self) -> dict[str, list[str]]:
+        """The files of each table that the log names: the last snapshot's, and those of batches since."""
+        last, entries = self._log()
         out: dict[str, list[str]] = {t: [] for t in self.tables}
-        for info in files.get_file_info(fs.FileSelector(f"{base}/log", allow_not_found=True, recursive=True)):
-            if info.base_name.endswith(".json"):
-                with files.open_input_stream(info.path) as f:
-                    for table, paths in json.loads(f.read()).items():
-                        out[table] += [f"{self.folder}/{p}" for p in paths]
+        for named in (last["files"], *entries.values()):
+            for table, paths in named.items():
+                out[table] += [f"{self.folder}/{p}" for p in paths]
         return out
 
+    def compact(self, remove: bool = False) -> None:
+        """Write what all rows come to as a snapshot, so that reading goes on from there; one small file commits it.
+
+        Batches may be committed meanwhile: what the snapshot hasn't taken in is read beside it. ``remove`` deletes what it
+        replaces, once no reader goes by an older ``committed()``; of each stream the last entry stays, since it says
+        which batch was the last.
+        """
+        files, base = fs.FileSystem.from_uri(self.folder)
+        last, entries = self._log()
+        now = self.committed()
+        written: dict[str, list[str]] = {}
+        for name, table in self.tables.items():
+            row = F.struct(*[f.name for f in table.schema], SEQ)
+            pick = F.max_by(row, SEQ) if table.replaces else F.min_by(row, SEQ)
+            rows = self.written(name, now).dropna(subset=[*table.key, *table.required])
+            kept = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in table.key]).agg(pick.alias("__row")).select("__row.*")
+            path = f"data/{name}/snapshot-{uuid.uuid4().hex}"
+            kept.write.option("compression", "zstd").parquet(f"{self.folder}/{path}")
+            written[name] = [f"{path}/{i.base_name}" for i in files.get_file_info(fs.FileSelector(f"{base}/{path}")) if i.base_name.endswith(".parquet")]
+        number = 1 + max((int(i.base_name[:12]) for i in files.get_file_info(fs.FileSelector(f"{base}/log/{SNAPSHOTS}", allow_not_found=True)) if i.base_name.endswith(".json")), default=0)
+        files.create_dir(f"{base}/log/{SNAPSHOTS}", recursive=True)
+        part = f"{base}/log/{SNAPSHOTS}/.{uuid.uuid4().hex}"
+        with files.open_output_stream(part) as f:
+            f.write(json.dumps({"entries": sorted({*last["entries"], *entries}), "files": written}).encode())
+        files.move(part, f"{base}/log/{SNAPSHOTS}/{number:012d}.json")
+        if remove:
+            self._remove({*last["entries"], *entries}, number)
+
+    def _remove(self, taken: set[str], number: int) -> None:
+        """Delete the files that entries and snapshots before the given one name, and all but each stream's last entry."""
+        files, base = fs.FileSystem.from_uri(self.folder)
+        log = sorted(i.path.removeprefix(f"{base}/log/") for i in files.get_file_info(fs.FileSelector(f"{base}/log", recursive=True)) if i.base_name.endswith(".json"))
+        older = [n for n in log if n.startswith(f"{SNAPSHOTS}/") and int(n[-17:-5]) < number]
+        latest = {n.rpartition("/")[0]: n for n in log}
+        for n in [*older, *(n for n in log if n in taken)]:
+            with files.open_input_stream(f"{base}/log/{n}") as f:
+                named = json.loads(f.read())
+            for paths in (named["files"] if n in older else named).values():
+                for info in files.get_file_info([f"{base}/{p}" for p in paths]):
+                    if info.type == fs.FileType.File:
+                        files.delete_file(info.path)
+            if n != latest[n.rpartition("/")[0]]:
+                files.delete_file(f"{base}/log/{n}")
+
     def written(self, name: str, committed: dict[str, list[str]] | None = None) -> DataFrame:
         """All rows of a table that have been committed, with their ``_seq``."""
         schema = T.StructType([*self.tables[name].schema, T.StructField(SEQ, T.LongType())])

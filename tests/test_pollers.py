@@ -73,6 +73,24 @@ def test_consent_pages_are_left_for_the_page_they_stand_for(spark, tmp_path):
     assert len(seen.read_text().split()) == 5  # each page once
 
 
+def test_profiles_are_asked_for_twice(spark, tmp_path):
+    seen = tmp_path / "seen"
+
+    def ask(url):
+        with seen.open("a") as f:
+            f.write(url + "\n")
+        if url.endswith("/B") or (url.endswith("/A") and seen.read_text().split().count(url) == 1):
+            raise OSError("once, or always")
+        return "<a data-ylk='business-url' href='http://w.com'>w</a><dl><dt>Sector</dt><dd><a>Tech</a></dd></dl>" if url.startswith("http://page") else '{"quoteSummary":{"result":[{"assetProfile":{"website":"http://w.com","sector":"Tech","industry":"Chips"}}]}}'
+
+    df = spark.createDataFrame([("A",), ("B",)], "ticker string")
+    for kind, want in ((True, "http://json/"), (False, "http://page/")):
+        got = {r["ticker"]: r for r in pollers.asked_profiles(df, ask, F.concat(F.lit(want), "ticker"), from_json=kind).collect()}
+        assert (got["A"]["website_url"], got["A"]["sector"]) == ("http://w.com", "Tech")
+        assert tuple(got["B"])[1:] == (None, None, None)
+    assert sorted(seen.read_text().split()) == sorted(2 * ["http://json/A", "http://json/B", "http://page/A", "http://page/B"])
+
+
 def test_attempts_and_articles(spark):
     df = spark.createDataFrame([("u",)], "url string")
     assert tuple(pollers.asked(df, lambda u: 1 / 0, "url", "page", attempts=2).first()) == ("u", None, "ZeroDivisionError: division by zero")

@@ -353,6 +353,33 @@ def test_a_batch_is_committed_once_and_what_has_no_entry_is_not_there(spark, tmp
     assert transactions.Store(spark, f"file://{tmp_path}/none", store.tables).read("links").count() == 0
 
 
+def test_a_compacted_store_reads_the_same_and_goes_on(spark, tmp_path):
+    none = tmp_path / "no poison"
+    stream(spark, tmp_path, "seq long, ticker string, name string, place string", EVENTS[:1])
+    store = stored(spark, tmp_path, none)
+
+    def state_of():
+        now = store.committed()
+        return {t: sorted(map(tuple, store.read(t, now).collect()), key=repr) for t in store.tables}
+
+    before = state_of()
+    for remove in (False, True):
+        store.compact(remove)
+        assert state_of() == before
+    assert len(list((tmp_path / "store/log/events").glob("*.json"))) == 1
+    assert len(list((tmp_path / "store/data/companies").glob("*.parquet"))) == 0  # the batch's own files are gone
+    spark.createDataFrame([*EVENTS[1], (10, "Z", "Firm Z", "NYSE"), (11, "F", None, "NYSE")], "seq long, ticker string, name string, place string").coalesce(1).write.parquet(f"{tmp_path}/in/later")
+    store = stored(spark, tmp_path, none)
+    after = state_of()
+    assert {r[0]: r[1] for r in after["companies"]} == {"A": "Firm A", "B": "Firm B", "BAD": "Firm bad", "D": "Firm D", "E": "Firm E", "Z": "Firm Z"}
+    assert ("A", "LSE", 6) in after["links"] and ("A", "NYSE", 3) in after["links"] and not any(r[0] in ("C", "F") for r in after["links"])
+    store.compact(remove=True)
+    store.compact(remove=True)
+    assert state_of() == after and store.written("companies").count() == 6
+    with pytest.raises(ValueError, match="snapshots"):
+        store.writer(spark.range(1), "snapshots")
+
+
 # Counters
 
 
