@@ -17,6 +17,8 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: About so many bytes of a batch are Python objects at a time.
 PYTHON_BYTES = 8_000_000
+#: Rows of a batch where rows go to Python and back with all their columns.
+BATCH_ROWS = 1_000
 #: Spark's setting that removes a query's shuffle files when the query ends.
 SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -73,6 +75,17 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on this session hands whole rows to Python in batches of at most ``BATCH_ROWS``, or fewer if it did.
+
+    Such a batch stands in the JVM, in Arrow's memory and in the worker at once, in each task.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(rows, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
 def boxed(df: DataFrame, text: str, keep: list[str], make: Callable[[], Callable[[pa.Array], dict]], out: str) -> DataFrame:
     """Run ``make()`` once in each task; it gets Arrow arrays of whole texts and returns the new columns.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, rowwise, saved, table
+from .common import boxed, rowwise, saved, small_batches, table
 
 #: Bounds of the fit: labelled documents, features of the model; words that a scorer remembers.
 MAX_LABELLED, MAX_FEATURES, SEEN = 6_000, 4_096, 100_000
@@ -240,6 +240,7 @@ def offending(docs: DataFrame, model: Model, keep: list[str], text: str = "text"
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model, learned from ``labels``, doesn't call toxic; columns are unchanged."""
+    small_batches(docs.sparkSession)
     model = train(docs, labels)
     columns = docs.columns
     return _scored(docs, model, columns, "text").where("predicted = 0").select("keep.*")
