@@ -1,11 +1,15 @@
-"""Near-duplicate groups by an exact set-similarity join over word shingles.
+"""Near-duplicate groups by SimHash with exact verification, and an exact set-similarity join for what it can't reach.
 
 A text is the set of its shingles of ``WIDTH`` words, lower-cased in A-Z, as XXH64 values. Texts with a Jaccard
 similarity of ``NUM / DEN`` or more are linked; groups are the connected components of the links.
 
+First come the texts whose SimHash fingerprints differ in at most three bits, found by multi-index hashing (as in
+``simhash``) and verified on the whole sets. Fingerprints of similar texts may also differ in more bits, so links between
+the groups found so far are searched by the sets themselves; shingles that only one group has take no part.
+
 Two such sets share ``SHARED`` shingles (or all that their sizes ask for) among the first of each in any common order,
-so only these are posted; length, positional and parity filters follow. The order is by rarity, counted over all texts. Texts that meet are first compared to the smallest and largest
-set of each posting only, then all that are still in different components to each other, so a large group of near
+so only these are posted; length, positional and parity filters follow. The order is by rarity, counted over all
+texts. Texts that meet are first compared to the smallest and largest set of each posting only, then all that are still in different components to each other, so a large group of near
 copies isn't compared pair by pair. Candidates are verified on the whole sets.
 
 Edge cases: null and empty texts, and texts of white space only, are one empty set, and equal; fewer words than a
@@ -24,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .bloom import BlockedBloom
 from .common import BYTES_LOWER, discard, rowwise, saved
 from .components import connected_components
@@ -78,19 +83,21 @@ def parities(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def prefixes(docs: DataFrame, keep: list[str], levels: np.ndarray) -> DataFrame:
-    """``keep``, set, n (its size), s1, s2 (parities) and prefix: its first shingles, the rarest first by their buckets' ``levels``."""
+    """``keep``, fp (the SimHash of three-word shingles), set, n (its size), s1, s2 (parities) and prefix: its first shingles, the rarest first by their buckets' ``levels``."""
 
     def first(own: np.ndarray) -> np.ndarray:
         order = np.lexsort((own, levels[_buckets(own)]))
         return own[order[: len(own) - -(-len(own) * NUM // DEN) + SHARED]]
 
     def work(texts: pa.Array) -> dict:
-        own = [shingles(t) for t in texts.cast(pa.binary()).to_pylist()]
+        whole = texts.cast(pa.binary()).to_pylist()
+        own = [shingles(t) for t in whole]
+        prints = np.array([simhash.fingerprint(t) for t in whole], np.uint64).view(np.int64)
         keys = np.array([_key(o) for o in own], np.uint64).view(np.int64)
         s1, s2 = zip(*map(parities, own), strict=True) if own else ((), ())
-        return {"set": pa.array(keys), "n": pa.array([len(o) for o in own], pa.int32()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "prefix": _lists([first(o) for o in own])}
+        return {"fp": pa.array(prints), "set": pa.array(keys), "n": pa.array([len(o) for o in own], pa.int32()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "prefix": _lists([first(o) for o in own])}
 
-    return rowwise(docs, "text", keep, lambda: work, "set bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>")
+    return rowwise(docs, "text", keep, lambda: work, "fp bigint, set bigint, n int, s1 bigint, s2 bigint, prefix array<bigint>")
 
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
@@ -129,49 +136,71 @@ def _differ(a: str, b: str) -> Column:
     return bits * (NUM + DEN) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (DEN - NUM)
 
 
+def close(rows: DataFrame) -> DataFrame:
+    """Candidates a < b: sets under one fingerprint with the least of them, and the least sets of fingerprints that SimHash links."""
+    prints = saved(rows.select("fp", "set").distinct(), "shingles-prints")
+    least = saved(prints.groupBy("fp").agg(F.min("set").alias("least")), "shingles-least")
+    same = prints.join(least, "fp").select(F.col("set").alias("x"), F.col("least").alias("y"))
+    linked = simhash.links(least.select("fp"))
+    for side, to in (("a", "x"), ("b", "y")):
+        linked = linked.join(least.select(F.col("fp").alias(side), F.col("least").alias(to)), side)
+    found = same.unionByName(linked.select("x", "y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = saved(found, "shingles-close")
+    discard(prints, least)
+    return found
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the stored candidates that are similar, by their whole sets, which are built again from the texts that have them."""
+    wanted = saved(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "shingles-wanted")
+    marks = saved(rows.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("mark").alias("mark")), "shingles-marks")
+    may = BlockedBloom(marks, "mark", marks.count()).may_hold(F.col("mark"))
+    texts = docs.where(may).select("text")
+    whole = saved(sets(texts, []).join(wanted, "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes")), "shingles-sets")
+    left, right = (whole.select(F.col("set").alias(s), F.col("hashes").alias(f"{s}_hashes")) for s in "ab")
+    enough = F.size(F.array_intersect("a_hashes", "b_hashes")) * (NUM + DEN) >= (F.size("a_hashes") + F.size("b_hashes")) * NUM
+    out = saved(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "shingles-links")
+    discard(pairs, wanted, marks, whole)
+    return out
+
+
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links a, b of similar sets that give their components. ``rows`` has mark, set, n, s1, s2, prefix of ``docs``, and is stored."""
-    own = ("set", "n", "s1", "s2")
-    distinct = rows.groupBy("set").agg(*[F.first(c).alias(c) for c in (*own[1:], "prefix")])
+    """Links a, b of similar sets that give their components. ``rows`` has mark, fp, set, n, s1, s2, prefix of ``docs``, and is stored."""
+    near = _verified(close(rows), rows, docs)
+    parts = saved(connected_components(near), "shingles-parts")
+    own = ("set", "n", "s1", "s2", "in")
+    in_ = F.coalesce("component", "set").alias("in")
+    distinct = rows.groupBy("set").agg(*[F.first(c).alias(c) for c in (*own[1:4], "prefix")])
+    distinct = distinct.join(parts, F.col("set") == F.col("node"), "left").select(*own[:4], in_, "prefix")
     posted = distinct.select(*own, F.posexplode("prefix").alias("at", "word"))
     one = F.struct(*own)
-    met = posted.groupBy("word").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.set <> high.set")
+    met = posted.groupBy("word").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.min("in").alias("x"), F.max("in").alias("y")).where("x <> y").select("word", "low", "high")
     met = saved(met, "shingles-met")
     bloom = BlockedBloom(met.select("word"), "word", met.count())
     postings = saved(posted.where(bloom.may_hold(F.col("word"))).join(met, "word"), "shingles-postings")
     length = (F.col("a_n") * DEN >= F.col("b_n") * NUM) & (F.col("b_n") * DEN >= F.col("a_n") * NUM)
+    apart = F.col("a_in") != F.col("b_in")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of candidates (one row for each shingle that they share) those that are similar."""
         pairs = pairs.groupBy("a", "a_n", "b", "b_n").count().where(F.col("count") >= _needed("a_n", "b_n")).select("a", "b")
-        pairs = saved(pairs, "shingles-pairs")
-        wanted = saved(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "shingles-wanted")
-        marks = saved(rows.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("mark").alias("mark")), "shingles-marks")
-        may = BlockedBloom(marks, "mark", marks.count()).may_hold(F.col("mark"))
-        texts = docs.where(may).select("text")
-        whole = saved(sets(texts, []).join(wanted, "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes")), "shingles-sets")
-        left, right = (whole.select(F.col("set").alias(s), F.col("hashes").alias(f"{s}_hashes")) for s in "ab")
-        enough = F.size(F.array_intersect("a_hashes", "b_hashes")) * (NUM + DEN) >= (F.size("a_hashes") + F.size("b_hashes")) * NUM
-        out = saved(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "shingles-links")
-        discard(pairs, wanted, marks, whole)
-        return out
+        return _verified(saved(pairs, "shingles-pairs"), rows, docs)
 
     def named(side: str, *columns: str, of: str = "") -> list[Column]:
         return [F.col(f"{of}{c}").alias(side if c == "set" else f"{side}_{c}") for c in columns]
 
-    ends = [postings.select(*named("a", *own), *named("b", *own, of=f"{end}.")).where((F.col("a") != F.col("b")) & length & _differ("a_", "b_")) for end in ("low", "high")]
-    found = similar(ends[0].unionByName(ends[1]))
+    ends = [postings.select(*named("a", *own), *named("b", *own, of=f"{end}.")).where(apart & length & _differ("a_", "b_")) for end in ("low", "high")]
+    found = near.unionByName(similar(ends[0].unionByName(ends[1])))
     members = saved(connected_components(found), "shingles-members")
-    in_ = F.coalesce("component", "set").alias("in")
-    open_ = saved(postings.select("word", "at", *own).join(members, F.col("set") == F.col("node"), "left").select("word", "at", *own, in_), "shingles-open")
-    discard(met, postings)
+    open_ = saved(postings.select("word", "at", *own[:4]).join(members, F.col("set") == F.col("node"), "left").select("word", "at", *own[:4], in_), "shingles-open")
+    discard(met, postings, parts)
     mixed = open_.groupBy("word").agg(F.min("in").alias("x"), F.max("in").alias("y")).where("x <> y").select("word")
     open_ = open_.join(mixed, "word", "left_semi")
-    a, b = (open_.select("word", *named(s, *own, "at", "in")) for s in "ab")
+    a, b = (open_.select("word", *named(s, *own, "at")) for s in "ab")
     # Of the first SHARED shingles in common, each is followed by enough of both sets for the smallest overlap, less those before it.
     rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + (SHARED - 1)
     position = rest * (NUM + DEN) >= (F.col("a_n") + F.col("b_n")) * NUM
-    return found.unionByName(similar(a.join(b, "word").where((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & length & position & _differ("a_", "b_"))))
+    return found.unionByName(similar(a.join(b, "word").where((F.col("a") < F.col("b")) & apart & length & position & _differ("a_", "b_"))))
 
 
 def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

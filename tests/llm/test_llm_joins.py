@@ -467,3 +467,31 @@ def test_top_k_queries_are_packed_by_themselves_and_tiles_go_by_size(spark, monk
     assert sum(len(r["ids"]) // 8 for r in blocks if r["of"] is None) == 400
     assert all(len(r["ids"]) // 8 <= 12 for r in blocks if r["of"] is None)  # about 100 components
     assert sorted((tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 6).collect()), key=repr) == plain_top_k(rows, 6)
+
+
+def test_near_duplicate_stage_goes_by_simhash_first(spark, monkeypatch):
+    import corpus_pipeline
+    from quillstream.llm import shingles, simhash
+    from test_llm_text import plain_fingerprint
+
+    rng = random.Random(23)
+    long = ["w%d" % rng.randrange(500) for _ in range(600)]
+    few = ["v%d" % rng.randrange(500) for _ in range(60)]
+    # Copies a word apart, which fingerprints reach; short ones, which they may not; one fingerprint over other texts.
+    texts = [" ".join(long[:i] + ["x"] + long[i + 1 :]) for i in range(0, 600, 100)] + [" ".join(few), " ".join([*few[:-1], "y"])]
+    texts += ["one two three one two three one two three", "one two three one two three one two three one two three", "other words here", "", None]
+    prints = [plain_fingerprint(t) for t in texts]
+    bits = lambda i, j: (prints[i] ^ prints[j]).bit_count()
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if plain_shingles(texts[i]) != plain_shingles(texts[j])]
+    assert any(0 < bits(i, j) <= 3 for i, j in pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, real = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, *a, **k: seen.append(sorted(r["fp"] for r in distinct.collect())) or real(distinct, *a, **k))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert seen == [sorted({p - (p >> 63 << 64) for p in prints})]  # every different fingerprint, once
+    assert {r["doc_id"] for r in kept} == {0, 6, 8, 10, 11}
+    rows = shingles.prefixes(simhash.marked(docs, "doc_id"), ["id", "mark"], shingles.commonness(docs)).cache()
+    of = {r["set"]: r["id"] for r in rows.collect()}
+    got = {tuple(sorted((of[r["a"]], of[r["b"]]))) for r in shingles.close(rows).collect()}
+    assert got and all(bits(i, j) <= 3 for i, j in got)
+    assert {(i, j) for i, j in pairs if 0 < bits(i, j) <= 3 and prints.count(prints[i]) == prints.count(prints[j]) == 1} <= got
