@@ -223,22 +223,32 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links a, b of similar sets that give their components. ``rows`` has mark, set, n, spare, bits, prefix of ``docs``, and is stored."""
-    distinct = rows.where("n > 0").groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "spare", "bits", "prefix")])
+def links(docs: DataFrame, rows: DataFrame, full: DataFrame) -> DataFrame:
+    """Links a, b of similar sets that give their components. ``rows`` has mark and set of ``docs``, ``full`` has set, n, spare, bits and prefix; both are stored, and ``full`` goes.
+
+    Bitmaps are met only where trees are built, so they aren't stored or dealt out once for each tree.
+    """
+    distinct = full.where("n > 0").groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "spare", "bits", "prefix")])
     distinct = saved(distinct, "trees-distinct")
+    discard(full)
     posted = distinct.select("set", F.explode("prefix").alias("word"))
     met = posted.groupBy("word").agg(F.count(F.lit(1)).alias("times"), F.min("set").alias("lowest")).where("times > 1")
     met = saved(met, "trees-met")
     bloom = BlockedBloom(met.select("word"), "word", met.count())
     shared = saved(posted.where(bloom.may_hold(F.col("word"))).join(met, "word"), "trees-shared")
+    discard(met)
     total = shared.count()
     own = shared.groupBy("set").agg(F.count(F.lit(1)).cast("int").alias("in_trees"))
-    known = distinct.join(own, "set").select("set", "n", "spare", "bits", (F.size("prefix") - F.col("in_trees")).alias("alone"))
-    members = saved(shared.join(known, "set").withColumn("tree", _tree_of("times")), "trees-members")
-    columns = [F.col(c) for c in ("word", "tree", "set", "n", "spare", "bits")]
+    known = saved(distinct.join(own, "set").select("set", "n", "spare", "bits", (F.size("prefix") - F.col("in_trees")).alias("alone")), "trees-known")
+    discard(distinct)
+    members = saved(shared.join(known.select("set", "n", "alone"), "set").withColumn("tree", _tree_of("times")), "trees-members")
+    discard(shared)
+
+    def drawn(of: DataFrame, *more: Column | str) -> DataFrame:
+        """Members as trees have them, with their bitmaps."""
+        return of.join(known.select("set", "spare", "bits"), "set").select("word", "tree", "set", "n", "spare", "bits", *more)
 
-    found = _planted(members.select(*columns, F.col("set").alias("part"), "alone"), total, _search)
+    found = _planted(drawn(members, F.col("set").alias("part"), "alone"), total, _search)
     # A shingle with several trees has them meet in its lowest set.
     ends = members.where(F.col("tree") > 0).groupBy("word", "tree", "lowest").agg(F.min_by("set", F.struct("alone", "set")).alias("set")).where("set <> lowest")
     anchors = ends.select(F.least("set", "lowest").alias("a"), F.greatest("set", "lowest").alias("b"), F.lit(1).alias("needed"))
@@ -246,27 +256,32 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     parts = saved(connected_components(near), "trees-parts")
     in_ = F.coalesce("component", "set")
-    placed = members.join(parts, F.col("set") == F.col("node"), "left").select(*columns, in_.alias("part"), F.lit(0).alias("alone"))
+    placed = members.join(parts, F.col("set") == F.col("node"), "left").select("word", "tree", "set", "n", in_.alias("part"))
     mixed = members.select("word", "set").join(parts, F.col("set") == F.col("node"), "left").groupBy("word").agg(F.min(in_).alias("x"), F.max(in_).alias("y")).where("x <> y")
     placed = saved(placed.join(mixed.select("word"), "word", "left_semi"), "trees-placed")
-    between = _planted(placed, max(1, placed.count()), _self_join)
+    discard(members, parts)
+    whole = drawn(placed, "part", F.lit(0).alias("alone"))
+    between = _planted(whole, max(1, placed.count()), _self_join)
     roots = placed.where("tree > 0").groupBy("word", "tree").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("n", "part") for f in (F.min, F.max)])
     a, b = (roots.select("word", *[F.col(c).alias(f"{s}_{c}") for c in roots.columns if c != "word"]) for s in "ab")
     sizes = (F.col("a_max_n") * DEN >= F.col("b_min_n") * NUM) & (F.col("b_max_n") * DEN >= F.col("a_min_n") * NUM)
     apart = (F.col("a_min_part") != F.col("b_max_part")) | (F.col("a_max_part") != F.col("b_min_part"))
     meet = a.join(b, "word").where((F.col("a_tree") < F.col("b_tree")) & sizes & apart).select(F.col("word").alias("of"), "a_tree", "b_tree")
-    sides = [placed.join(meet, (F.col("word") == F.col("of")) & (F.col("tree") == F.col(f"{s}_tree"))).drop("of") for s in "ab"]
+    sides = [whole.join(meet, (F.col("word") == F.col("of")) & (F.col("tree") == F.col(f"{s}_tree"))).drop("of") for s in "ab"]
     sides = [side.toDF(*side.columns).groupBy("word", "a_tree", "b_tree") for side in sides]  # under names of their own: both are of one frame
     across = sides[0].cogroup(sides[1]).applyInArrow(_cross_join, PAIR)
-    return near.unionByName(_verified(_counted(between.unionByName(across)), rows, docs))
+    out = near.unionByName(_verified(_counted(between.unionByName(across)), rows, docs))
+    discard(placed, known)
+    return out
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col``, n_shingles and component_id (the smallest id reachable by links): one row for each row of ``docs``."""
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     marked = slim.select("id", mark_of("text").alias("mark"), "text")
-    rows = saved(signed(marked, ["id", "mark"], commonness(slim)), "trees")
-    members = connected_components(links(slim, rows))
+    full = saved(signed(marked, ["id", "mark"], commonness(slim)), "trees")
+    rows = saved(full.select("id", "mark", "set", "n"), "trees-rows")
+    members = connected_components(links(slim, rows, full))
     least = rows.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
     labelled = least.join(members, F.col("set") == F.col("node"), "left").withColumn("component", F.coalesce("component", "set"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
