@@ -127,6 +127,46 @@ def test_short_lines_are_deduplicated(spark):
     assert got == plain_lines(list(enumerate(texts)))
 
 
+def test_texts_and_words_are_split_once(spark, monkeypatch):
+    plans, names = [], []
+
+    def seen(df, name, run=lines.saved):
+        names.append(name)
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return run(df, name)
+
+    monkeypatch.setattr(lines, "saved", seen)
+    docs = spark.createDataFrame([(0, "a b c d e\nf g"), (1, "a b c d e x\nh i")], "doc_id long, text string")
+    assert [r["text"] for r in lines.drop_similar_lines(docs).orderBy("doc_id").collect()] == ["a b c d e\nf g", "h i"]
+    assert "lines-tokens" not in names  # no table of all words is stored
+    filters = [line for plan in plans for line in plan.split("\n") if re.match(r"[\s:+-]*Filter ", line)]
+    assert filters and not [line for line in filters if "split(text" in line]  # Spark adds such filters to a plain explode
+
+
+def test_words_differ_by_all_but_the_case_of_ascii(spark):
+    words = ["\u00c9A", "\u00e9a", "\u0389B", "\u03a9b", "\u03c9b", "\u00c3\u00a9", "\u00e3\u00a9", "\u00d7", "\u00f7", "\u0130I", "\u0131i", "\u212aK", "kk", "\u20ac", "\u0080", "\u0420", "\U00010420", "\U00020420", "\u8420", "\u00a0", "\u0085"]
+    texts = words + ["\u00c9a", "\u212ak", "\u0130i", "KK", "x\t\u00e9A\x0bY\rz", "X y\x0c\u00e9a Z", "X y\x0c\u00c9a Z", "p\u00e9\tq r", "P\u00e9 Q\x0cR"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.drop_similar_lines(docs).collect()}
+    assert got == plain_lines(list(enumerate(texts)))
+
+
+def test_large_lines_match_brute_force(spark):
+    """Sets around the size from which parities are 128, some on each side of it."""
+    rng = random.Random(5)
+    texts = []
+    for f in range(12):
+        base = [f"f{f % 4}w{i}" for i in range(rng.randint(lines.LARGE - 14, lines.LARGE + 60))]
+        for _ in range(8):
+            own = base[rng.randint(0, 12) :]
+            for _ in range(rng.randint(0, 14)):
+                own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.drop_similar_lines(docs).collect()}
+    assert got == plain_lines(list(enumerate(texts)))
+
+
 @pytest.mark.parametrize("m", [100, 400])
 def test_families_of_lines_cost_linear_pairs(spark, monkeypatch, m):
     rng = random.Random(m)
