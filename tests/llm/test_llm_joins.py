@@ -12,7 +12,7 @@ import pytest
 from against import oracle, spark_rows
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, licenses, lines, queries, topk, urls
+from quillstream.llm import common, decontaminate, licenses, lines, queries, topk, urls
 from quillstream.llm.oracles import ORACLES
 
 
@@ -185,6 +185,51 @@ def test_families_of_lines_cost_linear_pairs(spark, monkeypatch, m):
     assert sum(seen) <= 6 * m
 
 
+def test_lines_joined_in_parts_are_exact(spark, monkeypatch):
+    """Each part has its own words, so that no join shuffles the postings of all lines at once."""
+    monkeypatch.setattr(lines, "MANY", 0)
+    monkeypatch.setattr(lines, "PARTS", 4)
+    sizes = []
+
+    def part(posted, k, parts, run=lines._part):
+        out = run(posted, k, parts)
+        sizes.append((k, out.count(), posted.count()))
+        return out
+
+    monkeypatch.setattr(lines, "_part", part)
+    rng = random.Random(4)
+    texts = []
+    for f in range(25):
+        base = [f"f{f}w{i}" for i in range(rng.randint(5, 40))]
+        for _ in range(4):
+            own = list(base)
+            own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.drop_similar_lines(docs).collect()}
+    assert got == plain_lines(list(enumerate(texts)))
+    assert {k for k, _, _ in sizes} == set(range(4))
+    large = [(n, of) for _, n, of in sizes if of >= 100]
+    assert large
+    assert all(n < of / 2 for n, of in large)
+
+
+def test_stored_tables_of_few_rows_have_few_files(spark):
+    """A file for each partition starts two processes on a local disk, as Hadoop sets its rights by chmod."""
+    import glob
+
+    def files(df):
+        return len(glob.glob(df.saved_at.removeprefix("file://") + "/part-*"))
+
+    rows = spark.range(1000).repartition(16)
+    few, unknown = common.saved(rows, "few", rows=1000), common.saved(rows, "unknown")
+    assert files(few) == 1
+    assert files(unknown) == 16
+    assert few.count() == unknown.count() == 1000
+    assert files(common.saved(rows, "many", rows=common.FILE_ROWS * 4)) == 16
+    common.discard(few, unknown)
+
+
 # Licences
 
 
