@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import rowwise
+from .common import held, rowwise
 
 #: White space as the tokenizer's regular expressions take it; its word pattern is read from the file.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -252,21 +252,12 @@ class Bpe:
         return out
 
 
-#: A worker's own coder, so that what it has read and learned serves all its tasks: the file's content, and the coder.
-_HELD: list[tuple[bytes, Bpe]] = []
-
-
-def _held(content: bytes) -> Bpe:
-    if not _HELD or _HELD[0][0] != content:
-        _HELD[:] = [(content, Bpe(content))]
-    return _HELD[0][1]
-
-
 def _coder(docs: DataFrame, path: str) -> Callable[[], Bpe]:
     """The file is read on the driver and sent to each executor once; its size doesn't depend on the data."""
     with open(path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    return lambda: _held(sent.value)
+    # A worker's own coder, so that what it has read and learned serves all its tasks.
+    return lambda: held(("bpe", sent.value), lambda: Bpe(sent.value))
 
 
 def token_digests(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -282,16 +273,16 @@ def token_digests(docs: DataFrame, path: str, keep: list[str], text: str = "text
 
         return work
 
-    return rowwise(docs, text, keep, start, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rowwise(docs, text, keep, start, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", holds=True)
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and ``ids`` (array of int) for each row."""
     make = _coder(docs, path)
-    return rowwise(docs, text, keep, lambda: lambda texts, c=make(): {"ids": pa.array([c.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))}, "ids array<int>")
+    return rowwise(docs, text, keep, lambda: lambda texts, c=make(): {"ids": pa.array([c.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))}, "ids array<int>", holds=True)
 
 
 def decode(rows: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """``keep`` and ``decoded`` for each row of ``ids``; null ids give the empty text."""
     make = _coder(rows, path)
-    return rowwise(rows, ids, keep, lambda: lambda rows, c=make(): {"decoded": pa.array([c.decode(x or []) for x in rows.to_pylist()], pa.string())}, "decoded string")
+    return rowwise(rows, ids, keep, lambda: lambda rows, c=make(): {"decoded": pa.array([c.decode(x or []) for x in rows.to_pylist()], pa.string())}, "decoded string", holds=True)

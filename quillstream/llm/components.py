@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(floor, "u")
         small = joined.select(v.alias("u"), F.col("m").alias("v")).where("u <> v").union(floor.select("u", F.col("m").alias("v"))).distinct()
-        now = saved(small, "components")
+        now = saved(small, "components", 2 * mark[0])
         if (new := _mark(now)) == mark:
             break
         mark = new

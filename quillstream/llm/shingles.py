@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .bloom import BlockedBloom
-from .common import BYTES_LOWER, discard, rowwise, saved
+from .common import BYTES_LOWER, discard, give_back, let_go, rowwise, saved
 from .components import connected_components
 from .simhash import marked, one_of_each
 
@@ -111,12 +111,14 @@ def commonness(docs: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 total += np.bincount(_buckets(shingles(text)), minlength=BUCKETS)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], names=["bucket", "n"])
+        give_back()
 
     counted = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.ceil(F.log2(F.sum("n"))).cast("int").alias("level"))
     levels = np.zeros(BUCKETS, np.uint8)
@@ -152,14 +154,15 @@ def close(rows: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the stored candidates that are similar, by their whole sets, which are built again from the texts that have them."""
-    wanted = saved(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "shingles-wanted")
-    marks = saved(rows.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("mark").alias("mark")), "shingles-marks")
+    n = pairs.count()
+    wanted = saved(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "shingles-wanted", 2 * n)
+    marks = saved(rows.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("mark").alias("mark")), "shingles-marks", 2 * n)
     may = BlockedBloom(marks, "mark", marks.count()).may_hold(F.col("mark"))
     texts = docs.where(may).select("text")
-    whole = saved(sets(texts, []).join(wanted, "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes")), "shingles-sets")
+    whole = saved(sets(texts, []).join(wanted, "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes")), "shingles-sets", 2 * n)
     left, right = (whole.select(F.col("set").alias(s), F.col("hashes").alias(f"{s}_hashes")) for s in "ab")
     enough = F.size(F.array_intersect("a_hashes", "b_hashes")) * (NUM + DEN) >= (F.size("a_hashes") + F.size("b_hashes")) * NUM
-    out = saved(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "shingles-links")
+    out = saved(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "shingles-links", n)
     discard(pairs, wanted, marks, whole)
     return out
 

@@ -230,6 +230,24 @@ def test_stored_tables_of_few_rows_have_few_files(spark):
     common.discard(few, unknown)
 
 
+def test_workers_keep_one_thing_and_let_it_go(spark):
+    import pyarrow as pa
+
+    from quillstream.llm import bpe
+
+    common.let_go()
+    one = common.held("a", list)
+    assert common.held("a", list) is one
+    common.held("b", list)
+    assert list(common._HELD) == ["b"]
+    common.let_go()
+    assert not common._HELD
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    assert bpe.token_digests(docs, queries.tokenizer_path(), ["doc_id"]).count() == 40
+    seen = common.rowwise(docs, "text", ["doc_id"], lambda: lambda texts: {"n": pa.array([len(common._HELD)] * len(texts), pa.int32())}, "n int")
+    assert {r["n"] for r in seen.collect()} == {0}
+
+
 # Licences
 
 
