@@ -143,6 +143,53 @@ def test_texts_and_words_are_split_once(spark, monkeypatch):
     assert filters and not [line for line in filters if "split(text" in line]  # Spark adds such filters to a plain explode
 
 
+def test_buckets_of_rarity_are_counted_whole_and_in_few_rows(spark, monkeypatch):
+    """Rows of ``SIDE`` buckets: 2^16 of them, which Spark's fast map holds."""
+    assert lines.BUCKETS // lines.SIDE <= 1 << 16
+    rng = random.Random(2)
+    texts = [None, "", " \n"] + ["\n".join(" ".join(f"W{rng.randrange(3000)}" for _ in range(20)) for _ in range(5)) for _ in range(60)]
+    words = [w for t in texts for w in (t or "").lower().split()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = spark.createDataFrame([(w,) for w in sorted(set(words))], "w string").select("w", F.xxhash64("w").bitwiseAND(F.lit(lines.BUCKETS - 1)).alias("b")).collect()
+    bucket, times = {r["w"]: r["b"] for r in hashes}, Counter()
+    for w in words:
+        times[bucket[w]] += 1
+    got = lines.rarity(docs)
+    assert {b: x for b, x in enumerate(got) if x} == {b: math.ceil(math.log2(n)) for b, n in times.items() if n > 1}
+
+
+def test_lines_join_by_hash_tables_where_partitions_are_small(spark, monkeypatch):
+    def joins(most):
+        monkeypatch.setattr(common, "HASHED", most)
+        a, b = (spark.range(5000).select((F.col("id") % 700).alias("k"), F.col("id").alias(x)) for x in "ab")
+        both = a.join(b.where("b > 4500"), "k")
+        with common.hashed_joins(spark):
+            both.collect()
+        return re.findall(r"ShuffledHashJoin|SortMergeJoin", both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+
+    def seen(df, name, run=lines.saved):
+        asked[name] = spark.conf.get(common.HASHED_UP_TO)
+        return run(df, name)
+
+    before, broadcast = spark.conf.get(common.HASHED_UP_TO), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    advised = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1b")
+    try:
+        assert set(joins("64m")) == {"ShuffledHashJoin"}
+        assert set(joins("1b")) == {"SortMergeJoin"}  # a larger partition is sorted, which Spark can spill
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advised)
+    monkeypatch.setattr(common, "HASHED", "64m")
+    asked = {}
+    monkeypatch.setattr(lines, "saved", seen)
+    docs = spark.createDataFrame([(0, "a b c d e\nf g"), (1, "a b c d e x\nh i")], "doc_id long, text string")
+    assert [r["text"] for r in lines.drop_similar_lines(docs).orderBy("doc_id").collect()] == ["a b c d e\nf g", "h i"]
+    assert asked["lines-pairs"] == "64m"
+    assert spark.conf.get(common.HASHED_UP_TO) == before
+
+
 def test_words_differ_by_all_but_the_case_of_ascii(spark):
     words = ["\u00c9A", "\u00e9a", "\u0389B", "\u03a9b", "\u03c9b", "\u00c3\u00a9", "\u00e3\u00a9", "\u00d7", "\u00f7", "\u0130I", "\u0131i", "\u212aK", "kk", "\u20ac", "\u0080", "\u0420", "\U00010420", "\U00020420", "\u8420", "\u00a0", "\u0085"]
     texts = words + ["\u00c9a", "\u212ak", "\u0130i", "KK", "x\t\u00e9A\x0bY\rz", "X y\x0c\u00e9a Z", "X y\x0c\u00c9a Z", "p\u00e9\tq r", "P\u00e9 Q\x0cR"]
